@@ -4,12 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plakat.llm import bpe, packing, survivor
+from plakat.llm import bpe, lookalike, mojibake, packing, survivor
 from plakat.plans.registry import Registry
 from plakat.runtime import read_table, spread
 
 R = Registry()
 
+def text_fields(spark, sf_dir, *names):
+    """(tbl, row_key, field, value, is_json) of the named free-text fields."""
+    at = {
+        "title": ("event_records", "record_id", "title", False),
+        "venue_name": ("event_records", "record_id", "analysis.ticket_info.venue_name", False),
+        "name": ("places_final", "place_id", "name", False),
+        "lead": ("places_final", "place_id", "editorial.lead", False),
+        "payload": ("stored_events", "id", "payload", True),
+    }
+    out = None
+    for n in names:
+        t, key, path, js = at[n]
+        df = read_table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(key).cast("string").alias("row_key"), F.lit(n).alias("field"), F.col(path).alias("value"), F.lit(js).alias("is_json"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _lookalikes(spark, sf_dir):
+    fields = text_fields(spark, sf_dir, "title", "venue_name", "name")
+    return lookalike.lookalike_fields(fields, mojibake.fit(text_fields(spark, sf_dir, "title", "lead")))
+
+
+@R.add("p2_found")
+def p2_found(spark, sf_dir):
+    """Titles, venue names and place names made of look-alike characters."""
+    return _lookalikes(spark, sf_dir).select("tbl", "row_key", "field").distinct()
+
+
+@R.add("p2_canonical")
+def p2_canonical(spark, sf_dir):
+    """The consistent form of each such field."""
+    return _lookalikes(spark, sf_dir)
+
+
+@R.add("p6_found")
+def p6_found(spark, sf_dir):
+    """Fields with garbled or lost letters."""
+    fields = text_fields(spark, sf_dir, "title", "payload", "lead")
+    return mojibake.garbled_fields(fields, mojibake.fit(fields)).select("tbl", "row_key", "field")
+
+
+@R.add("p6_restored")
+def p6_restored(spark, sf_dir):
+    """The chains found in garbled fields and the restored text."""
+    fields = text_fields(spark, sf_dir, "title", "payload", "lead")
+    return mojibake.garbled_fields(fields, mojibake.fit(fields))
+
+
 _P7 = r"""
 WITH v AS (SELECT l.listing_id, l.version_id, f.trust, l.scraped_at, l.offer.url AS url, l.offer.price AS price, l.image_url, l.venue_name, count(*) OVER (PARTITION BY l.listing_id) AS n
   FROM listing_versions l LEFT JOIN feed_sources f USING (source)),
