@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plakat.llm import bpe, lookalike, mojibake, packing, survivor
+from plakat.llm import bpe, canonical, lookalike, mojibake, packing, survivor
 from plakat.plans.registry import Registry
 from plakat.runtime import read_table, spread
 
@@ -44,6 +44,42 @@ def p2_canonical(spark, sf_dir):
     return _lookalikes(spark, sf_dir)
 
 
+def _venue_names(spark, sf_dir, all_rows=False):
+    """Records to be mapped with the resolved town, and their mapping."""
+    ref = read_table(spark, sf_dir, "venue_refs").select(F.col("place_id").alias("entry"), F.col("name").alias("entry_name"), F.col("city").alias("area"), F.col("city_name").alias("area_name"))
+    rec = read_table(spark, sf_dir, "event_records").select("record_id", "source", "city", "stage_name", F.col("analysis.ticket_info.venue_name").alias("name"), F.col("analysis.ticket_info.place_id").alias("place_id"))
+    ids = ref.select(F.col("entry").alias("place_id")).distinct().withColumn("ok", F.lit(True))
+    rec = rec.join(F.broadcast(ids), "place_id", "left")  # the canonical list: a fixed table of 240 rows
+    # A feed all of whose records lie in one town stands for that town where a record names none.
+    town = rec.groupBy("source").agg(F.min("city").alias("lo"), F.max("city").alias("hi")).where("lo = hi").select("source", F.col("lo").alias("town"))
+    popular = rec.where("ok").groupBy(F.col("place_id").alias("entry")).agg(F.count("*").alias("popular"))
+    asked = rec.where(F.col("name").isNotNull() & F.col("name").rlike(r"(?U)[^\s\u200b-\u200f\u2060\ufeff]"))
+    if not all_rows:
+        asked = asked.where(F.col("ok").isNull())
+    asked = asked.join(town, "source", "left").select("record_id", "name", "place_id", F.coalesce(F.nullif("city", F.lit("")), "town").alias("area"))
+    halls = rec.select(F.explode(canonical.words(F.col("stage_name"))).alias("tok")).groupBy("tok").count().where("count > 1").select("tok")
+    towns = ref.select(F.explode(canonical.words(F.col("area_name"))).alias("tok"))
+    context = halls.union(towns).distinct()
+    return asked, canonical.map_names(asked, ref, context, popular)
+
+
+@R.add("p4_found")
+def p4_found(spark, sf_dir):
+    """The canonical venue of each record whose place_id is unusable, or 'none'."""
+    asked, mapped = _venue_names(spark, sf_dir)
+    mapped = mapped.select(F.col("name").alias("n2"), F.col("area").alias("a2"), "entry")
+    out = asked.join(mapped, (F.col("name") == F.col("n2")) & F.col("area").eqNullSafe(F.col("a2")), "left")
+    return out.select("record_id", F.coalesce("entry", F.lit("none")).alias("place_id"))
+
+
+@R.add("p4_unmatched")
+def p4_unmatched(spark, sf_dir):
+    """Names that mean no venue of the list, with the number of records."""
+    asked, mapped = _venue_names(spark, sf_dir)
+    n = asked.groupBy("name", "area").agg(F.count("*").alias("records")).withColumnsRenamed({"name": "n2", "area": "a2"})
+    return mapped.where("entry is null").join(n, (F.col("name") == F.col("n2")) & F.col("area").eqNullSafe(F.col("a2"))).select("name", F.col("area").alias("city"), "records")
+
+
 @R.add("p6_found")
 def p6_found(spark, sf_dir):
     """Fields with garbled or lost letters."""
