@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plakat.llm import bpe, canonical, lookalike, mojibake, packing, survivor
+from plakat.llm import address, bpe, canonical, lookalike, mojibake, packing, survivor
 from plakat.plans.registry import Registry
 from plakat.runtime import read_table, spread
 
@@ -80,6 +80,33 @@ def p4_unmatched(spark, sf_dir):
     return mapped.where("entry is null").join(n, (F.col("name") == F.col("n2")) & F.col("area").eqNullSafe(F.col("a2"))).select("name", F.col("area").alias("city"), "records")
 
 
+def _addresses(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    places = read_table(spark, sf_dir, "places_final").select(
+        F.concat(F.lit("place:"), "place_id").alias("key"), F.lit("place").alias("side"), F.col("city_tag").alias("area"),
+        "address.street", "address.housenumber", "address.city", "address.postcode", none.alias("line"),
+    )
+    doc = F.from_json("payload", "address string, city string, analysis struct<address: string>")
+    events = read_table(spark, sf_dir, "stored_events").select("id", "city_tag", doc.alias("p")).select(
+        F.concat(F.lit("event:"), F.col("id").cast("string")).alias("key"), F.lit("event").alias("side"), F.col("city_tag").alias("area"),
+        none.alias("street"), none.alias("housenumber"), F.col("p.city").alias("city"), none.alias("postcode"),
+        F.coalesce(F.nullif(F.trim("p.address"), F.lit("")), F.nullif(F.trim("p.analysis.address"), F.lit(""))).alias("line"),
+    )
+    return places.unionByName(events.where("line is not null"))
+
+
+@R.add("p5_found")
+def p5_found(spark, sf_dir):
+    """Pairs of places, and of places and events, in the same building."""
+    return address.same_building_pairs(address.buildings(spread(_addresses(spark, sf_dir))))
+
+
+@R.add("p5_buildings")
+def p5_buildings(spark, sf_dir):
+    """The building of each address record: the class its pairs come from."""
+    return address.buildings(spread(_addresses(spark, sf_dir)))
+
+
 @R.add("p6_found")
 def p6_found(spark, sf_dir):
     """Fields with garbled or lost letters."""
