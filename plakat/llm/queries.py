@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plakat.llm import address, bpe, canonical, lookalike, mojibake, packing, survivor
+from plakat.llm import address, bpe, canonical, linkage, lookalike, mojibake, packing, survivor
 from plakat.plans.registry import Registry
 from plakat.runtime import read_table, spread
 
@@ -27,6 +27,28 @@ def text_fields(spark, sf_dir, *names):
     return out
 
 
+def _showings(spark, sf_dir):
+    rec = read_table(spark, sf_dir, "event_records")
+    info = "analysis.ticket_info"
+    rows = rec.select(
+        F.col("record_id").alias("id"), "source", "title", F.col("date_start").alias("date"), "date_end", F.coalesce(F.nullif("time_start", F.lit("")), f"{info}.time_start").alias("start"),
+        F.col(f"{info}.doors_open").alias("doors"), F.col(f"{info}.venue_name").alias("venue"), F.col(f"{info}.place_id").alias("place"), F.col("city").alias("town"), F.col("category").alias("kind"),
+    )
+    return linkage.showing_links(rows, mojibake.fit(text_fields(spark, sf_dir, "title", "lead")))
+
+
+@R.add("p1_found")
+def p1_found(spark, sf_dir):
+    """Pairs of records of different feeds that mean the same showing."""
+    return _showings(spark, sf_dir).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
+
+
+@R.add("p1_confidence")
+def p1_confidence(spark, sf_dir):
+    """The same pairs with their confidence."""
+    return _showings(spark, sf_dir).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"), "confidence")
+
+
 def _lookalikes(spark, sf_dir):
     fields = text_fields(spark, sf_dir, "title", "venue_name", "name")
     return lookalike.lookalike_fields(fields, mojibake.fit(text_fields(spark, sf_dir, "title", "lead")))
