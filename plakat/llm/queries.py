@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plakat.llm import address, bpe, canonical, linkage, lookalike, mojibake, packing, survivor
+from plakat.llm import address, bpe, canonical, linkage, lookalike, mojibake, packing, pii, survivor
 from plakat.plans.registry import Registry
 from plakat.runtime import read_table, spread
 
@@ -177,3 +177,17 @@ def p9_packing(spark, sf_dir):
     """Containers of 2,048 tokens holding every document."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return packing.pack_documents(bpe.token_ids(docs, "doc_id", "text", count_only=True), "doc_id")
+
+
+@R.add("p10_found")
+def p10_found(spark, sf_dir):
+    """Spans of personal data in the documents."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.found_spans(docs, "doc_id", "text").select("doc_id", "pii_type", "found").distinct()
+
+
+@R.add("p10_masked")
+def p10_masked(spark, sf_dir):
+    """The documents with typed, linkable placeholders."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.masked_texts(docs, "doc_id", "text", key="p10 example key")
