@@ -191,14 +191,13 @@ def align(a: list[str], b: list[str]) -> float:
 
 @lru_cache(maxsize=200_000)
 def same_street(kind_a: str, a: str, kind_b: str, b: str) -> bool:
-    """Do two streets read alike? Kinds must not contradict, and the longest word of the shorter writing must have a partner."""
+    """Do two streets read alike? Kinds must not contradict, and some whole word must have a partner."""
     if kind_a and kind_b and kind_a != kind_b:
         return False
     x, y = a.split(" "), b.split(" ")
     if len(x) > len(y):
         x, y = y, x
-    key = max(x, key=len)
-    if len(key) < 3 or not any(_substitution(key, w) < 1 and len(w) > 1 for w in y):
+    if not any(_substitution(v, w) < 1 for v in x if len(v) > 2 for w in y if len(w) > 2):
         return False
     turns = [x[i:] + x[:i] for i in range(len(x))] if len(x) <= 4 else [x]
     return min(align(t, y) for t in turns) <= ACCEPT
