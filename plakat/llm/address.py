@@ -290,9 +290,10 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, pairs.schema)
 
 
-def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest street writing of each group of linked writings inside one block."""
+def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smallest street writing of each group of linked writings; rows arrive sorted by block, and only one block is held at a time."""
     root: dict[tuple[str, str], tuple[str, str]] = {}
+    block = None
 
     def find(x: tuple[str, str]) -> tuple[str, str]:
         root.setdefault(x, x)
@@ -301,12 +302,23 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    for ka, sa, kb, sb in zip(pdf["kind_a"], pdf["street_a"], pdf["kind_b"], pdf["street_b"], strict=True):
-        a, b = find((ka, sa)), find((kb, sb))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    first = pdf.iloc[0]
-    return pd.DataFrame([(first["town"], first["number"], first["letter"], k, s, " ".join(find((k, s))).strip()) for k, s in root], columns=[*_FORM, "building"])
+    def done() -> list[tuple]:
+        return [(*block, k, s, " ".join(find((k, s))).strip()) for k, s in list(root)]
+
+    for pdf in batches:
+        out: list[tuple] = []
+        for *at, ka, sa, kb, sb in pdf[["town", "number", "letter", "kind_a", "street_a", "kind_b", "street_b"]].itertuples(index=False):
+            if at != block:
+                if root:
+                    out += done()
+                    root.clear()
+                block = at
+            x, y = find((ka, sa)), find((kb, sb))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        yield pd.DataFrame(out, columns=[*_FORM, "building"])
+    if root:
+        yield pd.DataFrame(done(), columns=[*_FORM, "building"])
 
 
 def buildings(rows: DataFrame) -> DataFrame:
@@ -349,7 +361,9 @@ def buildings(rows: DataFrame) -> DataFrame:
     e = _banded(forms)
     a, b = e.withColumnsRenamed({"kind": "kind_a", "street": "street_a"}), e.withColumnsRenamed({"kind": "kind_b", "street": "street_b"})
     pairs = a.join(b, ["town", "number", "letter", "band"]).where(F.struct("kind_a", "street_a") < F.struct("kind_b", "street_b")).drop("band").distinct()
-    linked = _verified(pairs).groupBy("town", "number", "letter").applyInPandas(_components, "town string, number string, letter string, kind string, street string, building string")
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = _verified(pairs).repartition(slots, "town", "number", "letter").sortWithinPartitions("town", "number", "letter")
+    linked = linked.mapInPandas(_components, "town string, number string, letter string, kind string, street string, building string")
     out = rows2.join(linked, _FORM, "left")
     return out.select("key", "side", "town", "number", "letter", F.coalesce("building", F.trim(F.concat_ws(" ", "kind", "street"))).alias("building"))
 
