@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,11 +43,12 @@ def ranked(items: Column, before: Callable[[Column, Column], Column], flag: str
 
 def merged(*maps: Column) -> Column:
     """Merge maps, the earlier ones winning; null maps count as empty."""
-    out = maps[0]
-    for m in maps[1:]:
-        rest = F.map_filter(m, lambda k, _, out=out: ~F.coalesce(F.map_contains_key(out, k), F.lit(False)))
-        out = F.when(out.isNull(), m).when(m.isNull(), out).otherwise(F.map_concat(out, rest))
-    return out
+
+    def two(a: Column, b: Column) -> Column:
+        rest = F.map_filter(b, lambda k, _: ~F.coalesce(F.map_contains_key(a, k), F.lit(False)))
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.map_concat(a, rest))
+
+    return reduce(two, maps)
 
 
 def tag(tags: Column, *keys: str) -> Column:

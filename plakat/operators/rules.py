@@ -67,7 +67,7 @@ def poi_group(amenity: Column) -> Column:
 
 def pick_candidate(text: Column, words: Sequence[str], town: Column, sep: str = "|", least: int = 3, most: int = 60) -> Column:
     """Venue among separated parts of a card: the first fitting part with a preferred word, else the first fitting part, else the town."""
-    parts = F.filter(F.transform(F.split(text, f"[{sep}]"), F.trim), lambda p: (F.length(p) >= least) & (F.length(p) <= most) & ~p.rlike(r"\d{1,2}[:.]\d{2}|\d{4}|zł"))
+    parts = F.filter(F.transform(F.split(text, f"[{sep}]"), lambda x: F.trim(x)), lambda p: (F.length(p) >= least) & (F.length(p) <= most) & ~p.rlike(r"\d{1,2}[:.]\d{2}|\d{4}|zł"))
     good = F.filter(parts, lambda p: contains_any(p, list(words)))
     return F.coalesce(F.get(good, F.lit(0)), F.get(parts, F.lit(0)), town)
 
