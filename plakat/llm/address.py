@@ -22,7 +22,8 @@ TITLES = {"gen", "generala", "dr", "doktora", "prof", "profesora", "ks", "ksiedz
 #: Abbreviation dictionary for alignment: short form to the beginnings of long ones.
 ABBREVIATIONS = {"gen": "general", "dr": "doktor", "prof": "profesor", "ks": "ksi", "kard": "kardynal", "sw": "swiet", "mjr": "major", "plk": "pulkownik", "kpt": "kapitan", "marsz": "marszal", "inz": "inzynier", "st": "star", "now": "now", "wlk": "wielk", "ml": "mal", "woj": "wojsk"}
 GAP_OPEN, GAP_EXTEND, ACCEPT = 0.35, 0.3, 0.65
-BANDS, ROWS = 32, 2
+#: One row a band: writings of one number in one town are few, and a slip in a short word leaves a third of its pairs of letters.
+BANDS, ROWS = 20, 1
 
 _NUMBER = r"(?:\b(?:nr|numer)\.?\s*)?\b(\d{1,4})\s?(?:([a-ln-z])(?![\w.]))?(?:\s*(?:/|\bm\b\.?|\blok\b\.?|\bmieszk\w*\.?)\s*\d+\w?)?"
 _TRAILING = re.compile(_NUMBER + r"\s*$")
@@ -214,7 +215,7 @@ def _shingles(text: str) -> set[str]:
         if len(w) > 1:
             out.add(w)
             p = f"^{w}$"
-            out.update(p[i : i + 3] for i in range(len(p) - 2))
+            out.update(p[i : i + 2] for i in range(len(p) - 1))
     return out or {text}
 
 
@@ -228,15 +229,16 @@ def _hash(shingle: str) -> int:
 
 @lru_cache(maxsize=100_000)
 def bands(text: str) -> tuple[int, ...]:
-    """One hash a band of the text's MinHash signature over words and 3-grams."""
+    """One hash a band of the text's MinHash signature over words and pairs of letters."""
     h = np.array([_hash(s) for s in _shingles(text)], np.uint64)
     with np.errstate(over="ignore"):
         mixed = h[:, None] * (_SEEDS[0] | np.uint64(1)) + _SEEDS[1]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-        low = mixed.min(axis=0).reshape(BANDS, ROWS)
-        out = low[:, 0] * np.uint64(31) + low[:, 1] + np.arange(BANDS, dtype=np.uint64)
+        out = np.arange(BANDS, dtype=np.uint64)
+        for row in mixed.min(axis=0).reshape(BANDS, ROWS).T:
+            out = out * np.uint64(31) + row
     return tuple(int(x) for x in out.astype(np.int64))
 
 
@@ -326,7 +328,7 @@ def buildings(rows: DataFrame) -> DataFrame:
 
     ``rows``: (key, side 'place' or 'event', area, street, housenumber, city, postcode, line).
     Same town, number and letter (exact after parsing), and streets linked by
-    MinHash bands over words and 3-grams and verified by alignment; links
+    MinHash bands over words and pairs of letters and verified by alignment; links
     are closed inside a block, on distinct writings only. Towns are those the data names
     most often with a postcode (a gazetteer: some 100,000 in a country), up to one slip.
     A missing town is taken from the postcode, else from the single
