@@ -166,7 +166,7 @@ def _substitution(a: str, b: str) -> float:
         return 0.1 if long[0] == short else 9.0
     if short in ABBREVIATIONS and long.startswith(ABBREVIATIONS[short]):
         return 0.05
-    if len(long) >= 4 and _close(a, b):
+    if len(long) >= 3 and _close(a, b):
         return 0.25
     return 9.0
 

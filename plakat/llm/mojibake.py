@@ -187,9 +187,21 @@ def train(texts: Iterable[str | None], smooth: float = 0.02) -> Model:
             g = garble(tok, chain)
             if g is not None and g != tok:
                 learn(g, w, k)
-    for tok, n in other.items():
-        if n < 2 or _obviously_broken(tok):
-            continue
+    known: Counter[str] = Counter()
+    for tok, n in plain.items():
+        for w in _WORD.findall(tok):
+            known[w.lower()] += n
+
+    def twin(tok: str, n: int) -> bool:
+        """Does a one-byte chain undo the token to words that are more frequent than it? Then the sample holds garbled text."""
+        for a, b in CROSS:
+            f = undo(tok, f"{a}>{b}")
+            if f is not None and f != tok and not _UNSAFE.search(f) and all(known[w.lower()] > n for w in _WORD.findall(f) if not w.isascii()):
+                return True
+        return False
+
+    clean = {tok: n for tok, n in other.items() if n >= 2 and not _obviously_broken(tok) and not twin(tok, n)}
+    for tok, n in clean.items():
         w = float(n) ** 0.75
         learn(tok, w, 0)
         for k, chain in enumerate(CHAINS, 1):
@@ -200,7 +212,7 @@ def train(texts: Iterable[str | None], smooth: float = 0.02) -> Model:
     counts += smooth
     words = frozenset(w.lower() for tok in plain for w in _WORD.findall(tok) if len(w) > 1)
     nearly = frozenset(d for w in words if len(w) > 4 for d in _shorter(w))
-    foreign = frozenset(w.lower() for tok, n in other.items() if n >= 2 and not _obviously_broken(tok) for w in _WORD.findall(tok))
+    foreign = frozenset(w.lower() for tok in clean for w in _WORD.findall(tok))
     return Model(names, np.log(counts / counts.sum(axis=0)).astype(np.float32), words, nearly, foreign)
 
 
@@ -218,7 +230,8 @@ def _plausible(token: str, fixed: str, chain: str, model: Model) -> bool:
     if fixed == token or any(unicodedata.category(c) in ("Cc", "Co", "Cn") and c not in "\t\n\r" for c in fixed):
         return False
     if chain.startswith("utf-8>"):
-        return True
+        # Look-alike letters can decode by chance; then one word mixes alphabets, which restored text doesn't.
+        return not any(len({c <= "\u024f" for c in w}) > 1 for w in _WORD.findall(fixed))
     if _UNSAFE.search(fixed):
         return False
     bad = [i for i, c in enumerate(token) if _UNSAFE.match(c)]
