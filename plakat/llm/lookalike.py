@@ -113,7 +113,7 @@ def examine(text: str) -> tuple[list[str], str, list[tuple[str, str]]]:
         tokens = [folded.get(t, t) for t in tokens]
         kind = [script(t[0]) for t in tokens]
         for i, t in enumerate(tokens):
-            if kind[i] in ("CYRILLIC", "GREEK", "OTHER") and (latin := _to_latin(t)) and any(0 <= j < len(kind) and kind[j] != kind[i] for j in (i - 1, i + 1)):
+            if kind[i] in ("CYRILLIC", "GREEK", "OTHER") and (latin := _to_latin(t)) and (len(kind) == 1 or any(0 <= j < len(kind) and kind[j] != kind[i] for j in (i - 1, i + 1))):
                 pending.append((t, latin))
     for e in emoji:
         body = body.replace("", e, 1)
@@ -132,7 +132,7 @@ def lookalike_fields(fields: DataFrame, garbled: Model | None = None) -> DataFra
     ``canonical`` is the form in which equal-looking values are equal. Look-alike letters
     are replaced only in mixed-script tokens, and in whole tokens of
     another script if the result is a word of the corpus (``vocabulary``) and a neighbour is
-    written in another script. Text rightly in another script, emoji sequences and signs that print
+    written in another script, or there is none. Text rightly in another script, emoji sequences and signs that print
     differently stay. With a model of ``mojibake`` given, values it finds garbled are left out.
     Null, empty and plain values are never returned; repeated rows are returned as often as they occur.
     """

@@ -230,7 +230,11 @@ def _plausible(token: str, fixed: str, chain: str, model: Model) -> bool:
     if fixed == token or any(unicodedata.category(c) in ("Cc", "Co", "Cn") and c not in "\t\n\r" for c in fixed):
         return False
     if chain.startswith("utf-8>"):
-        # Look-alike letters can decode by chance; then one word mixes alphabets, which restored text doesn't.
+        # Look-alike letters and invisible characters can decode by chance. Restored text has no word that mixes alphabets, and marks or invisible characters only around emoji.
+        if any(unicodedata.category(c) in ("Mn", "Me", "Cf") for c in fixed) and not any(c >= "\u2600" and unicodedata.category(c) == "So" for c in fixed):
+            return False
+        if any("\u0530" <= c <= "\u1fff" for c in fixed):
+            return False
         return not any(len({c <= "\u024f" for c in w}) > 1 for w in _WORD.findall(fixed))
     if _UNSAFE.search(fixed):
         return False
