@@ -36,9 +36,9 @@ PHONE = re.compile(rf"(?<![\w./=+(-])(?<!\d{_GAP})(?:(?:\(\+48\)|\+48|0048){_GAP
 PESEL = re.compile(rf"(?<![\w./=+-])(?<!\d{_GAP})\d{{6}}{_GAP}?\d{{5}}(?![\w/=-]|[.,]\d)")
 DOCUMENT = re.compile(rf"(?<![\w./=-])(?:[A-Z]{{3}}{_GAP}?\d{{6}}|[A-Z]{{2}}{_GAP}?\d{{7}})(?![\w/=-])")
 _KIND = r"(?:ul|ulica|ulicy|ulicą|al|aleja|alei|aleje|pl|plac|placu|os|osiedle|osiedlu)"
-_NUMBER = rf"(?:(?:nr|numer)\.?{_GAP})?\d{{1,4}}(?:{_GAP}?[A-Ca-ch-kH-K](?![\w]))?(?:{_GAP}?/{_GAP}?\d{{1,4}}[a-zA-Z]?(?!\w)|{_GAP}?(?:m|lok|mieszk)\.?{_GAP}?\d{{1,4}}(?!\w))?"
+_NUMBER = rf"(?:(?:nr|numer)\.?{_GAP})?\d{{1,4}}(?:{_GAP}?[A-Ha-hJ-Lj-l](?![\w]))?(?:{_GAP}?/{_GAP}?\d{{1,4}}[a-zA-Z]?(?!\w)|{_GAP}?(?:m|lok|mieszk)\.?{_GAP}?\d{{1,4}}(?!\w))?"
 _STREET_WORD = rf"(?:[{_UP}][{_LOW}{_UP}]*\.?|(?:gen|dr|ks|prof|św|płk|mjr|kpt|marsz)\.|[{_LOW}]{{3,}})"
-ADDRESS = re.compile(rf"(?<![\w.])(?i:{_KIND})(?:\.{_GAP}?|{_GAP}+)(?:{_STREET_WORD}[{_GAP[1:-1]}-]*){{1,4}}?{_GAP}?(?<=[  .]){_NUMBER}(?!\w)")
+ADDRESS = re.compile(rf"(?<![\w.])(?i:{_KIND})(?:\.{_GAP}?|{_GAP}+)(?:{_STREET_WORD}(?:[{_GAP[1:-1]}-]+|(?<=\.))){{1,4}}?{_NUMBER}(?!\w)")
 SQUARE = re.compile(rf"(?<![\w.])(?i:rynek|rynku){_GAP}(?:[{_UP}]\w+{_GAP})?{_NUMBER}(?!\w)")
 _PLAIN = rf"(?:(?:gen|dr|ks|prof|św|płk|mjr|kpt|marsz)\.{_GAP}?)?(?:[{_UP}]\.{_GAP}?)?[{_UP}{_LOW}][{_LOW}{_UP}]+(?:{_GAP}[{_UP}{_LOW}][{_LOW}{_UP}]+){{0,2}}{_GAP}{_NUMBER}(?!\w)"
 #: Words before an address that names no kind of street.
