@@ -82,3 +82,16 @@ def parking_note(distance_m: Column, paid: Column) -> Column:
     """Sentence about the nearest car park; a default without one."""
     fee = F.when(paid, "płatny").when(~paid, "bezpłatny").otherwise("brak danych o opłatach")
     return F.when(distance_m.isNull(), "Parking w okolicy obiektu").otherwise(F.concat(F.lit("Parking "), distance_m.cast("int").cast("string"), F.lit(" m ("), fee, F.lit(")")))
+
+
+def axes(text: Column, tables: Mapping[str, tuple[Sequence[tuple[Sequence[str], str]], str]]) -> Column:
+    """Several independent classifications at once: struct of name -> first matching value of (table, default)."""
+    return F.struct(*[by_words(text, table, default).alias(name) for name, (table, default) in tables.items()])
+
+
+# Three axes of a leisure place by its raw amenity.
+LEISURE_AXES = {
+    "shelter": ([(["park", "garden", "pitch", "playground"], "outdoor")], "indoor"),
+    "audience": ([(["playground", "library"], "children"), (["bar", "pub", "nightclub"], "adults")], "all"),
+    "cost": ([(["park", "playground", "library", "garden"], "free")], "paid"),
+}

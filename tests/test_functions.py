@@ -64,6 +64,16 @@ def test_small_text_rules(spark):
     assert col(spark, ["", None, "x"], lambda c: text.either(c, F.lit("y"))) == ["y", "y", "x"]
 
 
+def test_paragraphs(spark):
+    long = "Zdanie ma trochę słów i tak dalej. " * 9
+    raw = f"KoncertWspaniały(sala)Dobra. Czas trwania: 90 minut<br/>{long}UWAGA limit. 🎭 Zobacz więcej informacji na stronie"
+    got = text.split_paragraphs(raw)
+    assert got[0] == "Koncert Wspaniały (sala) Dobra." and got[1] == "* Czas trwania: 90 minut"
+    assert all(len(p) <= text.FULL + 60 for p in got) and not any("więcej informacji" in p for p in got) and any(p.startswith("UWAGA") for p in got)
+    assert text.split_paragraphs(None) == [] and text.split_paragraphs("abc") == []
+    assert col(spark, [raw, None, ""], text.paragraphs) == [got, [], []]
+
+
 def test_urls(spark):
     got = col(spark, ["https://a.pl/x?utm_source=1&id=2&REF=3#top", "https://a.pl/?fbclid=1", "https://a.pl/y", "https://a.pl/z?a=1&a=2", None], url.clean_url)
     assert got == ["https://a.pl/x?id=2&REF=3", "https://a.pl/", "https://a.pl/y", "https://a.pl/z?a=1&a=2", None]
