@@ -22,3 +22,28 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             seen[x, y] = SequenceMatcher(None, x, y).ratio()
         out.append(seen[x, y])
     return pd.Series(out, dtype="float64")
+
+
+def at_least(threshold: float):
+    """Column function: is the ratio of two texts at least ``threshold``? Null texts give null, so undecided rows alone cost time.
+
+    Two cheap upper bounds (lengths, then shared characters) spare most full comparisons.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        m = SequenceMatcher(None)
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if not isinstance(x, str) or not isinstance(y, str):
+                out.append(None)
+                continue
+            total = len(x) + len(y)
+            if total and 2 * min(len(x), len(y)) / total < threshold:
+                out.append(False)
+                continue
+            m.set_seqs(x, y)
+            out.append(m.quick_ratio() >= threshold and m.ratio() >= threshold)
+        return pd.Series(out, dtype="boolean")
+
+    return similar

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plakat.functions.dates import times_apart
-from plakat.functions.similarity import sequence_ratio
-from plakat.functions.text import acronym, stem
+from plakat.functions.similarity import at_least, sequence_ratio
+from plakat.functions.text import acronym, stem, stem_word
+from plakat.runtime import cut
 
 # Title words that tell nothing apart.
 TITLE_STOPWORDS = ["przy", "swiecach", "świecach", "koncert", "spektakl", "recital", "festiwal", "festival", "stand", "standup", "stand-up", "show", "muzyka", "muzyki", "polska", "polskiej", "bielsko", "biala", "bielsku", "bialej", "opole", "opolu", "live", "tour", "trasa", "nowy", "program", "wieczor", "wieczór", "kameralny", "akustycznie", "bilety", "kup", "dla", "oraz", "jego", "orzeł", "orlem", "orłem", "sala", "redutowa", "domu", "kultury", "bck", "cavatina", "hall", "żywo", "zywo"]
@@ -26,28 +29,33 @@ def first_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
-def content_stems(title: Column) -> Column:
-    """Stems of words of three or more letters or digits; without stop words unless only those are there."""
+def title_stems(title: Column) -> Column:
+    """struct(every, content): distinct stems of words of three or more letters or digits, sorted; and those that aren't stop words, unless only such are there."""
     words = F.regexp_extract_all(F.lower(title), F.lit(r"([a-z0-9ąćęłńóśźż]{3,})"), 1)
-    stems = F.array_distinct(F.transform(words, stem))
-    stop = F.transform(F.array(*[F.lit(w) for w in TITLE_STOPWORDS]), stem)
-    content = F.array_except(stems, stop)
-    return F.when(F.size(content) > 0, content).otherwise(stems)
+    every = F.array_sort(F.array_distinct(F.transform(words, stem)))
+    stop = F.array(*[F.lit(w) for w in sorted({stem_word(w) for w in TITLE_STOPWORDS})])
+    content = F.array_except(every, stop)
+    return F.struct(every.alias("every"), F.when(F.size(content) > 0, content).otherwise(every).alias("content"))
 
 
-def same_title(a: Column, b: Column, time_a: Column, time_b: Column) -> Column:
+def same_title(a: Column, b: Column, time_a: Column, time_b: Column, stems_a: Column | None = None, stems_b: Column | None = None) -> Column:
     """Are two titles of one day duplicates? Never if their times are 45 minutes or more apart.
 
-    The cheap native tests come first; the Arrow function only decides what they leave open.
+    The cheap native tests come first; the Arrow function gets null for what they decide. Pass the
+    titles' stems (``title_stems``) when each title meets several others, so that they are made once a title.
     """
-    s, t = content_stems(a), content_stems(b)
-    both, every = F.size(F.array_intersect(s, t)), F.size(F.array_union(s, t))
+    sa, sb = title_stems(a) if stems_a is None else stems_a, title_stems(b) if stems_b is None else stems_b
+    s, t = sa["content"], sb["content"]
+    both = F.size(F.array_intersect(s, t))
+    every = F.size(s) + F.size(t) - both
     some = (F.size(s) > 0) & (F.size(t) > 0)
     native = some & ((both / F.greatest(every, F.lit(1)) >= JACCARD) | (both == F.size(s)) | (both == F.size(t)))
-    raw = sequence_ratio(F.lower(F.trim(a)), F.lower(F.trim(b))) >= RAW_RATIO
-    words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9ąćęłńóśźż]{3,})"), 1), stem))), " ")
-    late = some & (sequence_ratio(words(a), words(b)) >= SORTED_RATIO)
-    return F.coalesce(~times_apart(time_a, time_b) & (native | raw | late), F.lit(False))
+    apart = times_apart(time_a, time_b)
+    ask = ~apart & ~F.coalesce(native, F.lit(False))
+    raw = F.coalesce(at_least(RAW_RATIO)(F.when(ask, F.lower(F.trim(a))), F.when(ask, F.lower(F.trim(b)))), F.lit(False))
+    words = lambda x: F.array_join(x["every"], " ")
+    late = some & F.coalesce(at_least(SORTED_RATIO)(F.when(ask & some, words(sa)), F.when(ask & some, words(sb))), F.lit(False))
+    return F.coalesce(~apart & (native | raw | late), F.lit(False))
 
 
 def place_similarity(query: Column, place: Column) -> Column:
@@ -96,9 +104,9 @@ def greedy_clusters(events: DataFrame, block: list[str], order: str, title: str,
     Duplicates are found between distinct (title, time) pairs of a block by ``same_title``; only the edges go to
     the grouped function, which keeps one state a block. Adds ``cluster`` = the order value of its first row.
     """
-    texts = events.select(*block, F.col(title).alias("_t"), F.col(time).alias("_m")).distinct()
-    a, b = texts.withColumnsRenamed({"_t": "_ta", "_m": "_ma"}), texts.withColumnsRenamed({"_t": "_tb", "_m": "_mb"})
-    edges = a.join(b, block).where(same_title(F.col("_ta"), F.col("_tb"), F.col("_ma"), F.col("_mb")))
+    texts = cut(events.select(*block, F.col(title).alias("_t"), F.col(time).alias("_m")).distinct().withColumn("_s", title_stems(F.col("_t"))))
+    a, b = texts.withColumnsRenamed({"_t": "_ta", "_m": "_ma", "_s": "_sa"}), texts.withColumnsRenamed({"_t": "_tb", "_m": "_mb", "_s": "_sb"})
+    edges = a.join(b, block).where(same_title(F.col("_ta"), F.col("_tb"), F.col("_ma"), F.col("_mb"), F.col("_sa"), F.col("_sb")))
     edges = edges.groupBy(*block, F.col("_ta").alias("_t"), F.col("_ma").alias("_m")).agg(F.collect_set(F.struct("_tb", "_mb")).alias("_like"))
     rows = events.select(*block, F.col(order).alias("_o"), F.col(title).alias("_t"), F.col(time).alias("_m"))
     same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in block]
@@ -109,23 +117,29 @@ def greedy_clusters(events: DataFrame, block: list[str], order: str, title: str,
     with_edges = rows.join(e, cond, "left").select(*block, "_o", "_t", "_m", "_like")
     kinds = dict(events.dtypes)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o", kind="stable")
-        held: list[set] = []
-        first: list = []
-        out = []
-        for o, t, m, like in zip(pdf["_o"], pdf["_t"], pdf["_m"], pdf["_like"], strict=True):
-            keys = {(x["_tb"], x["_mb"]) for x in like} if like is not None else set()
-            at = next((i for i, h in enumerate(held) if h & keys), None)
-            if at is None:
-                held.append(set())
-                first.append(o)
-                at = len(held) - 1
-            held[at].add((t, m))
-            out.append(first[at])
-        return pd.DataFrame({"_o": pdf["_o"], "cluster": out})
-
-    got = with_edges.groupBy(*block).applyInPandas(walk, f"_o {kinds[order]}, cluster {kinds[order]}")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, first = None, [], []
+        for pdf in batches:
+            out = []
+            for o, t, m, like, *at in pdf[["_o", "_t", "_m", "_like", *block_cols]].itertuples(index=False):
+                if at != block:
+                    block, held, first = at, [], []
+                keys = {(x["_tb"], x["_mb"]) for x in like} if like is not None else set()
+                i = next((i for i, h in enumerate(held) if not keys.isdisjoint(h)), None) if keys else None
+                if i is None:
+                    held.append(set())
+                    first.append(o)
+                    i = len(held) - 1
+                held[i].add((t, m))
+                out.append((o, first[i]))
+            yield pd.DataFrame(out, columns=["_o", "cluster"])
+
+    # Blocks are many and small: they pass through Python sorted, one after the other, not one call each.
+    block_cols = [f"_b{i}" for i in range(len(block))]
+    keyed = with_edges.select("_o", "_t", "_m", "_like", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(k) for c, k in zip(block, block_cols, strict=True)])
+    slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartition(slots, *block_cols).sortWithinPartitions(*block_cols, "_o")
+    got = ordered.mapInPandas(walk, f"_o {kinds[order]}, cluster {kinds[order]}")
     return events.join(got, F.col(order) == F.col("_o"), "left").drop("_o")
 
 
@@ -166,12 +180,42 @@ def unique_slugs(events: DataFrame, base: str, date: str, time: str, order: str)
     return step.withColumn("slug", slug).drop("_r", "_t", "_rt", "_n")
 
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+class _Targets:
+    """Merge targets of one block in order, with character counts for an upper bound of the ratio to all of them at once."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.keys, self.ids = threshold, [], []
+        self.counts = np.zeros((16, 64), np.int16)
+
+    @staticmethod
+    def _count(key: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(key.encode("utf-32-le"), np.uint32) % 64, minlength=64).astype(np.int16)
+
+    def add(self, key: str, target: object) -> None:
+        if len(self.keys) == len(self.counts):
+            self.counts = np.r_[self.counts, np.zeros_like(self.counts)]
+        self.counts[len(self.keys)] = self._count(key)
+        self.keys.append(key)
+        self.ids.append(target)
+
+    def first(self, key: str) -> object:
+        """The first target that is equal, contained, or similar; null if none is. Empty keys match nothing."""
+        n = len(self.keys)
+        if not key or not n:
+            return None
+        have = self.counts[:n]
+        shared = np.minimum(have, self._count(key)).sum(axis=1)
+        bound = 2 * shared / np.maximum(1, have.sum(axis=1) + len(key))
+        # A contained key shares all of its characters, so it passes the second test.
+        for i in np.flatnonzero((bound >= self.threshold) | (shared == np.minimum(have.sum(axis=1), len(key)))):
+            other = self.keys[i]
+            if other and (other == key or other in key or key in other or SequenceMatcher(None, key, other).ratio() >= self.threshold):
+                return self.ids[i]
+        return None
 
 
 def fuzzy_upsert(stored: DataFrame, batch: DataFrame, block: list[str], order: str, key: str, url: str, threshold: float = 0.65) -> DataFrame:
-    """Where each incoming row goes: (order, action 'update', 'merge' or 'insert', target order).
+    """Where each incoming row goes: (ord, action 'update', 'merge' or 'insert', target).
 
     Rows whose link is stored update it. Others merge with the first row of their block whose title key is equal,
     contained or similar; rows inserted earlier in the batch are targets too. An empty title key
@@ -184,26 +228,29 @@ def fuzzy_upsert(stored: DataFrame, batch: DataFrame, block: list[str], order: s
     fresh = hit.where("_target is null").select(*cols).withColumn("_new", F.lit(True))
     both = stored.select(*cols).withColumn("_new", F.lit(False)).unionByName(fresh)
     kind = dict(stored.dtypes)[order]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_new", order], kind="stable")
-        targets: list[tuple[str, object]] = []
-        links: dict[str, object] = {}
-        out = []
-        for o, k, u, new in zip(pdf[order], pdf[key], pdf[url], pdf["_new"], strict=True):
-            k = k or ""
-            if not new:
-                targets.append((k, o))
-                continue
-            if u is not None and u in links:
-                out.append((o, "update", links[u]))
-                continue
-            at = next((t for s, t in targets if k and s and (s == k or s in k or k in s or ratio(k, s) >= threshold)), None)
-            if at is None:
-                targets.append((k, o))
-                links[u] = o
-            out.append((o, "insert" if at is None else "merge", o if at is None else at))
-        return pd.DataFrame(out, columns=["ord", "action", "target"])
-
-    return updates.unionByName(both.groupBy(*block).applyInPandas(walk, f"ord {kind}, action string, target {kind}"))
-
+    block_cols = [f"_b{i}" for i in range(len(block))]
+    both = both.select(F.col(order).alias("_o"), F.coalesce(key, F.lit("")).alias("_k"), F.col(url).alias("_u"), "_new", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(k) for c, k in zip(block, block_cols, strict=True)])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_block, targets, links = None, None, {}
+        for pdf in batches:
+            out = []
+            for o, k, u, new, *at in pdf[["_o", "_k", "_u", "_new", *block_cols]].itertuples(index=False):
+                if at != at_block:
+                    at_block, targets, links = at, _Targets(threshold), {}
+                if not new:
+                    targets.add(k, o)
+                    continue
+                if u is not None and u in links:
+                    out.append((o, "update", links[u]))
+                    continue
+                found = targets.first(k)
+                if found is None:
+                    targets.add(k, o)
+                    links[u] = o
+                out.append((o, "insert" if found is None else "merge", o if found is None else found))
+            yield pd.DataFrame(out, columns=["ord", "action", "target"])
+
+    slots = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(slots, *block_cols).sortWithinPartitions(*block_cols, "_new", "_o")
+    return updates.unionByName(ordered.mapInPandas(walk, f"ord {kind}, action string, target {kind}"))

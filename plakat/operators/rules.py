@@ -95,3 +95,27 @@ LEISURE_AXES = {
     "audience": ([(["playground", "library"], "children"), (["bar", "pub", "nightclub"], "adults")], "all"),
     "cost": ([(["park", "playground", "library", "garden"], "free")], "paid"),
 }
+
+
+# Event categories by words of the title, for rows whose own category is general.
+TITLE_CATEGORIES = [
+    (["turniej", "sport", "bieg", "triathlon", "siatków", "orlik", "parkrun", "spływ", "rolk"], "Sport i Rekreacja"),
+    (["kino", "film"], "Kino"),
+    (["koncert", "muzyka", "cover", "dj", "festiwal", "fado"], "Koncert"),
+    (["bibliotek", "książk", "dzieci", "półkolonia", "lekcje", "bajk"], "Dla Dzieci"),
+]
+
+
+def title_category(category: Column, title: Column, general: Sequence[str]) -> Column:
+    """A more telling category for rows of a general one; others keep theirs."""
+    return F.when(F.coalesce(category.isin(list(general)), F.lit(True)), F.coalesce(by_words(title, TITLE_CATEGORIES), category)).otherwise(category)
+
+
+def warnings(text: Column, table: Mapping[str, Sequence[str]]) -> Column:
+    """Names of all rules that match, joined; '' without any."""
+    return F.array_join(flags(text, table), ", ")
+
+
+def overridden(c: Column, key: Column, table: Mapping[str, str]) -> Column:
+    """The value a table sets for a key, else the value itself."""
+    return by_value(key, {k.lower(): v for k, v in table.items()}, c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plakat.functions.url import url_identity
 from plakat.operators.dedup import first_by
 
 
@@ -33,6 +34,27 @@ def replace_partitions(spark: SparkSession, df: DataFrame, path: str, by: str) -
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def sync_town(stored: DataFrame, rows: DataFrame, town: str, value: str, key: str, order: str) -> DataFrame:
+    """All rows of a town are replaced by new ones; of rows with one key the last wins, even over another town's row."""
+    last = first_by(rows.withColumn("_neg", -F.col(order)), [key], "_neg").drop("_neg")
+    kept = stored.where(~F.coalesce(F.col(town) == value, F.lit(False))).join(last.select(key), key, "left_anti")
+    return kept.unionByName(last, allowMissingColumns=True)
+
+
+def merge_offers(stored: DataFrame, incoming: DataFrame, event: str, told: Column, generic: str = "Inne") -> DataFrame:
+    """Offers (event, ord, provider, url, price) of both sides as one list.
+
+    An incoming offer meets a stored one of the same event with the same named provider or the same link without query; the stored one keeps
+    its place and link and takes the incoming price if its own tells nothing. The others are appended in order.
+    """
+    who = lambda p, u: F.when(p.isNotNull() & (p != generic), p).otherwise(url_identity(u))
+    both = stored.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
+    both = both.withColumn("_k", who(F.col("provider"), F.col("url"))).withColumn("_told", told)
+    whole = F.struct(F.col("_side"), F.col("ord"), F.col("provider"), F.col("url"), F.col("price"))
+    out = both.groupBy(event, "_k").agg(F.min(whole).alias("o"), F.min(F.when(F.col("_told"), F.struct("_side", "ord", "price"))).alias("p"))
+    return out.select(event, F.col("o._side").alias("side"), F.col("o.ord").alias("ord"), "o.provider", "o.url", F.coalesce("p.price", "o.price").alias("price"))
+
+
 def ensure_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Open the table; create it empty if there is none or its columns are others."""
     want = spark.createDataFrame([], schema)

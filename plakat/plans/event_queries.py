@@ -465,6 +465,28 @@ def t14_paragraphs(spark, sf_dir):
     return d.select("doc_id", F.size("p").alias("n"), F.coalesce(F.array_max(F.transform("p", lambda x: F.length(x))), F.lit(0)).alias("longest"))
 
 
+_CATS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(title), '{w}')" for w in ws) + f" THEN '{v}'" for ws, v in rules.TITLE_CATEGORIES) + " END"
+
+
+@R.add("c03_title_category", f"SELECT record_id, CASE WHEN coalesce(category IN ('other', 'concert'), true) THEN coalesce({_CATS}, category) ELSE category END AS kind FROM event_records")
+def c03_title_category(spark, sf_dir):
+    """Categories refined by the title."""
+    return records(spark, sf_dir).select("record_id", rules.title_category(F.col("category"), F.col("title"), ["other", "concert"]).alias("kind"))
+
+
+@R.add("c16_overrides", "SELECT place_id, CASE lower(name) WHEN 'kino rotunda' THEN 'kultura*' WHEN 'bar latarnik' THEN 'gastronomia*' ELSE poi_group END AS shown FROM places_final")
+def c16_overrides(spark, sf_dir):
+    """Groups overridden for named places."""
+    return read_table(spark, sf_dir, "places_final").select("place_id", rules.overridden(F.col("poi_group"), F.col("name"), {"Kino Rotunda": "kultura*", "Bar Latarnik": "gastronomia*"}).alias("shown"))
+
+
+@R.add("k06_thumbnail_key", f"SELECT record_id, 'ev_' || {_SLUG} || '.webp' AS file FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
+def k06_thumbnail_key(spark, sf_dir):
+    """File names of pictures."""
+    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+    return r.select("record_id", text.thumbnail_key("ev", F.col("title")).alias("file"))
+
+
 HALLS = [(["mała scena"], "mala"), (["duża scena"], "duza"), (["foyer", "piwnica"], "inne")]
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from plakat.functions import text
 from plakat.functions.geo import haversine_m, in_box, rounded, walk_minutes
 from plakat.operators import agenda, dedup, joins, rules, store, views
+from plakat.operators.near import near_pairs
 from plakat.plans.event_queries import _DAY, _P, _V, AS_OF, day, records
 from plakat.plans.registry import Registry
-from plakat.runtime import read_table
+from plakat.runtime import cut, read_table
 from plakat.sources.generators import weekly_series
 
 R = Registry()
@@ -121,6 +122,24 @@ def j11_place_pages(spark, sf_dir):
     return v.join(n, "place_id").select("place_id", "name", "n_events")
 
 
+@R.add("j19_near_and_alike", f"WITH p AS (SELECT place_id AS id, lower(trim(name)) AS n, geo.lat AS lat, geo.lon AS lon FROM places_final WHERE {_OK} AND trim(name) <> '') SELECT p.id AS a, q.id AS b FROM p JOIN p q ON q.id > p.id AND q.lat BETWEEN p.lat - 0.0004 AND p.lat + 0.0004 WHERE (contains(p.n, q.n) OR contains(q.n, p.n)) AND {_DIST.format(a='p', b='q')} <= 40")
+def j19_near_and_alike(spark, sf_dir):
+    """Places within 40 m of each other whose names hold one another."""
+    p = places(spark, sf_dir)
+    names = read_table(spark, sf_dir, "places_final").select("place_id", "name")
+    near = near_pairs(p, p, "id", "id", "lat", "lon", "lat", "lon", 40.0).where("left_id < right_id")
+    named = near.join(names.select(F.col("place_id").alias("left_id"), F.col("name").alias("n1")), "left_id").join(names.select(F.col("place_id").alias("right_id"), F.col("name").alias("n2")), "right_id")
+    return named.where(joins.contains_either_way(F.col("n1"), F.col("n2"))).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+
+
+@R.add("k02_sync_town", "SELECT city_tag, count(*) AS n FROM (SELECT id, city_tag FROM stored_events WHERE coalesce(city_tag <> 'starograb', true) UNION ALL SELECT id, city_tag FROM stored_events WHERE city_tag = 'starograb' AND id % 2 = 0) GROUP BY city_tag")
+def k02_sync_town(spark, sf_dir):
+    """Stored rows after one town was replaced by half of its rows."""
+    s = read_table(spark, sf_dir, "stored_events").select("id", "city_tag", "source_url")
+    new = s.where("city_tag = 'starograb' and id % 2 = 0")
+    return store.sync_town(s, new, "city_tag", "starograb", "source_url", "id").groupBy("city_tag").agg(F.count("*").alias("n"))
+
+
 @R.add("j18_either_way", "SELECT p.place_id, v.place_id AS ref_id FROM places_final p JOIN venue_refs v ON v.city = p.city_tag WHERE trim(p.name) <> '' AND (contains(lower(trim(p.name)), lower(trim(v.name))) OR contains(lower(trim(v.name)), lower(trim(p.name))))")
 def j18_either_way(spark, sf_dir):
     """Places whose name holds a venue's name of the same town, or lies in it."""
@@ -151,9 +170,10 @@ def s15_weekly_series(spark, sf_dir):
 def e02_same_titles(spark, sf_dir):
     """Pairs of records of one town and day whose titles are duplicates, between distinct titles. No SQL counterpart."""
     r = records(spark, sf_dir).where("title is not null and city = 'brzostow'").select("city", day().alias("day"), "title", F.col("time_start").alias("t")).distinct()
-    a, b = r.withColumnsRenamed({"title": "title_a", "t": "t_a"}), r.withColumnsRenamed({"title": "title_b", "t": "t_b"})
+    r = cut(r.withColumn("s", dedup.title_stems(F.col("title"))))
+    a, b = r.withColumnsRenamed({"title": "title_a", "t": "t_a", "s": "s_a"}), r.withColumnsRenamed({"title": "title_b", "t": "t_b", "s": "s_b"})
     pairs = a.join(b, ["city", "day"]).where("title_a < title_b")
-    return pairs.where(dedup.same_title(F.col("title_a"), F.col("title_b"), F.col("t_a"), F.col("t_b"))).select("day", "title_a", "title_b")
+    return pairs.where(dedup.same_title(F.col("title_a"), F.col("title_b"), F.col("t_a"), F.col("t_b"), F.col("s_a"), F.col("s_b"))).select("day", "title_a", "title_b")
 
 
 @R.add("e04_clusters")
@@ -181,10 +201,10 @@ def m01_upsert(spark, sf_dir):
 
 @R.add("m02_fuzzy_upsert")
 def m02_fuzzy_upsert(spark, sf_dir):
-    """What happens to each record when it meets the stored events of its day. Sequential by nature, so no SQL."""
-    s = read_table(spark, sf_dir, "stored_events").select("date_start", F.col("id").alias("ord"), text.title_key(F.col("title")).alias("k"), F.col("source_url").alias("u"))
-    b = records(spark, sf_dir).where("date_start is not null").select("date_start", (F.col("record_id") + 10_000_000_000).alias("ord"), text.title_key(F.col("title")).alias("k"), F.col("source_url").alias("u"))
-    return dedup.fuzzy_upsert(s, b, ["date_start"], "ord", "k", "u")
+    """What happens to each record when it meets the stored events of its town and day. Sequential by nature, so no SQL."""
+    s = read_table(spark, sf_dir, "stored_events").select(F.col("city_tag").alias("city"), "date_start", F.col("id").alias("ord"), text.title_key(F.col("title")).alias("k"), F.col("source_url").alias("u"))
+    b = records(spark, sf_dir).where("date_start is not null").select("city", "date_start", (F.col("record_id") + 10_000_000_000).alias("ord"), text.title_key(F.col("title")).alias("k"), F.col("source_url").alias("u"))
+    return dedup.fuzzy_upsert(s, b, ["city", "date_start"], "ord", "k", "u")
 
 
 @R.add("m05_insert_ignore", "SELECT source_url, min(id) AS id FROM (SELECT id, source_url FROM stored_events UNION ALL SELECT record_id + 1000000, source_url FROM event_records WHERE source_url IS NOT NULL) GROUP BY source_url")

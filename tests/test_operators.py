@@ -122,6 +122,14 @@ def test_offers(spark):
     assert got == {(1, "A"): (0, "https://a.pl/2", 2), (1, "Inne:c.pl"): (3, "https://c.pl", 1), (1, "Inne:d.pl"): (4, "https://d.pl", 1), (2, "Bilety"): (0, "https://p.pl", 1)}
 
 
+def test_offers_of_a_stored_event_grow(spark):
+    schema = "e int, ord int, provider string, url string, price string"
+    old = spark.createDataFrame([(1, 0, "A", "https://a.pl/1", "sprawdź"), (1, 1, "Inne", "https://b.pl/x?r=1", "5 zł")], schema)
+    new = spark.createDataFrame([(1, 0, "A", "https://a.pl/2", "10 zł"), (1, 1, "Inne", "https://b.pl/x", "7 zł"), (1, 2, None, "https://c.pl", "9 zł"), (2, 0, "A", "https://a.pl", "1")], schema)
+    got = {(r.e, r.side, r.ord): (r.url, r.price) for r in store.merge_offers(old, new, "e", F.col("price").rlike(r"\d")).collect()}
+    assert got == {(1, 0, 0): ("https://a.pl/1", "10 zł"), (1, 0, 1): ("https://b.pl/x?r=1", "5 zł"), (1, 1, 2): ("https://c.pl", "9 zł"), (2, 1, 0): ("https://a.pl", "1")}
+
+
 def test_agenda(spark):
     d = dt.date
     df = spark.createDataFrame([(d(2026, 6, 10), d(2026, 6, 10)), (d(2026, 6, 1), d(2026, 6, 20)), (d(2026, 6, 11), d(2026, 6, 11)), (d(2026, 6, 1), d(2026, 6, 5))], "s date, e date")
