@@ -184,7 +184,7 @@ class _Targets:
     """Merge targets of one block in order, with character counts for an upper bound of the ratio to all of them at once."""
 
     def __init__(self, threshold: float) -> None:
-        self.threshold, self.keys, self.ids = threshold, [], []
+        self.threshold, self.keys, self.ids, self.matchers = threshold, [], [], []
         self.counts = np.zeros((16, 64), np.int16)
 
     @staticmethod
@@ -197,6 +197,7 @@ class _Targets:
         self.counts[len(self.keys)] = self._count(key)
         self.keys.append(key)
         self.ids.append(target)
+        self.matchers.append(SequenceMatcher(None, "", key))  # indexes its second text once
 
     def first(self, key: str) -> object:
         """The first target that is equal, contained, or similar; null if none is. Empty keys match nothing."""
@@ -209,7 +210,12 @@ class _Targets:
         # A contained key shares all of its characters, so it passes the second test.
         for i in np.flatnonzero((bound >= self.threshold) | (shared == np.minimum(have.sum(axis=1), len(key)))):
             other = self.keys[i]
-            if other and (other == key or other in key or key in other or SequenceMatcher(None, key, other).ratio() >= self.threshold):
+            if not other:
+                continue
+            if other == key or other in key or key in other:
+                return self.ids[i]
+            self.matchers[i].set_seq1(key)
+            if self.matchers[i].ratio() >= self.threshold:
                 return self.ids[i]
         return None
 
