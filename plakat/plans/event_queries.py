@@ -380,7 +380,7 @@ def m06_signature(spark, sf_dir):
     return dedup.first_by(records(spark, sf_dir).select("record_id", "date_start", "time_start", F.lower("title").alias("t")), ["date_start", "time_start", "t"], "record_id").select("record_id")
 
 
-@R.add("o02_first_page", f"SELECT record_id, date_start, row_number() OVER (ORDER BY date_start, record_id) AS position FROM event_records WHERE {_END} >= '{AS_OF}' ORDER BY date_start, record_id LIMIT 40")
+@R.add("o02_first_page", f"SELECT record_id, date_start, CAST(row_number() OVER (ORDER BY date_start, record_id) AS INT) AS position FROM event_records WHERE {_END} >= '{AS_OF}' ORDER BY date_start, record_id LIMIT 40")
 def o02_first_page(spark, sf_dir):
     """First page of the agenda."""
     r = agenda.active(records(spark, sf_dir), F.lit(AS_OF)).select("record_id", "date_start").where("date_start is not null")
