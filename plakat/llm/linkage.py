@@ -24,6 +24,9 @@ DOORS_MINUTES = 30
 #: Least posterior. Patterns between a quarter and a half agree in artist, day and time and differ in rare votes only.
 ACCEPT = 0.25
 
+#: Hash slots by which rows that no join needs are left out beforehand.
+SLOTS = 1 << 17
+
 # The label model -------------------------------------------------------------------------------------
 
 
@@ -163,7 +166,7 @@ def showing_links(records: DataFrame, garbled: Model | None = None, accept: floa
     """Pairs of records of different sources that announce the same showing: (id_a < id_b, confidence).
 
     ``records``: (id, source, title, date, date_end, start, doors, venue, place, town, kind).
-    Candidates share a rare title word and the day. An end date before the
+    Candidates share the day and a rare title word, or common ones and the town (see ``_common_pairs``). An end date before the
     start date shows that the latter is off: the day is then the end date; it is also used if the start
     date is missing. Nine matching functions vote on each candidate; only counted vote patterns (at
     most 31,104 by the sizes of the votes) reach the driver, where the label model learns from
@@ -194,16 +197,18 @@ def showing_links(records: DataFrame, garbled: Model | None = None, accept: floa
     common = sorted(r[0] for r in counted.select("x").collect())
     lit = F.array(*[F.lit(x) for x in common]) if common else F.array().cast("array<string>")
     own = base.select("*", F.array_except("w", lit).alias("r"), F.transform(F.array_intersect("w", lit), lambda x: F.hash(x)).alias("m")).drop("w")
-    # Titles made of common words only are keyed by all of them.
-    own = own.withColumn("keys", F.when(F.size("r") > 0, F.col("r")).otherwise(F.array(F.array_join(F.transform(F.array_sort("m"), lambda x: x.cast("string")), " "))))
+    own = cut(own) if common else own
     # Both sides of the join read the one exchange.
-    a = own.withColumn("key", F.explode("keys")).drop("keys").repartition("key", "day")
+    a = own.withColumn("key", F.explode("r")).repartition("key", "day")
     cols = [c for c in a.columns if c not in ("key", "day")]
     b = a.select("key", "day", *[F.col(c).alias(f"{c}_b") for c in cols])
-    pairs = a.join(b, ["key", "day"]).where("id < id_b")
-    both = F.array_intersect("r", "r_b")
     # A pair that shares several rare words is kept once, at the smallest of them.
-    pairs = pairs.where((F.size(both) == 0) | (F.col("key") == F.array_min(both)))
+    pairs = a.join(b, ["key", "day"]).where("id < id_b").where(F.col("key") == F.array_min(F.array_intersect("r", "r_b"))).drop("key", "day")
+    if common:
+        met = cut(_common_pairs(own))
+        part = _among(own.drop("day"), ["id"], met.select("id").union(met.select("id_b")))
+        pairs = pairs.unionByName(met.join(part, "id").join(part.select(*[F.col(c).alias(f"{c}_b") for c in cols]), "id_b").where(~F.arrays_overlap("r", "r_b")))
+    both = F.array_intersect("r", "r_b")
 
     # A slip in one name: some unshared words differ by one letter, or by two exchanged ones.
     slip = F.exists(F.array_except("r", "r_b"), lambda x: F.exists(F.array_except("r_b", "r"), lambda y: F.levenshtein(x, y) <= F.when(F.length(x) == F.length(y), 2).otherwise(1)))
@@ -245,6 +250,33 @@ def showing_links(records: DataFrame, garbled: Model | None = None, accept: floa
     return _settle(good)
 
 
+def _among(df: DataFrame, on: list[str], keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among ``keys`` (columns in the order of ``on``), by hash slots; a join follows."""
+    slot = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SLOTS)).alias("_s")
+    seen = keys.select(slot([F.col(c) for c in keys.columns])).distinct()
+    return df.withColumn("_s", slot([F.col(c) for c in on])).join(F.broadcast(seen), "_s", "left_semi").drop("_s")  # SLOTS rows at most
+
+
+def _common_pairs(own: DataFrame) -> DataFrame:
+    """Pairs of records of a day that share a common title word, in one town and not known to start apart: (id < id_b).
+
+    At least one of the two has fewer than two rare words; titles with two or more each name their artists by them.
+    A record without a town meets those of every town.
+    """
+    towns = sorted(r[0] for r in own.where("not no_c").select("c").distinct().collect())
+    every = F.array(*[F.lit(x) for x in towns], F.lit(None).cast("int"))
+    slim = own.where("size(m) > 0").select("id", "day", "t", "no_c", "m", (F.size("r") < 2).alias("few"), F.explode(F.when(F.col("no_c"), every).otherwise(F.array("c"))).alias("c"))
+    keyed = slim.withColumn("key", F.explode("m"))
+    right = _among(keyed, ["key", "day", "c"], keyed.where("few").select("key", "day", "c"))
+    left = keyed.where("few").select("key", "day", "c", *[F.col(x).alias(f"{x}_b") for x in ("id", "t", "no_c", "m")])
+    met = right.join(left, (right["key"] == left["key"]) & (right["day"] == left["day"]) & right["c"].eqNullSafe(left["c"])).drop(left["key"], left["day"], left["c"])
+    gap = F.abs(F.col("t") - F.col("t_b"))
+    met = met.where("id <> id_b and (not few or id < id_b)").where(gap.isNull() | (gap <= APART_MINUTES))
+    # Two records without a town meet once, and so does a pair that shares several words.
+    met = met.where((F.col("no_c") & F.col("no_c_b")) == F.col("c").isNull()).where(F.col("key") == F.array_min(F.array_intersect("m", "m_b")))
+    return met.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b"))
+
+
 def _settle(good: DataFrame) -> DataFrame:
     """Link records without a time to one start of the day where several fit."""
     timed = good.where("(t is null and t_b is null) or (t is not null and t_b is not null)").where("not one_source").select("id", "id_b", "confidence")

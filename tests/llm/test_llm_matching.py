@@ -106,3 +106,25 @@ def test_venue_labels_of_the_data(spark, small):
     m = {(r["name"], r.area): r.entry for r in mapped.collect()}
     rows = [r for r in asked.collect() if r.place_id in ok and r.area]
     assert sum(m[r["name"], r.area] == r.place_id for r in rows) / len(rows) > 0.97
+
+
+def _announcements(rows):
+    """Ordinary announcements to learn from, and the given (id, source, title, date, date_end, start, venue, town)."""
+    out = []
+    for k in range(200):
+        a, b = chr(97 + k % 26), chr(97 + k // 26)
+        t, d = f"Recital: Artysta{a}{b}x Nazwisko{b}{a}q – Sny o rzece", f"2027-04-{1 + k % 28:02d}"
+        out += [(10**6 + 10 * k, "s1", t, d, None, "18:30", "Klub Muszla", "sg"), (10**6 + 10 * k + 1, "s2", t.upper(), d, None, "18:45", "Klub Muszla", "sg"), (10**6 + 10 * k + 2, "s2", t, d, None, "21:45", "Klub Muszla", "sg")]
+    return [(*r[:6], None, r[6], None, r[7], "concert") for r in out + rows]
+
+
+SHOWING = "id bigint, source string, title string, date string, date_end string, start string, doors string, venue string, place string, town string, kind string"
+
+
+def test_showings_of_an_artist_of_many_rows(spark):
+    rows = []
+    for k in range(100):
+        d = f"2027-{5 + k // 28:02d}-{1 + k % 28:02d}"
+        rows += [(10 * k, "s1", "Koncert: Hara Hełodar", d, None, "19:00", "Klub Muszla", "sg"), (10 * k + 1, "s2", "Hara Hełodar – bilety", d, None, "19:00", "Klub Muszla", "sg" if k else None), (10 * k + 2, "s3", "Hara Hełodar", d, None, "22:30", "Klub Muszla", "sg")]
+    got = {(r.id_a, r.id_b) for r in linkage.showing_links(spark.createDataFrame(_announcements(rows), SHOWING)).collect() if r.id_a < 10**6}
+    assert got == {(10 * k, 10 * k + 1) for k in range(100)}
