@@ -84,18 +84,20 @@ def place_similarity(query: Column, place: Column) -> Column:
     )
 
 
-def resolve_by_text(events: DataFrame, key: str, tokens: Column, places: DataFrame, threshold: float = 0.75) -> DataFrame:
+def resolve_by_text(events: DataFrame, key: str, tokens: Column, places: DataFrame, threshold: float = 0.75, area: str | None = None) -> DataFrame:
     """Best place for each event's tokens: (key, place_id, score). ``places``: (place_id, place_tokens, place_ord).
 
-    Candidates share a token or an acronym; the first place in order wins ties.
+    Candidates share a token or an acronym; the first place in order wins ties. With ``area``, a column of both sides, they
+    share it too, and the result is the best place for each (key, area), with that column.
     """
-    e = events.select(key, tokens.alias("_q"))
+    block = [area] if area else []
+    e = events.select(key, *block, tokens.alias("_q"))
     words = F.array_union(F.col("place_tokens"), F.array(acronym(F.col("place_tokens"))))
     e2, p2 = e.withColumn("_t", F.explode("_q")), places.withColumn("_t", F.explode(words)).where("_t <> ''")
-    cand = e2.join(p2, "_t").select(key, "_q", "place_id", "place_tokens", "place_ord").dropDuplicates([key, "place_id"])
+    cand = e2.join(p2, ["_t", *block]).select(key, *block, "_q", "place_id", "place_tokens", "place_ord").dropDuplicates([key, *block, "place_id"])
     scored = cand.withColumn("score", place_similarity(F.col("_q"), F.col("place_tokens"))).where(F.col("score") >= threshold)
-    w = W.partitionBy(key).orderBy(F.col("score").desc(), "place_ord")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, "place_id", "score")
+    w = W.partitionBy(key, *block).orderBy(F.col("score").desc(), "place_ord")
+    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, *block, "place_id", "score")
 
 
 def greedy_clusters(events: DataFrame, block: list[str], order: str, title: str, time: str) -> DataFrame:

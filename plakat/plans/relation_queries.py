@@ -94,16 +94,27 @@ def j02_by_rule(spark, sf_dir):
 
 @R.add("j04_cascade")
 def j04_cascade(spark, sf_dir):
-    """Venue by id, rule and text; each step only for what the earlier ones left. Similarity has no SQL counterpart."""
-    refs = read_table(spark, sf_dir, "venue_refs")
-    r = records(spark, sf_dir).where("city = 'starograb'")
+    """Venue by id, rule and text; each step only for what the earlier ones left. Similarity has no SQL counterpart.
+
+    Rules and texts count in the record's town. Without a town, no rule applies, and the text must mean a venue of one town best.
+    """
+    return cascade(records(spark, sf_dir), read_table(spark, sf_dir, "venue_refs"))
+
+
+def cascade(r, refs):
+    """Venue of each record: (record_id, place_id, how)."""
     known = refs.select(F.col("place_id").alias("_known"))
-    open_ = r.join(known, F.col(_P) == F.col("_known"), "left_anti").select("record_id", F.col(_V).alias("v"))
-    table = spark.createDataFrame(RULES, "word string, rule_ord int, target string")
-    by_rule = rules.rule_join(open_, "record_id", F.col("v"), table).select("record_id", F.col("target").alias("place_id"))
+    open_ = r.join(known, F.col(_P) == F.col("_known"), "left_anti").select("record_id", F.nullif("city", F.lit("")).alias("city"), F.col(_V).alias("v"))
+    table = r.sparkSession.createDataFrame([(*x, "starograb") for x in RULES], "word string, rule_ord int, target string, city string")
+    by_rule = rules.rule_join(open_, "record_id", F.col("v"), table, "city").select("record_id", F.col("target").alias("place_id"))
     rest = open_.join(by_rule, "record_id", "left_anti").where(F.length(F.trim("v")) > 3)
-    local = refs.where("city = 'starograb'").select("place_id", text.venue_tokens(F.col("name"), "starograb").alias("place_tokens"), F.col("place_id").alias("place_ord"))
-    by_text = dedup.resolve_by_text(rest, "record_id", text.venue_tokens(F.col("v"), "starograb"), local).select("record_id", "place_id")
+    towns = sorted(x[0] for x in refs.where("city is not null").select("city").distinct().collect())  # towns of the portal: a fixed table
+    rest = rest.withColumn("city", F.explode(F.when(F.col("city").isNull(), F.array(*[F.lit(t) for t in towns])).otherwise(F.array("city"))))
+    tokens = lambda c: F.coalesce(*[F.when(F.col("city") == t, text.venue_tokens(F.col(c), t)) for t in towns])
+    local = refs.select("place_id", "city", tokens("name").alias("place_tokens"), F.col("place_id").alias("place_ord"))
+    best = dedup.resolve_by_text(rest, "record_id", tokens("v"), local, area="city")
+    top = best.groupBy("record_id").agg(F.max("score").alias("top"))
+    by_text = best.join(top, "record_id").where("score = top").groupBy("record_id").agg(F.min("place_id").alias("place_id"), F.count("*").alias("n")).where("n = 1").select("record_id", "place_id")
     return joins.resolve(r, "record_id", F.col(_P), refs, by_rule, by_text)
 
 
@@ -169,7 +180,12 @@ def s15_weekly_series(spark, sf_dir):
 @R.add("e02_same_titles")
 def e02_same_titles(spark, sf_dir):
     """Pairs of records of one town and day whose titles are duplicates, between distinct titles. No SQL counterpart."""
-    r = records(spark, sf_dir).where("title is not null and city = 'brzostow'").select("city", day().alias("day"), "title", F.col("time_start").alias("t")).distinct()
+    return same_titles(records(spark, sf_dir))
+
+
+def same_titles(r):
+    """Duplicate titles of a town and day; records without a town meet each other."""
+    r = r.where("title is not null").select(F.coalesce("city", F.lit("")).alias("city"), day().alias("day"), "title", F.col("time_start").alias("t")).distinct()
     r = cut(r.withColumn("s", dedup.title_stems(F.col("title"))))
     a, b = r.withColumnsRenamed({"title": "title_a", "t": "t_a", "s": "s_a"}), r.withColumnsRenamed({"title": "title_b", "t": "t_b", "s": "s_b"})
     pairs = a.join(b, ["city", "day"]).where("title_a < title_b")
