@@ -21,6 +21,11 @@ def records(spark, sf_dir):
     return read_table(spark, sf_dir, "event_records")
 
 
+def ordinary(r):
+    """Rows whose title SQL folds alike."""
+    return r.where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+
+
 def as_of():
     return F.lit(AS_OF).cast("date")
 
@@ -33,17 +38,35 @@ _SLUG = f"trim(regexp_replace(regexp_replace(lower({_FULL % 'title'}), '[^{_LET}
 @R.add("t01_slug", f"SELECT record_id, {_SLUG} AS slug FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
 def t01_slug(spark, sf_dir):
     """Slugs of titles in ordinary characters."""
-    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+    return _t01_slug(ordinary(records(spark, sf_dir)))
+
+
+def _t01_slug(r):
     return r.select("record_id", text.slugify(F.col("title")).alias("slug"))
 
 
+@R.add("t01_slug_all")
+def t01_slug_all(spark, sf_dir):
+    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
+    return _t01_slug(records(spark, sf_dir).where("title is not null"))
+
+
 @R.add("t02_title_key", f"SELECT record_id, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(title), '20\\d{{2}}', '', 'g'), '[^{_LET}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)), ' ') AS title_key FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
 def t02_title_key(spark, sf_dir):
     """Order-free keys of titles."""
-    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+    return _t02_title_key(ordinary(records(spark, sf_dir)))
+
+
+def _t02_title_key(r):
     return r.select("record_id", text.title_key(F.col("title")).alias("title_key"))
 
 
+@R.add("t02_title_key_all")
+def t02_title_key_all(spark, sf_dir):
+    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
+    return _t02_title_key(records(spark, sf_dir).where("title is not null"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in text.VENUE_STOPWORDS + text.town_forms("starograb"))
 
 
@@ -85,10 +108,19 @@ def t06_clean_title(spark, sf_dir):
 @R.add("t07_scrub", r"SELECT record_id, trim(regexp_replace(title, '(&#65533;|\?+|[a-zA-ZąćęłńóśźżĄĆĘŁŃÓŚŹŻ]{2,}\?[a-zA-ZąćęłńóśźżĄĆĘŁŃÓŚŹŻ]{2,})', '', 'g')) AS title FROM event_records WHERE regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
 def t07_scrub(spark, sf_dir):
     """Titles in ordinary characters without broken pieces."""
-    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+    return _t07_scrub(ordinary(records(spark, sf_dir)))
+
+
+def _t07_scrub(r):
     return r.select("record_id", text.scrub(F.col("title")).alias("title"))
 
 
+@R.add("t07_scrub_all")
+def t07_scrub_all(spark, sf_dir):
+    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
+    return _t07_scrub(records(spark, sf_dir).where("title is not null"))
+
+
 _UNESC = "text"
 for _k, _v in text.ENTITIES.items():
     _UNESC = f"replace({_UNESC}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
@@ -128,10 +160,19 @@ def t15_paragraphs(spark, sf_dir):
 @R.add("t17_role_pair", "SELECT record_id, CASE WHEN regexp_matches(title, '[–—]') THEN trim(regexp_extract(title, '^(.*?)\\s*[–—]\\s*(.*)$', 1)) WHEN contains(title, ' - ') THEN trim(regexp_extract(title, '^(.*) - (.*)$', 1)) END AS role, trim(CASE WHEN regexp_matches(title, '[–—]') THEN regexp_extract(title, '^(.*?)\\s*[–—]\\s*(.*)$', 2) WHEN contains(title, ' - ') THEN regexp_extract(title, '^(.*) - (.*)$', 2) ELSE title END) AS person FROM event_records WHERE regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
 def t17_role_pair(spark, sf_dir):
     """Both sides of a dash in titles."""
-    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+    return _t17_role_pair(ordinary(records(spark, sf_dir)))
+
+
+def _t17_role_pair(r):
     return r.select("record_id", text.role_pair(F.col("title")).alias("p")).select("record_id", "p.role", "p.person")
 
 
+@R.add("t17_role_pair_all")
+def t17_role_pair_all(spark, sf_dir):
+    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
+    return _t17_role_pair(records(spark, sf_dir).where("title is not null"))
+
+
 @R.add("t19_palette", "SELECT record_id, CAST(('0x' || right(md5(title), 1))::INT % 8 AS INT) AS palette FROM event_records WHERE title IS NOT NULL")
 def t19_palette(spark, sf_dir):
     """Palette of the placeholder poster."""
@@ -195,12 +236,21 @@ def u04_provider(spark, sf_dir):
 @R.add("u05_u09_built_urls", f"SELECT record_id, source_url || CASE WHEN contains(source_url, '?') THEN '&' ELSE '?' END || 'ref=portal' AS decorated, source_url || '#' || concat_ws('-', city, date_start) AS instance, 'local://' || city || '/' || {_SLUG} || '-' || date_start AS local_url, 'https://a.example/kup/' || regexp_replace(source_url, '^https?://[^/]*/', '') AS joined FROM event_records WHERE source_url IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*') AND regexp_matches(source_url, '^https?://[^/]*/[^/]')")
 def u05_u09_built_urls(spark, sf_dir):
     """Decorated, instance, synthetic and joined links."""
-    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$") & F.col("source_url").rlike("^https?://[^/]*/[^/]"))
+    return _built_urls(ordinary(records(spark, sf_dir)).where(F.col("source_url").rlike("^https?://[^/]*/[^/]")))
+
+
+def _built_urls(r):
     u = F.col("source_url")
-    rel = F.regexp_replace(u, "^https?://[^/]*/", "")
+    rel = F.regexp_replace(u, "^https?://[^/]*/?", "")
     return r.select("record_id", url.with_parameter(u, "ref", "portal").alias("decorated"), url.with_fragment(u, F.col("city"), F.col("date_start")).alias("instance"), url.local_url(F.col("city"), F.col("title"), F.col("date_start")).alias("local_url"), url.absolute(rel, "https://a.example/kup/x.html").alias("joined"))
 
 
+@R.add("u05_u09_built_urls_all")
+def u05_u09_built_urls_all(spark, sf_dir):
+    """The same for all titles and for links without a path. DuckDB folds other characters differently, so no SQL."""
+    return _built_urls(records(spark, sf_dir).where("title is not null and source_url is not null"))
+
+
 @R.add("u06_landing", "SELECT record_id, len(p) < 2 OR coalesce(p[1] IN ('e'), false) AS landing FROM (SELECT record_id, list_filter(string_split(regexp_replace(regexp_extract(source_url, '^([^#?]*)', 1), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*', ''), '/'), lambda x: x <> '') AS p FROM event_records WHERE source_url IS NOT NULL)")
 def u06_landing(spark, sf_dir):
     """Is the link a landing page?"""
@@ -483,10 +533,19 @@ def c16_overrides(spark, sf_dir):
 @R.add("k06_thumbnail_key", f"SELECT record_id, 'ev_' || {_SLUG} || '.webp' AS file FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
 def k06_thumbnail_key(spark, sf_dir):
     """File names of pictures."""
-    r = records(spark, sf_dir).where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
+    return _k06_thumbnail_key(ordinary(records(spark, sf_dir)))
+
+
+def _k06_thumbnail_key(r):
     return r.select("record_id", text.thumbnail_key("ev", F.col("title")).alias("file"))
 
 
+@R.add("k06_thumbnail_key_all")
+def k06_thumbnail_key_all(spark, sf_dir):
+    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
+    return _k06_thumbnail_key(records(spark, sf_dir).where("title is not null"))
+
+
 HALLS = [(["mała scena"], "mala"), (["duża scena"], "duza"), (["foyer", "piwnica"], "inne")]
 
 
