@@ -7,14 +7,16 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of clean-looking text the classifier is fitted on (rows with the smallest hash); everything else covers all data.
+from plakat.runtime import cut
+
+#: Rows of clean-looking text the classifier is fitted on (rows with the smallest hash); everything else, known words too, covers all data.
 TRAIN_ROWS = 12_000
 #: Hash buckets of byte bigrams.
 BUCKETS = 1 << 14
@@ -309,6 +311,85 @@ def repair(text: str, verdict: dict[str, tuple[str, str | None]]) -> str:
     return " ".join(verdict[t][1] if t in verdict and verdict[t][1] is not None else t for t in text.split(" "))
 
 
+def _parts(value: str, js: bool) -> list[str]:
+    if js:
+        try:
+            return list(_strings(json.loads(value)))
+        except (ValueError, RecursionError):
+            pass
+    return [value]
+
+
+def _undone(token: str) -> list[str]:
+    """What the one-byte chains undo a token to, if it is ordinary text."""
+    return [f for a, b in CROSS if (f := undo(token, f"{a}>{b}")) is not None and f != token and not _UNSAFE.search(f)]
+
+
+def _counts(fields: DataFrame) -> DataFrame:
+    """(other, text, n): words of ordinary tokens with Polish letters, in lower case, and tokens with other characters, over all rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter[tuple[bool, str]] = Counter()
+            for v, js in zip(pdf["value"], pdf["is_json"], strict=True):
+                for tok in {} if v is None else (t for p in _parts(v, js) if not p.isascii() for t in p.split(" ") if not t.isascii()):
+                    if _UNSAFE.search(tok):
+                        n[True, tok[:TOKEN_CHARS]] += 1
+                    else:
+                        n.update((False, w.lower()) for w in _WORD.findall(tok) if len(w) > 1)
+            yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["other", "text", "n"])
+
+    rows = fields.where(F.col("value").rlike(r"[^\x00-\x7F]") | F.col("is_json") & F.col("value").contains("\\u")).select("value", "is_json")
+    return cut(rows.mapInPandas(run, "other boolean, text string, n bigint").groupBy("other", "text").agg(F.sum("n").alias("n")))
+
+
+def _foreign(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Words (x) of tokens with other letters that occur twice, aren't broken, and that no chain undoes to more frequent words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for tok, n in zip(pdf["text"], pdf["n"], strict=True):
+                if _obviously_broken(tok):
+                    continue
+                back = [[w.lower() for w in _WORD.findall(f) if not w.isascii()] for f in _undone(tok)]
+                if all(back):
+                    words = [w.lower() for w in _WORD.findall(tok)]
+                    out += [(tok, n, i, w, words) for i, ws in enumerate(back) for w in ws] or [(tok, n, -1, None, words)]
+            yield pd.DataFrame(out, columns=["tok", "n", "chain", "x", "words"])
+
+    tried = counts.where("other and n > 1").select("text", "n").mapInPandas(run, "tok string, n bigint, chain int, x string, words array<string>")
+    tried = tried.join(known.select("x", F.col("n").alias("k")), "x", "left")
+    chains = tried.groupBy("tok", "chain").agg(F.min(F.coalesce(F.col("k") > F.col("n"), F.lit(False))).alias("twin"), F.first("words").alias("words"))
+    return chains.groupBy("tok").agg(F.max("twin").alias("twin"), F.first("words").alias("words")).where("not twin").select(F.explode("words").alias("x")).distinct()
+
+
+def _lexicon(fields: DataFrame, rows: DataFrame) -> DataFrame:
+    """What all rows tell about the words that ``rows`` ask for: (_k, facts), facts of (kind, x) with kinds word, near and foreign."""
+    counts = _counts(fields)
+    known = counts.where("not other").select(F.col("text").alias("x"), "n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = set()
+            for k, v, js in zip(pdf["_k"], pdf["value"], pdf["is_json"], strict=True):
+                for p in _parts(v, js):
+                    if "?" in p:
+                        out |= {(k, "word", w.lower() + c) for w in _LOST_END.findall(_LINK.sub(" ", p)) for c in "ąćęłńóśźż"}
+                    for tok in p.split(" "):
+                        if tok.isascii() or not _UNSAFE.search(tok):
+                            continue
+                        out |= {(k, "foreign", w.lower()) for w in _WORD.findall(tok) if not w.isascii()}
+                        for w in {w.lower() for f in _undone(tok) for w in _WORD.findall(f) if not w.isascii()}:
+                            out |= {(k, "near", w)} | {(k, "word", x) for x in (w, *_shorter(w))}
+            yield pd.DataFrame(list(out), columns=["_k", "kind", "x"])
+
+    asked = rows.select("_k", "value", "is_json").mapInPandas(run, "_k bigint, kind string, x string")
+    near = known.where(F.length("x") > 4).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.concat(F.substring(F.col("x"), F.lit(1), i - 1), F.substring(F.col("x"), i + 1, F.length("x"))))).alias("x")).distinct()
+    facts = known.select(F.lit("word").alias("kind"), "x").unionByName(near.select(F.lit("near").alias("kind"), "x")).unionByName(_foreign(counts, known).select(F.lit("foreign").alias("kind"), "x"))
+    return asked.join(facts, ["kind", "x"]).groupBy("_k").agg(F.collect_set(F.concat_ws(":", "kind", "x")).alias("facts"))
+
+
 def garbled_fields(fields: DataFrame, model: Model) -> DataFrame:
     """Find garbled fields among (tbl, row_key, field, value, is_json): returns (tbl, row_key, field, chains, restored).
 
@@ -320,11 +401,19 @@ def garbled_fields(fields: DataFrame, model: Model) -> DataFrame:
     Null and empty values are never found. Text that isn't valid JSON is treated as plain text.
     """
     rows = fields.where(F.when(F.col("is_json"), suspicious_json(F.col("value"))).otherwise(suspicious(F.col("value"))))
+    rows = cut(rows.withColumn("_k", F.xxhash64("tbl", "row_key", "field")))
+    rows = rows.join(_lexicon(fields, rows), "_k", "left")
     shared = fields.sparkSession.sparkContext.broadcast(model)  # BUCKETS x chains numbers and the words of TRAIN_ROWS rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        base = shared.value
         for pdf in batches:
+            known: dict[str, set[str]] = {"word": set(), "near": set(), "foreign": set()}
+            for facts in pdf["facts"]:
+                for f in facts if facts is not None else ():
+                    kind, _, x = f.partition(":")
+                    known[kind].add(x)
+            m = replace(base, words=base.words | known["word"], nearly=base.nearly | known["near"], foreign=base.foreign | known["foreign"])
             parsed: list[tuple[object, list[str]]] = []
             for v, js in zip(pdf["value"], pdf["is_json"], strict=True):
                 if js:

@@ -84,3 +84,12 @@ def test_pii_frames(spark):
     assert pii.found_spans(df, "doc_id", "text").count() == 2
     got = sorted((r.doc_id, r.n_spans, r.text if r.text is None else len(r.text)) for r in pii.masked_texts(df, "doc_id", "text", "k").where(F.col("n_spans") == 0).collect())
     assert got == [(1, 0, 60_000), (2, 0, None), (3, 0, 0)]
+
+
+def test_known_words_come_from_all_rows(spark, model):
+    """Words that the classifier's sample doesn't hold."""
+    values = ["Zofia Kuręda", "Zofia Kurêda", "Kapela Wytrzęsą", "Kapela Wytrzês¹", "Wytrzęs? dalej"]
+    f = fields(spark, values)
+    assert not {"kuręda", "wytrzęsą"} & model.words
+    got = {values[int(r.row_key)]: r.restored for r in mojibake.garbled_fields(f, model).collect()}
+    assert got == {"Zofia Kurêda": "Zofia Kuręda", "Kapela Wytrzês¹": "Kapela Wytrzęsą", "Wytrzęs? dalej": None}
