@@ -68,7 +68,8 @@ def repair_tokens(tokens: DataFrame, reference: DataFrame) -> DataFrame:
     )
     begin = r.select("rtok", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("rtok") - 1)), lambda i: F.substring(F.col("rtok"), F.lit(1), i))).alias("tok"))
     short = t.select("tok").where(F.length("tok").between(3, 6)).join(begin, "tok").select("tok", "rtok", F.lit(0.9).alias("sim"))
-    return edit.unionByName(short).groupBy("tok", "rtok").agg(F.max("sim").alias("sim"))
+    long = tokens.select("tok").where(F.length("tok") > TOKEN_CHARS).join(reference.select(F.col("rtok").alias("tok"), "rtok"), "tok").select("tok", "rtok", F.lit(1.0).alias("sim"))
+    return edit.unionByName(short).unionByName(long).groupBy("tok", "rtok").agg(F.max("sim").alias("sim"))
 
 
 def tidy(names: DataFrame, col: str, out: str) -> DataFrame:

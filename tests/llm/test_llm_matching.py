@@ -128,3 +128,9 @@ def test_showings_of_an_artist_of_many_rows(spark):
         rows += [(10 * k, "s1", "Koncert: Hara Hełodar", d, None, "19:00", "Klub Muszla", "sg"), (10 * k + 1, "s2", "Hara Hełodar – bilety", d, None, "19:00", "Klub Muszla", "sg" if k else None), (10 * k + 2, "s3", "Hara Hełodar", d, None, "22:30", "Klub Muszla", "sg")]
     got = {(r.id_a, r.id_b) for r in linkage.showing_links(spark.createDataFrame(_announcements(rows), SHOWING)).collect() if r.id_a < 10**6}
     assert got == {(10 * k, 10 * k + 1) for k in range(100)}
+
+
+def test_long_tokens_match_their_equals(spark):
+    long = "muzeum" * 8
+    got = canonical.repair_tokens(spark.createDataFrame([(long,), (long + "x",)], "tok string"), spark.createDataFrame([(long,), ("dom",)], "rtok string")).collect()
+    assert [tuple(r) for r in got] == [(long, long, 1.0)]
