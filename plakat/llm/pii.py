@@ -267,7 +267,7 @@ def pseudonym(kind: str, found: str, key: bytes) -> str:
             number //= 26
         return _refill(found, out + str(feistel(int(digits), 10 ** len(digits), key, f"digits{len(digits)}")).zfill(len(digits)))
     plain = re.sub(r"\W+", " ", found.lower()).strip()
-    return hmac.new(key, f"{kind}:{plain}".encode(), hashlib.blake2b).hexdigest()[:8]
+    return hmac.new(key, f"{kind}:{plain}".encode(), hashlib.blake2b).hexdigest()[:16]
 
 
 def mask(text: str | None, spans: list[tuple[int, int, str]], key: bytes) -> str | None:

@@ -93,3 +93,7 @@ def test_known_words_come_from_all_rows(spark, model):
     assert not {"kuręda", "wytrzęsą"} & model.words
     got = {values[int(r.row_key)]: r.restored for r in mojibake.garbled_fields(f, model).collect()}
     assert got == {"Zofia Kurêda": "Zofia Kuręda", "Kapela Wytrzês¹": "Kapela Wytrzęsą", "Wytrzęs? dalej": None}
+
+
+def test_pseudonyms_of_persons_are_long():
+    assert all(len(pii.pseudonym(k, "Jan Kowal", b"key")) == 16 for k in ("person", "email", "address"))
