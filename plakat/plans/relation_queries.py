@@ -215,6 +215,14 @@ def m01_upsert(spark, sf_dir):
     return store.upsert(s, batch, "source_url", "id").select("source_url", "id")
 
 
+@R.add("m01_upsert_records", "WITH b AS (SELECT source_url, min(record_id) + 1000000 AS id FROM event_records WHERE source_url IS NOT NULL GROUP BY source_url) SELECT coalesce(b.source_url, s.source_url) AS source_url, coalesce(b.id, s.id) AS id FROM stored_events s FULL JOIN b ON b.source_url = s.source_url")
+def m01_upsert_records(spark, sf_dir):
+    """Stored table after a batch of all records, the first of each link: known and new links."""
+    s = read_table(spark, sf_dir, "stored_events").select("id", "source_url")
+    batch = records(spark, sf_dir).where("source_url is not null").groupBy("source_url").agg((F.min("record_id") + 1000000).alias("id"))
+    return store.upsert(s, batch, "source_url", "id").select("source_url", "id")
+
+
 @R.add("m02_fuzzy_upsert")
 def m02_fuzzy_upsert(spark, sf_dir):
     """What happens to each record when it meets the stored events of its town and day. Sequential by nature, so no SQL."""

@@ -51,3 +51,10 @@ def test_all_titles_are_registered(spark, small):
     n = spark.read.parquet(f"{small}/event_records.parquet").where("title is not null").count()
     for q in ("t01_slug", "t02_title_key", "t07_scrub", "t17_role_pair", "k06_thumbnail_key"):
         assert ev.R.queries[f"{q}_all"](spark, small).count() == n
+
+
+def test_upsert_inserts_new_links(spark, small):
+    stored = {r[0] for r in spark.read.parquet(f"{small}/stored_events.parquet").select("source_url").collect()}
+    links = {r[0] for r in spark.read.parquet(f"{small}/event_records.parquet").where("source_url is not null").select("source_url").collect()}
+    got = {r.source_url for r in rel.R.queries["m01_upsert_records"](spark, small).collect()}
+    assert links - stored and got == links | stored
