@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,10 +19,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 20
 _NONE = np.int64(1) << 40
-#: Words a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+#: Words and ids a worker remembers; beyond either the memory starts anew.
+CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
 #: Words longer than this are encoded but not remembered.
 CACHE_LENGTH = 64
+#: Bytes from which a word is merged by a heap: rounds cost its length times the number of different merges in it.
+LONG_BYTES = 512
 #: Characters handled at once inside a batch.
 CHUNK_CHARS = 2_000_000
 
@@ -104,8 +107,50 @@ def merge_rounds(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.
     return flat[order].astype(np.int32), np.bincount(owner, minlength=n)
 
 
+def merge_long(word: bytes, table: MergeTable) -> np.ndarray:
+    """Ids of one long word: the lowest-ranked pair first, the leftmost of equal ones, from a heap over linked symbols."""
+    symbols = table.byte_ids[np.frombuffer(word, np.uint8)]
+
+    def ranks(key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(table.keys, key), len(table.keys) - 1)
+        return np.where(table.keys[at] == key, table.merged[at], _NONE)
+
+    rank = ranks((symbols[:-1] << _SHIFT) | symbols[1:])
+    there = np.flatnonzero(rank != _NONE)
+    heap = list(zip(rank[there].tolist(), there.tolist(), strict=True))
+    heapq.heapify(heap)
+    ids, n, none = symbols.tolist(), len(symbols), int(_NONE)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    wanted = rank.tolist() + [none]  # rank of the pair that starts here; none once a symbol is swallowed
+    known: dict[int, int] = {}
+
+    def renew(i: int) -> None:
+        j = after[i]
+        wanted[i] = none
+        if j < n:
+            key = (ids[i] << _SHIFT) | ids[j]
+            if key not in known:
+                known[key] = int(ranks(np.array([key]))[0])
+            wanted[i] = known[key]
+            if wanted[i] != none:
+                heapq.heappush(heap, (wanted[i], i))
+
+    while heap:
+        r, i = heapq.heappop(heap)
+        if wanted[i] != r:
+            continue
+        j = after[i]
+        ids[i], after[i], wanted[j], ids[j] = r, after[j], none, -1
+        if after[j] < n:
+            before[after[j]] = i
+        renew(i)
+        if before[i] >= 0:
+            renew(before[i])
+    return np.array([x for x in ids if x >= 0], np.int32)
+
+
 class Encoder:
-    """Encodes texts, remembering the words met before; memory is bounded by ``CACHE_WORDS``."""
+    """Encodes texts, remembering the short words met before; memory is bounded by ``CACHE_WORDS`` and ``CACHE_IDS`` plus one chunk of text."""
 
     def __init__(self, table: MergeTable, pattern: str = PATTERN) -> None:
         self.table, self.split = table, regex.compile(pattern).findall
@@ -116,35 +161,47 @@ class Encoder:
         self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
         self.store = np.empty(0, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        flat, count = merge_rounds([w.encode("utf-8", "surrogatepass") for w in words], self.table)
-        base = len(self.start)
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
-        self.start = np.r_[self.start, len(self.store) + np.cumsum(count) - count]
-        self.count = np.r_[self.count, count]
-        self.store = np.r_[self.store, flat]
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in their order, the very long ones apart."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) >= LONG_BYTES]
+        flat, count = merge_rounds([w for w in raw if len(w) < LONG_BYTES], self.table)
+        if not long:
+            return flat, count
+        parts = np.split(flat, np.cumsum(count)[:-1]) if len(count) else []
+        for i in long:  # ascending, so earlier insertions are counted in
+            parts.insert(i, merge_long(raw[i], self.table))
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each text); null and empty texts have none."""
         parts = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or len(self.store) > CACHE_IDS:
             self._reset()
         fresh = list(dict.fromkeys(w for w in chain.from_iterable(parts) if w not in self.known))
+        # Long words are forgotten with this chunk: they come last, and only what stands before them is kept.
+        fresh.sort(key=lambda w: len(w) > CACHE_LENGTH)
+        start, number, store = self.start, self.count, self.store
+        index_of = self.known
         if fresh:
-            self._learn(fresh)
+            flat, count = self._merged(fresh)
+            base, keep = len(start), sum(len(w) <= CACHE_LENGTH for w in fresh)
+            self.known.update(zip(fresh[:keep], range(base, base + keep), strict=True))
+            index_of = self.known if keep == len(fresh) else dict(zip(fresh[keep:], range(base + keep, base + len(fresh)), strict=True))
+            start = np.concatenate([start, len(store) + np.cumsum(count) - count])
+            number = np.concatenate([number, count])
+            store = np.concatenate([store, flat])
+            kept_ids = len(self.store) + int(count[:keep].sum())
+            self.start, self.count, self.store = start[: base + keep], number[: base + keep], store[:kept_ids]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
-        count = self.count[index]
+        look = self.known.__getitem__ if index_of is self.known else lambda w: self.known[w] if w in self.known else index_of[w]
+        index = np.fromiter(map(look, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        count = number[index]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.store[np.repeat(self.start[index] - (ends - count), count) + np.arange(total)]
+        flat = store[np.repeat(start[index] - (ends - count), count) + np.arange(total)]
         bounds = np.r_[0, np.cumsum(sizes)]
-        per_text = np.diff(np.r_[0, ends][bounds])
-        if any(len(w) > CACHE_LENGTH for w in fresh):
-            for w in fresh:
-                if len(w) > CACHE_LENGTH:
-                    del self.known[w]
-        return flat, per_text
+        return flat, np.diff(np.r_[0, ends][bounds])
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:

@@ -19,64 +19,105 @@ RANK_ROWS = 200_000
 _KEY = np.int64(1) << 40
 
 
-def _complement(left: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to ``gap`` exactly, the largest first; ``left`` holds counts by length."""
-    if gap < len(left) and left[gap] > 0:
-        return [gap]
-    there = left > 0
-    a = np.arange(gap - 1, (gap - 1) // 2, -1)  # larger part of a pair
-    b = gap - a
-    ok = there[a] & there[b] & ((a != b) | (left[a] > 1))
-    if ok.any():
-        i = int(np.argmax(ok))
-        return [int(a[i]), int(b[i])]
-    for x in np.flatnonzero(there[: gap - 1])[::-1]:
-        rest = gap - int(x)
-        if rest > 2 * x:
-            break
-        a = np.arange(min(rest - 1, int(x)), (rest - 1) // 2, -1)
-        b = rest - a
-        need = lambda v: 1 + (a == v).astype(int) + (b == v).astype(int)
-        ok = there[a] & there[b] & ((a != b) | (left[a] > 1)) & (left[x] >= need(x))
-        if ok.any():
-            i = int(np.argmax(ok))
-            if left[int(a[i])] >= 1 + int(a[i] == b[i]) + int(a[i] == x):
-                return [int(x), int(a[i]), int(b[i])]
-    return None
+class SumIndex:
+    """Hash index of the sums of one, two and three lengths that are at hand.
+
+    Pairs lie in buckets by their sum, triples in buckets by their sum as (largest part, bucket of the pair that completes it).
+    Buckets are cut from flat arrays when they are first asked for. Counts only fall, so an entry found used up leaves its bucket for good
+    and is never met again. Memory: at most (lengths)^2 / 4 pairs and (lengths x capacity) / 2 triples, whatever the number of items.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left  # counts by length, shared with the caller
+        capacity = len(left) - 1
+        lengths = np.flatnonzero(left)[::-1].astype(np.int32)
+        a, b = lengths[:, None], lengths[None, :]
+        i, j = np.nonzero((a >= b) & (a + b <= capacity))  # larger part first, descending
+        self._pairs = self._by_sum(lengths[i] + lengths[j], np.c_[lengths[i], lengths[j]], capacity)
+        some = np.flatnonzero(np.diff(self._pairs[0]) > 0).astype(np.int32)
+        x, s = lengths[:, None], some[None, :]
+        i, j = np.nonzero((s <= 2 * x) & (x + s <= capacity))
+        self._triples = self._by_sum(lengths[i] + some[j], np.c_[lengths[i], some[j]], capacity)
+        self._cache: dict[tuple[int, int], list[list[int]]] = {}
+
+    @staticmethod
+    def _by_sum(sums: np.ndarray, entries: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.r_[0, np.cumsum(np.bincount(sums, minlength=capacity + 1))], entries[np.argsort(sums, kind="stable")]
+
+    def _bucket(self, size: int, total: int) -> list[list[int]]:
+        key = (size, total)
+        if key not in self._cache:
+            at, entries = self._pairs if size == 2 else self._triples
+            self._cache[key] = entries[at[total] : at[total + 1]].tolist()
+        return self._cache[key]
+
+    def _pair(self, total: int, taken: Counter, most: int) -> tuple[list[int] | None, bool]:
+        """(an available pair whose larger part is at most ``most``, is any pair of the sum left at all?)."""
+        bucket, alive, found = self._bucket(2, total), [], None
+        for n, (a, b) in enumerate(bucket):
+            if self.left[a] < 1 + (a == b) or self.left[b] < 1:
+                continue
+            alive.append([a, b])
+            if a <= most and self.left[a] - taken[a] >= 1 + (a == b) and self.left[b] - taken[b] >= 1:
+                found = [a, b]
+                alive += bucket[n + 1 :]
+                break
+        self._cache[2, total] = alive
+        return found, bool(alive)
+
+    def complement(self, gap: int, taken: Counter) -> list[int] | None:
+        """One, two or three lengths that fill ``gap`` exactly beside the lengths ``taken`` already; the fewest, then the largest first."""
+        if self.left[gap] > taken[gap]:
+            return [gap]
+        pair, _ = self._pair(gap, taken, gap)
+        if pair:
+            return pair
+        bucket, alive, found = self._bucket(3, gap), [], None
+        for n, (x, rest) in enumerate(bucket):
+            if self.left[x] < 1:
+                continue
+            taken[x] += 1
+            pair, any_left = self._pair(rest, taken, x) if self.left[x] >= taken[x] else (None, True)
+            taken[x] -= 1
+            if any_left:
+                alive.append([x, rest])
+            if pair:
+                found = [x, *pair]
+                alive += bucket[n + 1 :]
+                break
+        self._cache[3, gap] = alive
+        return found
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     """Patterns of lengths and how often each is filled.
 
     For the longest length left, lengths that fill its gap exactly are
-    looked up among single, pair and triple sums; if there are none, the
-    largest length that fits goes in and the search is repeated. Each pattern
+    looked up in the index of single, pair and triple sums; if there are none, the
+    largest length that fits goes in (best fit) and the look-up is repeated. Each pattern
     is used as often as the counts allow, so a pattern uses up a length and the plan has
     about as many entries as there are lengths, however many items there are.
     """
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
+    index = SumIndex(left)
     out: list[tuple[Counter, int]] = []
     for size in range(capacity, 0, -1):
         while left[size] > 0:
-            trial = left.copy()
-            pattern = [size]
-            trial[size] -= 1
+            used = Counter([size])
             gap = capacity - size
             while gap:
-                exact = _complement(trial, gap)
+                exact = index.complement(gap, used)
                 if exact:
-                    pattern += exact
+                    used.update(exact)
                     break
-                fits = np.flatnonzero(trial[: gap + 1])
-                if not len(fits):
+                best = next((int(f) for f in np.flatnonzero(left[: gap + 1])[::-1] if left[f] > used[int(f)]), 0)
+                if not best:
                     break
-                best = int(fits[-1])
-                pattern.append(best)
-                trial[best] -= 1
+                used[best] += 1
                 gap -= best
-            used = Counter(pattern)
+            used = Counter({s: k for s, k in used.items() if k})
             times = min(int(left[s]) // k for s, k in used.items())
             for s, k in used.items():
                 left[s] -= k * times
