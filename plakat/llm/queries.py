@@ -182,12 +182,17 @@ def p9_packing(spark, sf_dir):
 @R.add("p10_found")
 def p10_found(spark, sf_dir):
     """Spans of personal data in the documents."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pii.found_spans(docs, "doc_id", "text").select("doc_id", "pii_type", "found").distinct()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = pii.fit(docs, "doc_id", "text")
+    return pii.found_spans(spread(docs), "doc_id", "text", weights).select("doc_id", "pii_type", "found").distinct()
+
+
+#: Setting that holds the secret of the pseudonyms; the fallback is an example for tests.
+PSEUDONYM_KEY, EXAMPLE_KEY = "spark.plakat.pseudonym.key", "p10 example key"
 
 
 @R.add("p10_masked")
 def p10_masked(spark, sf_dir):
     """The documents with typed, linkable placeholders."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pii.masked_texts(docs, "doc_id", "text", key="p10 example key")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.masked_texts(spread(docs), "doc_id", "text", spark.conf.get(PSEUDONYM_KEY, EXAMPLE_KEY), pii.fit(docs, "doc_id", "text"))

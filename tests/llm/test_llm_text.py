@@ -96,4 +96,31 @@ def test_known_words_come_from_all_rows(spark, model):
 
 
 def test_pseudonyms_of_persons_are_long():
-    assert all(len(pii.pseudonym(k, "Jan Kowal", b"key")) == 16 for k in ("person", "email", "address"))
+    assert all(len(pii.pseudonym(k, "Jan Kowal", b"key")) == 24 for k in ("person", "email", "address"))
+
+
+@pytest.mark.parametrize("name", ["Anna Wróbel", "Piotr Mazur", "Tomasz Wójcik", "Maria Zając", "Ewa Król", "Marek Dudek", "Jan Kaczmarek", "Jan Duda", "Anna Lis", "Oksana Kowalska", "John Smith"])
+def test_names_outside_the_surname_endings(name):
+    for text in (name, f"Grupę zapisał {name}, tel. 600 700 800", f"Kontakt: {name}."):
+        assert (text.index(name), text.index(name) + len(name), "person") in pii.find(text)
+
+
+def test_catalogue_lines_patrons_and_venues_are_no_persons():
+    for text in ("Janu Wetorek – 82/2017", "Teatr im. Heleny Smużeń", "Opera Śląska", "Kino Miedziak", "Zespół „Jana Kołudar” zagra"):
+        assert pii.find(text) == []
+
+
+def test_phones_of_other_countries():
+    for text, want in (("tel. +49 30 1234567", "+49 30 1234567"), ("call +1 212-555-0123 now", "+1 212-555-0123"), ("nr zamówienia +49 30 1234567", None)):
+        assert [text[a:b] for a, b, k in pii.find(text) if k == "phone"] == ([want] if want else [])
+    masked = pii.pseudonym("phone", "+49 30 1234567", b"k")
+    assert masked.startswith("+49 ") and len(masked) == len("+49 30 1234567") and masked != "+49 30 1234567"
+
+
+def test_fitted_names(spark):
+    rows = [(i, f"Zgłoszenia przyjmuje {g} {s}. Rako Dryzidek – {i}/2010.\nKino Perkoz zaprasza") for i, (g, s) in enumerate([("Jan", "Kowalski"), ("Ewa", "Nowicka"), ("Adam", "Sadowski")] * 20)]
+    df = spark.createDataFrame([*rows, (99, None), (98, "")], "id bigint, text string")
+    w = pii.fit(df, "id", "text")
+    assert (w == pii.fit(df.repartition(3), "id", "text")).all()
+    assert [k for *_, k in pii.find("Zgłoszenia przyjmuje Anna Wróbel.", w)] == ["person"] and pii.find("Anna Dryzidek – 3/2010.", w) == []
+    assert (pii.fit(df.where("id > 100"), "id", "text") == pii.prior_weights()).all()
