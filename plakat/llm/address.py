@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plakat.llm.lookalike import examine
+from plakat.llm.lookalike import skeleton
 from plakat.runtime import cut
 
 # Words of Polish street addresses.
@@ -35,9 +35,7 @@ _KIND = re.compile(r"(?:^|(?<=[\s,]))(ulica|ulicy|ul|aleja|aleje|alei|al|plac|pl
 def fold(text: str) -> str:
     """Lower case, plain Latin letters, single spaces."""
     if not text.isascii():
-        _, text, pending = examine(text)
-        for token, latin in pending:
-            text = text.replace(token, latin)
+        text = skeleton(text)
     text = unicodedata.normalize("NFKD", text.lower().replace("ł", "l"))
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plakat.llm.lookalike import UNUSUAL_JAVA, examine
+from plakat.llm.lookalike import UNUSUAL_JAVA, skeleton
 from plakat.runtime import cut
 
 #: Least score of an accepted entry; 'none' below it.
@@ -77,15 +77,9 @@ def tidy(names: DataFrame, col: str, out: str) -> DataFrame:
     plain = names.where(F.col(col).isNull() | ~F.col(col).rlike(UNUSUAL_JAVA)).withColumn(out, F.col(col))
     schema = ", ".join(f"`{c}` {t}" for c, t in names.dtypes) + f", `{out}` string"
 
-    def clean(text: str) -> str:
-        _, body, pending = examine(text)
-        for token, latin in pending:
-            body = body.replace(token, latin)
-        return body
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{out: [clean(v) for v in pdf[col]]})
+            yield pdf.assign(**{out: [skeleton(v) for v in pdf[col]]})
 
     return plain.unionByName(names.where(F.col(col).rlike(UNUSUAL_JAVA)).mapInPandas(run, schema))
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plakat.llm.canonical import fold
-from plakat.llm.lookalike import UNUSUAL_JAVA, examine
-from plakat.llm.mojibake import Model, judge, repair
+from plakat.llm.lookalike import UNUSUAL_JAVA, skeleton
+from plakat.llm.mojibake import CLEAN, Model, Verdict, predict, repair
 from plakat.runtime import cut
 
 #: A title word is common if more than this share of all records has it, and more than COMMON_ROWS records.
@@ -123,21 +123,20 @@ def tidy_records(df: DataFrame, columns: list[str], garbled: Model | None) -> Da
         unusual = unusual | F.coalesce(F.col(c).rlike(UNUSUAL_JAVA), F.lit(False))
     shared = df.sparkSession.sparkContext.broadcast(garbled)
 
-    def clean(text: str | None, verdict: dict) -> str | None:
+    def clean(text: str | None, verdict: Verdict) -> str | None:
         if text is None or text.isascii():
             return text
-        _, body, pending = examine(repair(text, verdict))
-        for token, latin in pending:
-            body = body.replace(token, latin)
-        return body
+        return skeleton(repair(text, verdict))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
-            verdict = {}
-            if model is not None:
-                verdict = judge(sorted({t for c in columns for v in pdf[c] if isinstance(v, str) and not v.isascii() for t in v.split(" ") if not t.isascii()}), model)
-            yield pdf.assign(**{c: [clean(v if isinstance(v, str) else None, verdict) for v in pdf[c]] for c in columns})
+            out = {}
+            for c in columns:
+                values = [v if isinstance(v, str) else None for v in pdf[c]]
+                verdicts = [CLEAN] * len(values) if model is None else predict([v or "" for v in values], model)
+                out[c] = [clean(v, x) for v, x in zip(values, verdicts, strict=True)]
+            yield pdf.assign(**out)
 
     marked = df.withColumn("_u", unusual)
     return marked.where("not _u").drop("_u").unionByName(marked.where("_u").drop("_u").mapInPandas(run, df.schema))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plakat.llm.mojibake import Model, judge
+from plakat.llm.mojibake import Model, garbled_fields
 from plakat.runtime import cut
 
 # Letters of other scripts that print like Latin ones, in pairs "other Latin".
@@ -79,12 +79,13 @@ def fold_token(token: str) -> str | None:
     return latin or cyrillic
 
 
-def examine(text: str) -> tuple[list[str], str, list[tuple[str, str]]]:
-    """(kinds of trouble, text with the certain repairs, tokens that need the vocabulary with their Latin form).
+def examine(text: str) -> tuple[list[str], str, dict[str, str], dict[str, str]]:
+    """(kinds of trouble, text with the certain repairs, mixed-script tokens, lone tokens of another script), tokens with their form in the dominant script.
 
     Certain: invisible characters, unusual spaces and hyphens, compatibility
-    forms, loose accents, and mixed-script tokens all of whose minority letters have look-alikes.
-    Tokens written wholly in another script with Latin look-alikes are left to the vocabulary.
+    forms and loose accents. Mixed-script tokens all of whose minority letters have look-alikes are trouble in
+    themselves; whether they are replaced, the vocabulary decides. A lone token is written wholly in another script than its neighbours, or is the only one, in letters that all
+    have Latin look-alikes.
     """
     kinds = []
     body, emoji = _shield(text)
@@ -100,62 +101,71 @@ def examine(text: str) -> tuple[list[str], str, list[tuple[str, str]]]:
     if composed != body or any(unicodedata.category(c) == "Mn" for c in composed):
         kinds.append("accent")
         body = composed
-    pending: list[tuple[str, str]] = []
+    mixed: dict[str, str] = {}
+    lone: dict[str, str] = {}
     if not body.isascii():
         tokens = _TOKEN.findall(body)
-        folded: dict[str, str] = {}
-        for t in tokens:
-            if not t.isascii() and (f := fold_token(t)):
-                folded[t] = f
-        if folded:
+        mixed = {t: f for t in tokens if not t.isascii() and (f := fold_token(t))}
+        if mixed:
             kinds.append("script")
-            body = _TOKEN.sub(lambda m: folded.get(m[0], m[0]), body)
-        tokens = [folded.get(t, t) for t in tokens]
+        tokens = [mixed.get(t, t) for t in tokens]
         kind = [script(t[0]) for t in tokens]
         for i, t in enumerate(tokens):
             if kind[i] in ("CYRILLIC", "GREEK", "OTHER") and (latin := _to_latin(t)) and (len(kind) == 1 or any(0 <= j < len(kind) and kind[j] != kind[i] for j in (i - 1, i + 1))):
-                pending.append((t, latin))
+                lone[t] = latin
+        # A mixed token whose minority is Latin may still mean a Latin word: then that is the form the vocabulary is asked for.
+        mixed = {t: lone.get(f, f) for t, f in mixed.items()}
+        there = set(_TOKEN.findall(body))
+        lone = {t: f for t, f in lone.items() if t in there}
     for e in emoji:
-        body = body.replace("", e, 1)
-    return kinds, body, pending
+        body = body.replace("\ue000", e, 1)
+    return kinds, body, mixed, lone
+
+
+def replaced(body: str, forms: dict[str, str]) -> str:
+    """The text with whole tokens exchanged."""
+    return _TOKEN.sub(lambda m: forms.get(m[0], m[0]), body) if forms else body
+
+
+def skeleton(text: str) -> str:
+    """The key form of a text: all repairs, whether the vocabulary knows the result or not. Equal-looking texts have equal skeletons."""
+    _, body, mixed, lone = examine(text)
+    return replaced(replaced(body, mixed), lone)
 
 
 def vocabulary(fields: DataFrame) -> DataFrame:
-    """Distinct lower-case words of the values that hold no unusual character, over all rows."""
-    plain = fields.where(F.col("value").isNotNull() & ~F.col("value").rlike(UNUSUAL_JAVA))
-    return plain.select(F.explode(F.split(F.lower("value"), r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
+    """Distinct lower-case words of one script (word), over all rows."""
+    return fields.select(F.explode(F.split(F.lower("value"), r"[^\p{L}\p{M}]+")).alias("word")).where(F.col("word").rlike(r"^(\p{IsLatin}+|\p{IsCyrillic}+|\p{IsGreek}+)$")).distinct()
 
 
-def lookalike_fields(fields: DataFrame, garbled: Model | None = None) -> DataFrame:
-    """Values of (tbl, row_key, field, value) made of other characters than they print like: (tbl, row_key, field, kinds, canonical).
+def lookalike_fields(fields: DataFrame, garbled: DataFrame | None = None) -> DataFrame:
+    """Values of (tbl, row_key, field, value) made of other characters than they print like: (tbl, row_key, field, kinds, canonical, skeleton).
 
-    ``canonical`` is the form in which equal-looking values are equal. Look-alike letters
-    are replaced only in mixed-script tokens, and in whole tokens of
-    another script if the result is a word of the corpus (``vocabulary``) and a neighbour is
-    written in another script, or there is none. Text rightly in another script, emoji sequences and signs that print
-    differently stay. With a model of ``mojibake`` given, values it finds garbled are left out.
+    Each token has a dominant script; a mixed-script token whose minority letters have look-alikes in it is a case. In ``canonical`` it is
+    replaced if the result is a word of the corpus (``vocabulary``: a word of one script in any row, or a result that two values agree on); else it stays as it is and only
+    ``skeleton``, the form in which equal-looking values are equal, has it replaced. A token wholly in
+    another script mixes scripts only with its neighbours: it is a case, and replaced, if its Latin form is a corpus word. Text rightly in another script, emoji sequences and signs that print
+    differently stay. Values listed in ``garbled`` (tbl, row_key, field) are left out.
     Null, empty and plain values are never returned; repeated rows are returned as often as they occur.
     """
-    shared = fields.sparkSession.sparkContext.broadcast(garbled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for pdf in batches:
             seen = [examine(v) for v in pdf["value"]]
-            hit = [bool(k or p) for k, _, p in seen]
-            if model is not None and any(hit):
-                tokens = {t for v, h in zip(pdf["value"], hit, strict=True) if h for t in v.split(" ") if not t.isascii()}
-                bad = judge(sorted(tokens), model)
-                hit = [h and not any(t in bad for t in v.split(" ")) for v, h in zip(pdf["value"], hit, strict=True)]
-            out = pdf[["tbl", "row_key", "field"]].assign(kinds=[",".join(k) for k, _, _ in seen], canonical=[b for _, b, _ in seen], tokens=[[t for t, _ in p] for _, _, p in seen], latin=[[x for _, x in p] for _, _, p in seen])
-            yield out[hit]
-
-    rows = fields.where(F.col("value").rlike(UNUSUAL_JAVA)).mapInPandas(run, "tbl string, row_key string, field string, kinds string, canonical string, tokens array<string>, latin array<string>")
-    rows = rows.withColumn("_n", F.monotonically_increasing_id())
-    rows = cut(rows)
-    asked = rows.where(F.size("tokens") > 0).select("_n", F.explode(F.arrays_zip("tokens", "latin")).alias("p")).select("_n", F.col("p.tokens").alias("token"), F.col("p.latin").alias("latin"), F.lower("p.latin").alias("word"))
-    known = asked.join(vocabulary(fields), "word", "left_semi").groupBy("_n").agg(F.collect_set(F.struct("token", "latin")).alias("known"))
-    both = rows.join(known, "_n", "left").where((F.col("kinds") != "") | F.col("known").isNotNull())
-    swap = F.aggregate(F.coalesce("known", F.array().cast("array<struct<token:string,latin:string>>")), F.col("canonical"), lambda a, k: F.regexp_replace(a, F.concat(F.lit(r"(?<!\p{L})"), k["token"], F.lit(r"(?!\p{L})")), k["latin"]))
-    kinds = F.concat_ws(",", F.when(F.col("kinds") != "", F.col("kinds")), F.when(F.col("known").isNotNull(), F.lit("word")))
-    return both.select("tbl", "row_key", "field", kinds.alias("kinds"), swap.alias("canonical"))
+            out = pdf[["tbl", "row_key", "field"]].assign(
+                kinds=[",".join(k) for k, *_ in seen], canonical=[b for _, b, _, _ in seen], skeleton=[replaced(replaced(b, m), o) for _, b, m, o in seen],
+                tokens=[[*m, *o] for *_, m, o in seen], forms=[[*m.values(), *o.values()] for *_, m, o in seen], lone=[[False] * len(m) + [True] * len(o) for *_, m, o in seen],
+            )
+            yield out[[bool(k or o) for k, _, _, o in seen]]
+
+    rows = fields.where(F.col("value").rlike(UNUSUAL_JAVA)).mapInPandas(run, "tbl string, row_key string, field string, kinds string, canonical string, skeleton string, tokens array<string>, forms array<string>, lone array<boolean>")
+    if garbled is not None:
+        rows = rows.join(garbled.select("tbl", "row_key", "field"), ["tbl", "row_key", "field"], "left_anti")
+    rows = cut(rows.withColumn("_n", F.monotonically_increasing_id()))
+    asked = rows.where(F.size("tokens") > 0).select("_n", F.inline(F.arrays_zip("tokens", "forms", "lone"))).withColumn("word", F.lower("forms"))
+    agreed = asked.where("not lone").groupBy("word").agg(F.countDistinct("_n").alias("n")).where("n > 1").select("word")
+    known = asked.join(vocabulary(fields).union(agreed), "word", "left_semi").groupBy("_n").agg(F.collect_set(F.struct("tokens", "forms")).alias("known"), F.max("lone").alias("word"))
+    both = rows.join(known, "_n", "left").where((F.col("kinds") != "") | F.col("word"))
+    swap = F.aggregate(F.coalesce("known", F.array().cast("array<struct<tokens:string,forms:string>>")), F.col("canonical"), lambda a, k: F.regexp_replace(a, F.concat(F.lit(r"(?<!\p{L})"), k["tokens"], F.lit(r"(?!\p{L})")), k["forms"]))
+    kinds = F.concat_ws(",", F.nullif("kinds", F.lit("")), F.when(F.col("word"), F.lit("word")))
+    return both.select("tbl", "row_key", "field", kinds.alias("kinds"), swap.alias("canonical"), "skeleton")

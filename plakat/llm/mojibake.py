@@ -14,16 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plakat.llm.sampling import hashed_sample
 from plakat.runtime import cut
 
-#: Rows of clean-looking text the classifier is fitted on (rows with the smallest hash); everything else, known words too, covers all data.
-TRAIN_ROWS = 12_000
+#: Rows of text the classifier is fitted on (those with the smallest hash) and their distinct tokens; everything else, known words too, covers all data.
+TRAIN_ROWS, TRAIN_TOKENS = 12_000, 60_000
 #: Hash buckets of byte bigrams.
 BUCKETS = 1 << 14
 #: Log odds by which a UTF-8 chain may trail the clean class and still be tried: strict decoding then decides.
 UTF8_MARGIN = 12.0
-#: Longest token scored as one piece; longer ones are scored in pieces of this length.
+#: Longest token learnt or scored as one piece; longer ones count with all their pieces of this length.
 TOKEN_CHARS = 120
+#: Share of a garbled field's doubtful tokens that come from its chain; the others are clean foreign words.
+FROM_CHAIN = 0.7
 
 # Letters and signs of ordinary Polish text.
 POLISH = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
@@ -63,6 +66,10 @@ CHAINS: dict[str, list[tuple[str, str]]] = {
 }
 
 
+#: Chains that can't be undone: letters replaced by a question mark, by one replacement mark, or by one a byte.
+LOST = {"lost>?": "?", "lost>mark": "\ufffd", "lost>marks": "\ufffd\ufffd"}
+
+
 def _write(text: str, encoding: str) -> bytes | None:
     if encoding == "utf-8":
         try:
@@ -88,6 +95,8 @@ def _read(raw: bytes, encoding: str) -> str | None:
 
 def garble(text: str, chain: str) -> str | None:
     """Apply a chain; null if the text can't be written in its encoding."""
+    if chain in LOST:
+        return "".join(c if c.isascii() else LOST[chain] for c in text)
     for written, read in CHAINS[chain]:
         raw = _write(text, written)
         if raw is None:
@@ -97,7 +106,9 @@ def garble(text: str, chain: str) -> str | None:
 
 
 def undo(text: str, chain: str) -> str | None:
-    """Invert a chain strictly; null if any step doesn't decode."""
+    """Invert a chain strictly; null if any step doesn't decode, and for lost letters."""
+    if chain in LOST:
+        return None
     for written, read in reversed(CHAINS[chain]):
         raw = _write(text, read)
         text = None if raw is None else _read(raw, written)
@@ -167,46 +178,53 @@ def _obviously_broken(token: str) -> bool:
     return any((u := undo(token, c)) is not None and u != token for c in CHAINS if c.startswith("utf-8>"))
 
 
+def _doubtful(token: str) -> bool:
+    """Does the token hold characters that decide about garbling: other letters or signs (emoji aside), marks, control codes, or question marks inside a word?"""
+    if "?" in token and _LOST.search(token) and not _LINK.search(token):
+        return True
+    return bool(_UNSAFE.search(token)) and (not _EMOJI.sub("", token).isascii() or any(unicodedata.category(c) == "Cc" for c in token))
+
+
 def train(texts: Iterable[str | None], smooth: float = 0.02) -> Model:
-    """Fit on a bounded sample of rows: words of ordinary letters are garbled by every chain; words that can't be undone to anything are the clean class."""
-    plain: Counter[str] = Counter()
-    other: Counter[str] = Counter()
+    """Fit on texts: see ``train_tokens``."""
+    seen: Counter[str] = Counter()
     for t in texts:
         for tok in (t or "").split(" "):
-            if not tok or tok.isascii():
-                continue
-            (other if _UNSAFE.search(tok) else plain)[tok[:TOKEN_CHARS]] += 1
-    names = ["clean", *CHAINS]
+            if tok and not tok.isascii():
+                seen.update(_pieces(tok))
+    return train_tokens(seen, smooth)
+
+
+def train_tokens(seen: dict[str, int], smooth: float = 0.02) -> Model:
+    """Fit on counted tokens: words of ordinary letters are garbled by every chain; words that can't be undone to anything are the clean class."""
+    plain = {t: n for t, n in seen.items() if not _UNSAFE.search(t)}
+    other = {t: n for t, n in seen.items() if t not in plain}
+    names = ["clean", *CHAINS, *LOST]
     counts = np.full((BUCKETS, len(names)), 0.0)
 
     def learn(token: str, n: float, k: int) -> None:
         np.add.at(counts[:, k], _bigrams(token), n)
 
+    known: Counter[str] = Counter()
     for tok, n in plain.items():
         w = float(n) ** 0.75
         learn(tok, w, 0)
-        for k, chain in enumerate(CHAINS, 1):
+        for k, chain in enumerate(names[1:], 1):
             g = garble(tok, chain)
             if g is not None and g != tok:
                 learn(g, w, k)
-    known: Counter[str] = Counter()
-    for tok, n in plain.items():
-        for w in _WORD.findall(tok):
-            known[w.lower()] += n
+        for x in _WORD.findall(tok):
+            known[x.lower()] += n
 
     def twin(tok: str, n: int) -> bool:
         """Does a one-byte chain undo the token to words that are more frequent than it? Then the sample holds garbled text."""
-        for a, b in CROSS:
-            f = undo(tok, f"{a}>{b}")
-            if f is not None and f != tok and not _UNSAFE.search(f) and all(known[w.lower()] > n for w in _WORD.findall(f) if not w.isascii()):
-                return True
-        return False
+        return any(all(known[w.lower()] > n for w in _WORD.findall(f) if not w.isascii()) for f in _undone(tok))
 
     clean = {tok: n for tok, n in other.items() if n >= 2 and not _obviously_broken(tok) and not twin(tok, n)}
     for tok, n in clean.items():
         w = float(n) ** 0.75
         learn(tok, w, 0)
-        for k, chain in enumerate(CHAINS, 1):
+        for k, chain in enumerate(names[1:], 1):
             if chain.startswith("utf-8>"):
                 g = garble(tok, chain)
                 if g is not None and g != tok:
@@ -253,35 +271,72 @@ def _plausible(token: str, fixed: str, chain: str, model: Model) -> bool:
     return any(not token[i].isalpha() and (token[i] not in "²³°½№×" or i + 1 < len(token) and token[i + 1].isalpha()) for i in inside)
 
 
-def judge(tokens: list[str], model: Model) -> dict[str, tuple[str, str | None]]:
-    """Garbled tokens: token -> (chain, original text or null if it can't be recovered). Clean tokens aren't in the result."""
-    out: dict[str, tuple[str, str | None]] = {}
-    todo = []
-    for t in tokens:
-        if "�" in t:
-            out[t] = ("lost", None)
-        elif not _EMOJI.sub("", t).isascii() or any(unicodedata.category(c) == "Cc" for c in t):
-            todo.append(t)
-    pieces = [(t, p) for t in todo for p in _pieces(t)]
-    if not pieces:
-        return out
-    scores = model.scores([p for _, p in pieces])
-    total: dict[str, np.ndarray] = {}
-    for (t, _), s in zip(pieces, scores, strict=True):
-        total[t] = total[t] + s if t in total else s
-    for t, s in total.items():
-        control = any("\x80" <= c <= "\x9f" for c in t)
-        for k in np.argsort(-s):
-            lead = float(s[k] - s[0])
-            if k == 0 or not control and lead < (-UTF8_MARGIN if model.names[k].startswith("utf-8>") else 0.0):
-                continue
-            fixed = undo(t, model.names[k])
-            if fixed is not None and _plausible(t, fixed, model.names[k], model):
-                out[t] = (model.names[k], fixed)
-                break
+@dataclass
+class Verdict:
+    """One text's chain (None: clean) and the originals of its garbled tokens."""
+
+    chain: str | None = None
+    originals: dict[str, str] = field(default_factory=dict)
+
+
+CLEAN = Verdict()
+
+
+def predict(strings: list[str], model: Model) -> list[Verdict]:
+    """The chain of each text (a field, or one string of a JSON document): predicted once a text, then inverted and verified.
+
+    A text's doubtful tokens (see ``_doubtful``) come either from the clean class or, with ``FROM_CHAIN``, from the text's one chain; a token that a chain's inverse
+    can't decode strictly has no likelihood under it. The chain of the highest likelihood is the prediction. UTF-8 chains may trail
+    the clean class by ``UTF8_MARGIN``, as strict decoding decides. Some token that the prediction undoes must read better (``_plausible``),
+    else the text is clean, or "unknown" if it holds control codes. Replacement marks always are "lost".
+    """
+    tokens = [sorted({t for t in s.split(" ") if _doubtful(t)}) if not s.isascii() or "?" in s else [] for s in strings]
+    distinct = sorted({t for ts in tokens for t in ts})
+    if not distinct:
+        return [CLEAN] * len(strings)
+    at = {t: i for i, t in enumerate(distinct)}
+    pieces = [(i, p) for i, t in enumerate(distinct) for p in _pieces(t)]
+    total = np.zeros((len(distinct), len(model.names)))
+    np.add.at(total, [i for i, _ in pieces], model.scores([p for _, p in pieces]))
+    mixed = np.logaddexp(np.log(1 - FROM_CHAIN) + total[:, :1], np.log(FROM_CHAIN) + total)
+    without = np.log(1 - FROM_CHAIN) + total[:, 0]
+    undone: dict[tuple[int, int], str | None] = {}
+
+    def inverse(i: int, k: int) -> str | None:
+        if (i, k) not in undone:
+            undone[i, k] = undo(distinct[i], model.names[k])
+        return undone[i, k]
+
+    out = []
+    for ts in tokens:
+        if not ts:
+            out.append(CLEAN)
+            continue
+        rows = [at[t] for t in ts]
+        score = mixed[rows].sum(axis=0)
+        score[0] = -np.inf
+        marks = {"lost>?": any("?" in t and _LOST.search(t) for t in ts), "lost>mark": any("\ufffd" in t for t in ts), "lost>marks": any("\ufffd\ufffd" in t for t in ts)}
+        for chain, there in marks.items():
+            if not there:
+                score[model.names.index(chain)] = -np.inf
+        settled: set[int] = set()
+        while (k := int(np.argmax(score))) not in settled and model.names[k] not in LOST:
+            # Tokens that this chain can't have made lose their likelihood under it.
+            score[k] = sum(mixed[i, k] if inverse(i, k) is not None else without[i] for i in rows)
+            settled.add(k)
+        name, lead = model.names[k], float(score[k] - total[rows, 0].sum())
+        control = any("\x80" <= c <= "\x9f" for t in ts for c in t)
+        originals = {}
+        if name not in LOST and (control or lead > (-UTF8_MARGIN if name.startswith("utf-8>") else 0.0)):
+            originals = {t: f for t, i in zip(ts, rows, strict=True) if (f := inverse(i, k)) is not None and _plausible(t, f, name, model)}
+        if originals:
+            # The chain is proven: what else is likelier under it than clean, and becomes ordinary text, was made by it too.
+            originals |= {t: f for t, i in zip(ts, rows, strict=True) if total[i, k] > total[i, 0] and (f := inverse(i, k)) is not None and f != t and not _UNSAFE.search(f)}
+            out.append(Verdict(name, originals))
+        elif name in LOST or any("\ufffd" in t for t in ts):
+            out.append(Verdict("lost"))
         else:
-            if control:
-                out[t] = ("unknown", None)
+            out.append(Verdict("unknown") if control else CLEAN)
     return out
 
 
@@ -306,9 +361,9 @@ def lost_letters(text: str, model: Model) -> bool:
     return any(w.lower() + c in model.words for w in _LOST_END.findall(text) for c in "ąćęłńóśźż")
 
 
-def repair(text: str, verdict: dict[str, tuple[str, str | None]]) -> str:
+def repair(text: str, verdict: Verdict) -> str:
     """Put the originals in place of garbled tokens; tokens without an original stay."""
-    return " ".join(verdict[t][1] if t in verdict and verdict[t][1] is not None else t for t in text.split(" "))
+    return " ".join(verdict.originals.get(t, t) for t in text.split(" ")) if verdict.originals else text
 
 
 def _parts(value: str, js: bool) -> list[str]:
@@ -334,7 +389,7 @@ def _counts(fields: DataFrame) -> DataFrame:
             for v, js in zip(pdf["value"], pdf["is_json"], strict=True):
                 for tok in {} if v is None else (t for p in _parts(v, js) if not p.isascii() for t in p.split(" ") if not t.isascii()):
                     if _UNSAFE.search(tok):
-                        n[True, tok[:TOKEN_CHARS]] += 1
+                        n.update((True, piece) for piece in _pieces(tok))
                     else:
                         n.update((False, w.lower()) for w in _WORD.findall(tok) if len(w) > 1)
             yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["other", "text", "n"])
@@ -391,14 +446,14 @@ def _lexicon(fields: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def garbled_fields(fields: DataFrame, model: Model) -> DataFrame:
-    """Find garbled fields among (tbl, row_key, field, value, is_json): returns (tbl, row_key, field, chains, restored).
+    """Find garbled fields among (tbl, row_key, field, value, is_json): returns (tbl, row_key, field, chain, restored).
 
-    A field is found if any space-separated part of it is predicted to come from a
-    chain of wrong decodings whose inverse decodes strictly, or holds
-    replacement marks or question marks in place of letters. ``chains`` names
-    what was found; ``restored`` is the value with every recoverable part put right
+    A field is found if it, or a string inside its JSON, is predicted to come from a
+    chain of wrong decodings whose inverse decodes strictly and reads better (``predict``), or holds
+    replacement marks or question marks in place of letters ("lost"). ``chain`` names
+    the predictions of its strings; ``restored`` is the value with every recoverable part put right
     (null if nothing is recoverable; for JSON the document is written anew).
-    Null and empty values are never found. Text that isn't valid JSON is treated as plain text.
+    Null and empty values are never found. Text that isn't valid JSON is treated as plain text. Repeated rows give one.
     """
     rows = fields.where(F.when(F.col("is_json"), suspicious_json(F.col("value"))).otherwise(suspicious(F.col("value"))))
     rows = cut(rows.withColumn("_k", F.xxhash64("tbl", "row_key", "field")))
@@ -424,50 +479,44 @@ def garbled_fields(fields: DataFrame, model: Model) -> DataFrame:
                     except (ValueError, RecursionError):
                         pass
                 parsed.append((None, [v]))
-            tokens = {t for _, strings in parsed for s in strings if not s.isascii() for t in s.split(" ") if _UNSAFE.search(t)}
-            verdict = judge(sorted(tokens), m)
+            each = iter(predict([x for _, strings in parsed for x in strings], m))
             keep, chains, restored = [], [], []
             for i, (o, strings) in enumerate(parsed):
-                found = {verdict[t][0] for s in strings if not s.isascii() for t in s.split(" ") if t in verdict}
-                if any(lost_letters(s, m) for s in strings):
-                    found.add("lost")
+                verdicts = [next(each) for _ in strings]
+                found = {v.chain or ("lost" if lost_letters(x, m) else None) for x, v in zip(strings, verdicts, strict=True)} - {None}
                 keep.append(bool(found))
                 chains.append(",".join(sorted(found)))
-                if not found - {"lost", "unknown"}:
+                if not any(v.originals for v in verdicts):
                     restored.append(None)
                 elif o is None:
-                    restored.append(repair(pdf["value"].iloc[i], verdict))
+                    restored.append(repair(pdf["value"].iloc[i], verdicts[0]))
                 else:
-                    restored.append(json.dumps(_mapped(o, verdict), ensure_ascii=False))
-            out = pdf[["tbl", "row_key", "field"]].assign(chains=chains, restored=restored)
+                    restored.append(json.dumps(_mapped(o, iter(verdicts)), ensure_ascii=False))
+            out = pdf[["tbl", "row_key", "field"]].assign(chain=chains, restored=restored)
             yield out[np.array(keep, bool)]
 
-    return rows.mapInPandas(run, "tbl string, row_key string, field string, chains string, restored string")
+    return rows.mapInPandas(run, "tbl string, row_key string, field string, chain string, restored string").distinct()
 
 
-def _mapped(value: object, verdict: dict[str, tuple[str, str | None]]) -> object:
+def _mapped(value: object, verdicts: Iterator[Verdict]) -> object:
+    """The document with its strings repaired; verdicts come in the order of ``_strings``."""
     if isinstance(value, dict):
-        return {k: _mapped(v, verdict) for k, v in value.items()}
+        return {k: _mapped(v, verdicts) for k, v in value.items()}
     if isinstance(value, list):
-        return [_mapped(v, verdict) for v in value]
-    return repair(value, verdict) if isinstance(value, str) else value
-
-
-def fit(fields: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` rows of (value, is_json), those with the smallest hash; JSON values count with their strings."""
-    hashed = fields.where("value is not null").select("value", "is_json", F.xxhash64("tbl", "row_key", "field").alias("_h"))
-    # Only about four times the wanted rows take part in the sort, whatever the size of the corpus.
-    share = 4 * rows / max(1, fields.count())
-    if share < 1:
-        hashed = hashed.where(F.col("_h") < int((share - 0.5) * 2**64))
-    sample = hashed.orderBy("_h").limit(rows).collect()
-    texts: list[str] = []
-    for v, js, _ in sample:
-        if js:
-            try:
-                texts.extend(_strings(json.loads(v)))
-                continue
-            except (ValueError, RecursionError):
-                pass
-        texts.append(v)
-    return train(texts)
+        return [_mapped(v, verdicts) for v in value]
+    return repair(value, next(verdicts)) if isinstance(value, str) else value
+
+
+def fit(fields: DataFrame, rows: int = TRAIN_ROWS, tokens: int = TRAIN_TOKENS) -> Model:
+    """Train on at most ``tokens`` tokens (each at most ``TOKEN_CHARS`` long) of at most ``rows`` rows of (tbl, row_key, field, value, is_json), those with the smallest hashes; JSON values count with their strings."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter[str] = Counter()
+            for v, js in zip(pdf["value"], pdf["is_json"], strict=True):
+                n.update(piece for p in ([] if v is None else _parts(v, js)) if not p.isascii() for t in p.split(" ") if not t.isascii() for piece in _pieces(t))
+            yield pd.DataFrame(list(n.items()), columns=["tok", "n"])
+
+    sample = hashed_sample(fields.select("tbl", "row_key", "field", "value", "is_json"), ["tbl", "row_key", "field"], rows).select("value", "is_json")
+    found = sample.mapInPandas(run, "tok string, n bigint").groupBy("tok").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("tok"), "tok").limit(tokens).collect()
+    return train_tokens({r["tok"]: r["n"] for r in found})

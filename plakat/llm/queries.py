@@ -27,6 +27,11 @@ def text_fields(spark, sf_dir, *names):
     return out
 
 
+def _garbling(spark, sf_dir):
+    """The one model of garbled text, fitted on the fields of problem 6; the same tables give the same model in every query."""
+    return mojibake.fit(text_fields(spark, sf_dir, "title", "payload", "lead"))
+
+
 def _showings(spark, sf_dir):
     rec = read_table(spark, sf_dir, "event_records")
     info = "analysis.ticket_info"
@@ -34,7 +39,7 @@ def _showings(spark, sf_dir):
         F.col("record_id").alias("id"), "source", "title", F.col("date_start").alias("date"), "date_end", F.coalesce(F.nullif("time_start", F.lit("")), f"{info}.time_start").alias("start"),
         F.col(f"{info}.doors_open").alias("doors"), F.col(f"{info}.venue_name").alias("venue"), F.col(f"{info}.place_id").alias("place"), F.col("city").alias("town"), F.col("category").alias("kind"),
     )
-    return linkage.showing_links(rows, mojibake.fit(text_fields(spark, sf_dir, "title", "lead")))
+    return linkage.showing_links(rows, _garbling(spark, sf_dir))
 
 
 @R.add("p1_found")
@@ -51,7 +56,8 @@ def p1_confidence(spark, sf_dir):
 
 def _lookalikes(spark, sf_dir):
     fields = text_fields(spark, sf_dir, "title", "venue_name", "name")
-    return lookalike.lookalike_fields(fields, mojibake.fit(text_fields(spark, sf_dir, "title", "lead")))
+    garbled = mojibake.garbled_fields(text_fields(spark, sf_dir, "title"), _garbling(spark, sf_dir))
+    return lookalike.lookalike_fields(fields, garbled)
 
 
 @R.add("p2_found")
@@ -133,14 +139,14 @@ def p5_buildings(spark, sf_dir):
 def p6_found(spark, sf_dir):
     """Fields with garbled or lost letters."""
     fields = text_fields(spark, sf_dir, "title", "payload", "lead")
-    return mojibake.garbled_fields(fields, mojibake.fit(fields)).select("tbl", "row_key", "field")
+    return mojibake.garbled_fields(fields, _garbling(spark, sf_dir)).select("tbl", "row_key", "field")
 
 
 @R.add("p6_restored")
 def p6_restored(spark, sf_dir):
-    """The chains found in garbled fields and the restored text."""
+    """The chain predicted for each garbled field and the restored text."""
     fields = text_fields(spark, sf_dir, "title", "payload", "lead")
-    return mojibake.garbled_fields(fields, mojibake.fit(fields))
+    return mojibake.garbled_fields(fields, _garbling(spark, sf_dir))
 
 
 _P7 = r"""

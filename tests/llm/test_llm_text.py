@@ -32,10 +32,28 @@ def test_held_out_words_are_restored(model):
             if g is None or g == w or " " in g:
                 continue
             total += 1
-            right += mojibake.judge([g], model).get(g, ("", ""))[1] == w
+            right += mojibake.predict([g], model)[0].originals.get(g) == w
     assert right / total > 0.8
 
 
+def test_one_chain_a_field(model):
+    """The chain predicted for whole titles: exactly the one applied, or one that undoes them to the same text."""
+    titles = ["Pieśni o źródłach i dźwięki wśród żaglówek", "Późne książki – żarty spod łąki", "„Kołysanki” na północy, gość Żółty Świt", "Ćwiczenia dla zabłąkanych: śnieg, mżawka, gęś"]
+    right = exact = total = 0
+    for t in titles:
+        for chain in mojibake.CHAINS:
+            g = mojibake.garble(t, chain)
+            if g is None or g == t:
+                continue
+            total += 1
+            v = mojibake.predict([g], model)[0]
+            exact += v.chain == chain
+            right += mojibake.repair(g, v) == t
+    assert right / total > 0.9 and exact / total > 0.75
+    v = mojibake.predict(["Pie?ni o ?r?d?ach", "Co dalej? Nic.", "P��ne", "Café Señal"], model)
+    assert [x.chain for x in v] == ["lost", None, "lost", None]
+
+
 def test_found_fields(spark, model):
     bad = ["PieÅ›ni o rzece", "Ko³o Gospodyñ", "dla du�ych", "Go?cie chwal? nas", mojibake.garble("Żarty", "utf-8>cp1252>utf-8>cp1252")]
     good = ["Café Señal", "für älgar", "Вечір пісень", "Co dalej, sąsiedzie? w mieście", "https://x.example/a?b=1", "", None, "Ｆull", "x" * 50_000]
@@ -53,9 +71,23 @@ def test_lookalikes(spark, model):
         "Sny bez": "Sny bez", "Cienie о rzece": "Cienie o rzece", "\U0001f3ad Ta­ńce": "\U0001f3ad Tańce",
     }
     good = ["Вечір пісень", "Αλφα i Ωμέγα", "\U0001f469‍\U0001f3a4 Sny", "Trio №5 „x” – 12 m²", "  Klub  Nowy ", "o rzece", "КАЗКИ СТАРОГО МІСТА", "PieÅ›ni", "", None]
-    got = {int(r.row_key): r.canonical for r in lookalike.lookalike_fields(fields(spark, [*bad, *good]), model).collect()}
+    f = fields(spark, [*bad, *good])
+    garbled = mojibake.garbled_fields(f, model)
+    got = {int(r.row_key): r.skeleton for r in lookalike.lookalike_fields(f, garbled).collect()}
     assert got == dict(enumerate(bad.values()))
-    assert lookalike.lookalike_fields(fields(spark, []), model).count() == 0
+    assert lookalike.lookalike_fields(fields(spark, []), garbled).count() == 0
+
+
+def test_mixed_tokens_are_replaced_only_by_corpus_words(spark):
+    values = ["Lіsty o rzece", "Listy z łąk", "Воszulоn", "Zоsia i Zosіa", "Zоsia sama", "о rzece", "КОТ"]
+    got = {int(r.row_key): (r.kinds, r.canonical, r.skeleton) for r in lookalike.lookalike_fields(fields(spark, values)).collect()}
+    assert got == {
+        0: ("script", "Listy o rzece", "Listy o rzece"),
+        2: ("script", "Воszulоn", "Boszulon"),
+        3: ("script", "Zosia i Zosia", "Zosia i Zosia"),
+        4: ("script", "Zosia sama", "Zosia sama"),
+        5: ("word", "o rzece", "o rzece"),
+    }
 
 
 def test_pii_spans():
