@@ -22,10 +22,13 @@ TITLES = {"gen", "generala", "dr", "doktora", "prof", "profesora", "ks", "ksiedz
 #: Abbreviation dictionary for alignment: short form to the beginnings of long ones.
 ABBREVIATIONS = {"gen": "general", "dr": "doktor", "prof": "profesor", "ks": "ksi", "kard": "kardynal", "sw": "swiet", "mjr": "major", "plk": "pulkownik", "kpt": "kapitan", "marsz": "marszal", "inz": "inzynier", "st": "star", "now": "now", "wlk": "wielk", "ml": "mal", "woj": "wojsk"}
 GAP_OPEN, GAP_EXTEND, ACCEPT = 0.35, 0.3, 0.65
-#: One row a band: writings of one number in one town are few, and a slip in a short word leaves a third of its pairs of letters.
-BANDS, ROWS = 20, 1
+#: Bands of the MinHash signatures of the streets of one town. Writings that share four tenths of their shingles (a short word with a slip) meet with probability 0.9998,
+#: unlike ones (a twentieth) with 0.12.
+BANDS, ROWS = 50, 2
+#: Members of one building that one task pairs with the others.
+PAIR_ROWS = 5_000
 
-_NUMBER = r"(?:\b(?:nr|numer)\.?\s*)?\b(\d{1,4})\s?(?:([a-ln-z])(?![\w.]))?(?:\s*(?:/|\bm\b\.?|\blok\b\.?|\bmieszk\w*\.?)\s*\d+\w?)?"
+_NUMBER = r"(?:\b(?:nr|numer)\.?\s*)?\b(\d{1,6})\s?(?:([a-ln-z]|m(?!\s*\.?\s*\d))(?![\w.]))?(?:\s*(?:/|\bm\b\.?|\blok\b\.?|\bmieszk\w*\.?)\s*\d+\w?)?"
 _TRAILING = re.compile(_NUMBER + r"\s*$")
 _POSTCODE = re.compile(r"\b(\d{2})\s*-\s*(\d{3})\b|\b(\d{5})\b")
 _KIND = re.compile(r"(?:^|(?<=[\s,]))(ulica|ulicy|ul|aleja|aleje|alei|al|plac|placu|pl|osiedle|osiedlu|os)(?:\.\s*|\s+)(?=\S)")
@@ -170,22 +173,24 @@ def _substitution(a: str, b: str) -> float:
 
 
 def align(a: list[str], b: list[str]) -> float:
-    """Least cost of aligning two token lists with affine gaps."""
+    """Least cost of aligning two token lists with affine gaps, row by row."""
     inf = 99.0
-    n, m = len(a), len(b)
-    M = np.full((n + 1, m + 1), inf)
-    X, Y = M.copy(), M.copy()
-    M[0, 0] = 0.0
-    gap = lambda w: 0.3 if len(w) == 1 else 1.0
-    for i in range(n + 1):
+    weight = lambda w: 0.3 if len(w) == 1 else 1.0
+    skip = [weight(w) for w in b]
+    m = len(b)
+    both, up, left = [0.0] + [inf] * m, [inf] * (m + 1), [inf] * (m + 1)  # last step: both tokens, a's alone, b's alone
+    for j in range(m):
+        left[j + 1] = min(min(both[j], up[j]) + GAP_OPEN * skip[j], left[j] + GAP_EXTEND * skip[j])
+    for w in a:
+        g = weight(w)
+        new_both, new_up, new_left = [inf] * (m + 1), [inf] * (m + 1), [inf] * (m + 1)
         for j in range(m + 1):
-            if i and j:
-                M[i, j] = min(M[i - 1, j - 1], X[i - 1, j - 1], Y[i - 1, j - 1]) + _substitution(a[i - 1], b[j - 1])
-            if i:
-                X[i, j] = min(min(M[i - 1, j], Y[i - 1, j]) + GAP_OPEN * gap(a[i - 1]), X[i - 1, j] + GAP_EXTEND * gap(a[i - 1]))
+            new_up[j] = min(min(both[j], left[j]) + GAP_OPEN * g, up[j] + GAP_EXTEND * g)
             if j:
-                Y[i, j] = min(min(M[i, j - 1], X[i, j - 1]) + GAP_OPEN * gap(b[j - 1]), Y[i, j - 1] + GAP_EXTEND * gap(b[j - 1]))
-    return float(min(M[n, m], X[n, m], Y[n, m]))
+                new_both[j] = min(both[j - 1], up[j - 1], left[j - 1]) + _substitution(w, b[j - 1])
+                new_left[j] = min(min(new_both[j - 1], new_up[j - 1]) + GAP_OPEN * skip[j - 1], new_left[j - 1] + GAP_EXTEND * skip[j - 1])
+        both, up, left = new_both, new_up, new_left
+    return min(both[m], up[m], left[m])
 
 
 @lru_cache(maxsize=200_000)
@@ -198,8 +203,10 @@ def same_street(kind_a: str, a: str, kind_b: str, b: str) -> bool:
         x, y = y, x
     if not any(_substitution(v, w) < 1 for v in x if len(v) > 2 for w in y if len(w) > 2):
         return False
-    turns = [x[i:] + x[:i] for i in range(len(x))] if len(x) <= 4 else [x]
-    return min(align(t, y) for t in turns) <= ACCEPT
+    if align(x, y) <= ACCEPT:
+        return True
+    # Parts in another order: turns that begin with a partner of the other's first word.
+    return any(align(x[i:] + x[:i], y) <= ACCEPT for i in range(1, len(x)) if any(_substitution(x[i], w) < 1 for w in y[:2]))
 
 
 # MinHash --------------------------------------------------------------------------------------------
@@ -214,6 +221,8 @@ def _shingles(text: str) -> set[str]:
             out.add(w)
             p = f"^{w}$"
             out.update(p[i : i + 2] for i in range(len(p) - 1))
+            if len(w) > 3:
+                out.add("=" + "".join(sorted(w)))  # the same for exchanged letters
     return out or {text}
 
 
@@ -321,28 +330,34 @@ def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(done(), columns=[*_FORM, "building"])
 
 
+def _like(a: DataFrame, b: DataFrame, block: list[str]) -> DataFrame:
+    """Pairs of distinct streets (kind, street) of one block that read alike: (block, kind_a, street_a, ..., kind_b, street_b, ...)."""
+    left = _banded(a).withColumnsRenamed({c: f"{c}_a" for c in a.columns if c not in block})
+    right = _banded(b).withColumnsRenamed({c: f"{c}_b" for c in b.columns if c not in block})
+    return _verified(left.join(right, [*block, "band"]).drop("band").where("kind_a <> kind_b or street_a <> street_b" if a is b else "true").distinct())
+
+
 def buildings(rows: DataFrame) -> DataFrame:
     """Assign addresses to buildings: (key, side, town, number, letter, building).
 
     ``rows``: (key, side 'place' or 'event', area, street, housenumber, city, postcode, line).
-    Same town, number and letter (exact after parsing), and streets linked by
-    MinHash bands over words and pairs of letters and verified by alignment; links
-    are closed inside a block, on distinct writings only. Towns are those the data names
-    most often with a postcode (a gazetteer: some 100,000 in a country), up to one slip.
+    Same town, number and letter (exact after parsing), and streets that read alike. Streets are compared once a town, whatever the number of addresses in them: distinct
+    writings meet by MinHash bands over words and pairs of letters and are verified by alignment; then the addresses
+    of a town, number and letter whose streets are alike are linked, and links are closed inside that block. Towns are those the data names
+    most often with each postcode (five digits: 100,000 at most), up to one slip.
     A missing town is taken from the postcode, else from the single
     town of the same area that has the same street and number. Addresses without street or number
     (null, blank or unreadable) denote no building and are dropped. Repeated rows stay.
     """
     code = F.regexp_replace("postcode", r"\D", "")
-    named = rows.where(F.length(F.trim("city")).between(2, 60)).select(code.alias("code"), F.trim(F.lower("city")).alias("city")).groupBy("code", "city").count()
-    by_code = cut(named.where(F.length("code") == 5).groupBy("code").agg(F.max_by("city", F.struct("count", "city")).alias("city")))
-    towns = frozenset(fold(r[0]) for r in by_code.select("city").distinct().toLocalIterator())
-    if not towns:
-        towns = frozenset(fold(r[0]) for r in named.groupBy("city").agg(F.sum("count").alias("n")).where("n > 1").select("city").toLocalIterator())
+    named = rows.where(F.trim("city") != "").select(code.alias("code"), F.trim(F.lower("city")).alias("city")).where(F.length("code") == 5).groupBy("code", "city").count()
+    by_code = cut(named.groupBy("code").agg(F.max_by("city", F.struct("count", "city")).alias("city")))
     codes = {r[0]: fold(r[1]) for r in by_code.toLocalIterator()}
+    towns = frozenset(codes.values())
     base = parsed(rows, towns)
-    by_code = rows.sparkSession.createDataFrame(sorted(codes.items()), "postcode string, code_town string")
-    known = rows.sparkSession.createDataFrame([(t,) for t in sorted(towns)], "town string").withColumn("sure", F.lit(True))
+    spark = rows.sparkSession
+    by_code = spark.createDataFrame(sorted(codes.items()), "postcode string, code_town string")
+    known = spark.createDataFrame([(t,) for t in sorted(towns)], "town string").withColumn("sure", F.lit(True))
     base = base.join(by_code, "postcode", "left").join(known, "town", "left")
     # A name that isn't a town of the gazetteer is a slip or a part of the street: the postcode is better, if there is one.
     town = F.when(F.col("sure"), F.col("town")).otherwise(F.coalesce("code_town", "town"))
@@ -350,29 +365,44 @@ def buildings(rows: DataFrame) -> DataFrame:
 
     lone = base.where("town = ''").select("area", "number", "letter", "kind", "street").distinct()
     full = base.where("town <> ''").select("area", "town", "number", "letter", "kind", "street").distinct()
-    a = _banded(lone).withColumnsRenamed({"kind": "kind_a", "street": "street_a"})
-    b = _banded(full.join(lone.select("area", "number", "letter").distinct(), ["area", "number", "letter"], "left_semi")).withColumnsRenamed({"kind": "kind_b", "street": "street_b"})
-    near = _verified(a.join(b, ["area", "number", "letter", "band"]).drop("band").distinct())
-    guess = near.groupBy("area", "number", "letter", F.col("kind_a").alias("kind"), F.col("street_a").alias("street")).agg(F.countDistinct("town").alias("n"), F.first("town").alias("guess")).where("n = 1").drop("n")
+    near = _like(lone.select("area", "kind", "street").distinct(), full.select("area", "kind", "street").distinct(), ["area"])
+    near = near.withColumnsRenamed({"kind_a": "kind", "street_a": "street"}).join(lone, ["area", "kind", "street"])
+    near = near.join(full.withColumnsRenamed({"kind": "kind_b", "street": "street_b"}), ["area", "number", "letter", "kind_b", "street_b"])
+    guess = near.groupBy("area", "number", "letter", "kind", "street").agg(F.countDistinct("town").alias("n"), F.first("town").alias("guess")).where("n = 1").drop("n")
     guess = guess.withColumn("town", F.lit(""))
     rows2 = cut(base.join(guess, ["area", "town", "number", "letter", "kind", "street"], "left").withColumn("town", F.coalesce("guess", F.when(F.col("town") != "", F.col("town")), F.concat(F.lit("?"), F.col("key")))).drop("guess", "area"))
 
     forms = rows2.select(*_FORM).distinct()
-    e = _banded(forms)
-    a, b = e.withColumnsRenamed({"kind": "kind_a", "street": "street_a"}), e.withColumnsRenamed({"kind": "kind_b", "street": "street_b"})
-    pairs = a.join(b, ["town", "number", "letter", "band"]).where(F.struct("kind_a", "street_a") < F.struct("kind_b", "street_b")).drop("band").distinct()
-    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = _verified(pairs).repartition(slots, "town", "number", "letter").sortWithinPartitions("town", "number", "letter")
+    streets = forms.where("town not like '?%'").select("town", "kind", "street").distinct()
+    alike = cut(_like(streets, streets, ["town"]).where(F.struct("kind_a", "street_a") < F.struct("kind_b", "street_b")))
+    pairs = alike.join(forms.withColumnsRenamed({"kind": "kind_a", "street": "street_a"}), ["town", "kind_a", "street_a"])
+    pairs = pairs.join(forms.withColumnsRenamed({"kind": "kind_b", "street": "street_b"}), ["town", "number", "letter", "kind_b", "street_b"])
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    linked = pairs.repartition(slots, "town", "number", "letter").sortWithinPartitions("town", "number", "letter")
     linked = linked.mapInPandas(_components, "town string, number string, letter string, kind string, street string, building string")
     out = rows2.join(linked, _FORM, "left")
     return out.select("key", "side", "town", "number", "letter", F.coalesce("building", F.trim(F.concat_ws(" ", "kind", "street"))).alias("building"))
 
 
-def same_building_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (key_a < key_b) of two places, or a place and an event, in one building; each once."""
-    spot = ["town", "number", "letter", "building"]
-    m = members.select(*spot, "key", "side").distinct()
-    a = m.where("side = 'place'").select(*spot, F.col("key").alias("k1"))
-    b = m.select(*spot, F.col("key").alias("k2"), F.col("side").alias("s2"))
-    pairs = a.join(b, spot).where((F.col("s2") == "event") | (F.col("k1") < F.col("k2")))
+_SPOT = ["town", "number", "letter", "building"]
+
+
+def with_links(members: DataFrame) -> DataFrame:
+    """Each address with its class, the building, and its number of links: places link to all others of the building, events to its places."""
+    n = members.groupBy(*_SPOT).agg(F.count_distinct(F.when(F.col("side") == "place", F.col("key"))).alias("p"), F.count_distinct(F.when(F.col("side") != "place", F.col("key"))).alias("e"))
+    links = F.when(F.col("side") == "place", F.col("p") - 1 + F.col("e")).otherwise(F.col("p"))
+    return members.join(n, _SPOT).select(*members.columns, links.alias("links"))
+
+
+def same_building_pairs(members: DataFrame, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """Pairs (key_a < key_b) of two places, or a place and an event, in one building; each once.
+
+    A building with more than ``pair_rows`` members is paired by several tasks: its places are split by hash, and each part meets all members.
+    """
+    m = members.select(*_SPOT, "key", "side").distinct()
+    hot = m.groupBy(*_SPOT).agg(F.ceil(F.count("*") / pair_rows).cast("int").alias("parts")).where("parts > 1")
+    m = m.join(hot, _SPOT, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = m.where("side = 'place'").select(*_SPOT, F.col("key").alias("k1"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    b = m.select(*_SPOT, F.col("key").alias("k2"), F.col("side").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, [*_SPOT, "part"]).where((F.col("s2") == "event") | (F.col("k1") < F.col("k2")))
     return pairs.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"))

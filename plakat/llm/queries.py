@@ -131,8 +131,8 @@ def p5_found(spark, sf_dir):
 
 @R.add("p5_buildings")
 def p5_buildings(spark, sf_dir):
-    """The building of each address record: the class its pairs come from."""
-    return address.buildings(spread(_addresses(spark, sf_dir)))
+    """The building of each address record, the class its pairs come from, with its number of links."""
+    return address.with_links(address.buildings(spread(_addresses(spark, sf_dir))))
 
 
 @R.add("p6_found")
