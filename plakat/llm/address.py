@@ -331,10 +331,10 @@ def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _like(a: DataFrame, b: DataFrame, block: list[str]) -> DataFrame:
-    """Pairs of distinct streets (kind, street) of one block that read alike: (block, kind_a, street_a, ..., kind_b, street_b, ...)."""
+    """Pairs of streets (kind, street) of one block that read alike: (block, kind_a, street_a, kind_b, street_b); of a frame with itself each pair once, the smaller first."""
     left = _banded(a).withColumnsRenamed({c: f"{c}_a" for c in a.columns if c not in block})
     right = _banded(b).withColumnsRenamed({c: f"{c}_b" for c in b.columns if c not in block})
-    return _verified(left.join(right, [*block, "band"]).drop("band").where("kind_a <> kind_b or street_a <> street_b" if a is b else "true").distinct())
+    return _verified(left.join(right, [*block, "band"]).drop("band").where(F.struct("kind_a", "street_a") < F.struct("kind_b", "street_b") if a is b else F.lit(True)).distinct())
 
 
 def buildings(rows: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def buildings(rows: DataFrame) -> DataFrame:
 
     forms = rows2.select(*_FORM).distinct()
     streets = forms.where("town not like '?%'").select("town", "kind", "street").distinct()
-    alike = cut(_like(streets, streets, ["town"]).where(F.struct("kind_a", "street_a") < F.struct("kind_b", "street_b")))
+    alike = cut(_like(streets, streets, ["town"]))
     pairs = alike.join(forms.withColumnsRenamed({"kind": "kind_a", "street": "street_a"}), ["town", "kind_a", "street_a"])
     pairs = pairs.join(forms.withColumnsRenamed({"kind": "kind_b", "street": "street_b"}), ["town", "number", "letter", "kind_b", "street_b"])
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
