@@ -13,8 +13,8 @@ from plakat.runtime import cut
 
 #: Least score of an accepted entry; 'none' below it.
 ACCEPT = 0.62
-#: Least share of an entry's distinctive weight that must be found.
-DISTINCTIVE = 0.7
+#: Least share of an entry's distinctive weight that must be found; of an entry without distinctive words, of its whole weight.
+DISTINCTIVE, WHOLE = 0.7, 0.75
 #: Characters of a token that take part in repair; longer tokens are matched by equality only.
 TOKEN_CHARS = 40
 
@@ -50,10 +50,10 @@ def _drops(c: Column) -> Column:
 def repair_tokens(tokens: DataFrame, reference: DataFrame) -> DataFrame:
     """Join distinct tokens (tok) to reference tokens (rtok) by edit distance: (tok, rtok, sim).
 
-    Both sides list themselves, their stem, and the forms of both with one character left out;
-    an equal form proposes a pair, the smaller distance of words or stems decides. A token that is the
-    beginning of a reference token (three letters or more) counts as its abbreviation.
-    Equal tokens have 1.0, equal stems 0.97, abbreviations 0.9, one slip 1 - 0.6 / length of the stem.
+    Both sides list themselves, their stem, and the forms of both with one character left out: equal forms propose every pair within one slip (a character
+    missing, added, changed, or exchanged with its neighbour) and some within two; the smaller distance of words or stems decides. A token that is the
+    beginning of a reference token (three letters or more) counts as its abbreviation. Tokens longer than ``TOKEN_CHARS`` meet their equals only.
+    Equal tokens have 1.0, equal stems 0.97, abbreviations 0.9, one slip 1 - 0.6 / length of the stem, two 1 - 0.8 / length.
     """
     t = tokens.select("tok", stem(F.col("tok")).alias("ts")).where(F.length("tok") <= TOKEN_CHARS)
     r = reference.select("rtok", stem(F.col("rtok")).alias("rs")).where(F.length("rtok") <= TOKEN_CHARS)
@@ -64,7 +64,7 @@ def repair_tokens(tokens: DataFrame, reference: DataFrame) -> DataFrame:
     longest = F.greatest(F.length("ts"), F.length("rs"))
     near = by_edit.join(ref_edit, "k").select("tok", "ts", "rtok", "rs").distinct()
     edit = near.where((F.col("ts") == F.col("rs")) | ((longest >= 3) & (d <= 2))).select(
-        "tok", "rtok", F.when(F.col("tok") == F.col("rtok"), 1.0).when(F.col("ts") == F.col("rs"), 0.97).otherwise(1 - 0.6 / longest).alias("sim")
+        "tok", "rtok", F.when(F.col("tok") == F.col("rtok"), 1.0).when(F.col("ts") == F.col("rs"), 0.97).otherwise(1 - F.when(d <= 1, 0.6).otherwise(0.8) / longest).alias("sim")
     )
     begin = r.select("rtok", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("rtok") - 1)), lambda i: F.substring(F.col("rtok"), F.lit(1), i))).alias("tok"))
     short = t.select("tok").where(F.length("tok").between(3, 6)).join(begin, "tok").select("tok", "rtok", F.lit(0.9).alias("sim"))
@@ -95,35 +95,49 @@ def map_names(asked: DataFrame, reference: DataFrame, context: DataFrame, popula
     of an area. The best entry wins; ties go to the more popular, then the smaller id.
     Names without an accepted entry have a null entry; so have null and blank names. Entries without an id or a name are left out.
     """
-    named = cut(tidy(asked.select("name", "area").distinct(), "name", "_t"))
-    toks = named.select("name", "area", F.explode(F.array_distinct(words(F.regexp_replace(F.regexp_replace(F.col("_t"), STREET, " "), "(?i)" + PATRON, " ")))).alias("tok"))
+    named = tidy(asked.select("name", "area").distinct(), "name", "_t")
+    named = cut(named.select("name", "area", F.array_distinct(words(F.regexp_replace(F.regexp_replace(F.col("_t"), STREET, " "), "(?i)" + PATRON, " "))).alias("toks")))
+    toks = named.select("name", "area", F.explode("toks").alias("tok"))
 
     ref = reference.where("entry is not null and entry_name is not null").select("entry", "entry_name", F.col("area").alias("r_area"))
     ref_words = words(F.regexp_replace("entry_name", PATRON, ""))
     acronym = F.when(F.size(ref_words) >= 3, F.array_join(F.transform(ref_words, lambda w: F.substring(w, 1, 1)), ""))
-    entries = cut(ref.select("entry", "r_area", ref_words.alias("rw"), acronym.alias("ac")))
-    r_tok = entries.select("entry", "r_area", F.explode("rw").alias("rtok"))
+    listed = ref.select("entry", "r_area", ref_words.alias("rw"), acronym.alias("ac"))
+    r_tok = listed.select("entry", "r_area", F.explode(F.array_distinct("rw")).alias("rtok"))
     freq = r_tok.groupBy("rtok").agg(F.countDistinct("entry").alias("df"), F.greatest(F.countDistinct("r_area"), F.lit(1)).alias("areas"))
     # A token's rarity inside an area: tokens found once an area weigh most.
     freq = freq.select("rtok", (F.lit(1.0) + F.lit(3.0) / F.pow(F.col("df") / F.col("areas"), F.lit(1.2))).alias("w"), (F.col("df") <= F.col("areas") * 1.2).alias("distinct_one"))
-    r_tok = cut(r_tok.join(freq, "rtok"))
-    weights = r_tok.select("rtok", "w").distinct()
-    r_sum = r_tok.groupBy("entry").agg(F.sum("w").alias("r_total"), F.sum(F.when(F.col("distinct_one"), F.col("w")).otherwise(0.0)).alias("d_total"))
+    entries = r_tok.join(freq, "rtok").groupBy("entry", "r_area").agg(
+        F.sort_array(F.collect_list(F.struct((~F.col("distinct_one")).alias("common"), (-F.col("w")).alias("low"), "rtok"))).alias("e"),
+        F.sum("w").alias("r_total"), F.sum(F.when(F.col("distinct_one"), F.col("w")).otherwise(0.0)).alias("d_total"),
+    )
+    # An accepted name misses less than this weight of the entry, so it holds one at least of the first tokens (rarest first) that weigh more together.
+    slack = F.when(F.col("d_total") > 0, F.col("d_total") * (1 - DISTINCTIVE)).otherwise(F.col("r_total") * (1 - WHOLE))
+    before = lambda i: F.aggregate(F.slice("e", 1, i), F.lit(0.0), lambda a, x: a - x["low"])
+    keys = F.filter(F.transform("e", lambda x, i: F.when(before(i) <= slack, x["rtok"])), lambda x: x.isNotNull())
+    entries = cut(entries.select("entry", "r_area", "e", "r_total", "d_total", keys.alias("keys")))
+    known = entries.select(F.inline("e")).select("rtok", (-F.col("low")).alias("w")).distinct()
 
-    distinct_tok = toks.select("tok").distinct()
     # One join for all reference tokens: of entries, of contexts and of towns.
     beside = context.select(F.col("tok").alias("rtok")).distinct()
-    area_tok = cut(reference.select(F.col("area").alias("a2"), F.explode(words(F.col("area_name"))).alias("rtok")).distinct())
-    matches = cut(repair_tokens(distinct_tok, r_tok.select("rtok").union(beside).union(area_tok.select("rtok")).distinct()))
+    area_tok = reference.select(F.col("area").alias("a2"), F.explode(words(F.col("area_name"))).alias("rtok")).distinct()
+    matches = cut(repair_tokens(toks.select("tok").distinct(), known.select("rtok").union(beside).union(area_tok.select("rtok")).distinct()))
     known_context = matches.where("sim >= 0.8").join(beside, "rtok", "left_semi").select("tok").distinct().withColumn("ctx", F.lit(True))
-    best_w = matches.join(weights, "rtok").groupBy("tok").agg(F.max(F.col("w") * F.col("sim")).alias("w_known"))
-    weighted = toks.join(known_context, "tok", "left").join(best_w, "tok", "left")
+    weigh = matches.join(known, "rtok").groupBy("tok").agg(F.max(F.col("w") * F.col("sim")).alias("w_known"), F.collect_list(F.struct("rtok", "sim")).alias("hits"))
     own_w = F.when(F.length("tok") <= 2, 0.5).when(F.col("ctx"), 0.0).otherwise(F.greatest(F.coalesce("w_known", F.lit(0.0)), F.lit(2.5)))
-    weighted = cut(weighted.select("name", "area", "tok", own_w.alias("n_w"), F.coalesce("ctx", F.lit(False)).alias("ctx")))
-    n_sum = weighted.groupBy("name", "area").agg(F.sum("n_w").alias("n_total"))
-
-    pair = weighted.join(matches, "tok").join(r_tok, "rtok").where(F.col("area").isNull() | (F.col("area") == F.col("r_area")))
-    per = pair.groupBy("name", "area", "entry").agg(F.collect_list(F.struct("tok", "rtok", "sim", "w", "n_w", "distinct_one")).alias("m"))
+    tok = toks.select("tok").distinct().join(known_context, "tok", "left").join(weigh, "tok", "left").select("tok", own_w.alias("n_w"), "hits")
+    names = toks.join(tok, "tok").groupBy("name", "area").agg(F.sum("n_w").alias("n_total"), F.collect_list(F.struct("tok", "n_w", "hits")).alias("t"))
+    hits = F.flatten(F.transform(F.filter("t", lambda x: x["hits"].isNotNull()), lambda x: F.transform(x["hits"], lambda h: F.struct(x["tok"].alias("tok"), h["rtok"].alias("rtok"), h["sim"].alias("sim"), x["n_w"].alias("n_w")))))
+    names = cut(names.select("name", "area", "n_total", hits.alias("m")))
+
+    near = lambda: F.col("area").isNull() | (F.col("area") == F.col("r_area"))
+    asking = names.select("name", "area", F.explode(F.array_distinct(F.transform("m", lambda x: x["rtok"]))).alias("rtok"))
+    cand = asking.join(entries.select("entry", "r_area", F.explode("keys").alias("rtok")), "rtok").where(near()).select("name", "area", "entry").distinct()
+    per = cand.join(entries, "entry").join(names.withColumnsRenamed({"name": "n2", "area": "a2"}), (F.col("name") == F.col("n2")) & F.col("area").eqNullSafe(F.col("a2")))
+    weights = F.map_from_entries(F.transform("e", lambda x: F.struct(x["rtok"], F.struct((-x["low"]).alias("w"), (~x["common"]).alias("distinct_one")))))
+    per = per.select("name", "area", "entry", "r_total", "d_total", "n_total", weights.alias("ew"), "m")
+    met = F.transform(F.filter("m", lambda x: F.map_contains_key("ew", x["rtok"])), lambda x: x.withField("w", F.element_at("ew", x["rtok"])["w"]).withField("distinct_one", F.element_at("ew", x["rtok"])["distinct_one"]))
+    per = per.withColumn("m", met)
 
     def best(key: str, weight: str, only_distinct: bool = False) -> Column:
         """Sum over distinct tokens of the weight times the best similarity."""
@@ -132,31 +146,24 @@ def map_names(asked: DataFrame, reference: DataFrame, context: DataFrame, popula
         top = F.transform(keys, lambda k: F.array_max(F.transform(F.filter(got, lambda x: x[key] == k), lambda x: x["sim"] * x[weight])))
         return F.aggregate(top, F.lit(0.0), lambda a, x: a + x)
 
-    scored = per.select("name", "area", "entry", best("rtok", "w").alias("r_hit"), best("rtok", "w", True).alias("d_hit"), best("tok", "n_w").alias("n_hit"))
     # A context token that the entry itself holds ("Scena" of "Scena Bursztyn") counts for the entry only.
-    scored = scored.join(r_sum, "entry").join(n_sum.withColumnsRenamed({"name": "n2", "area": "a2"}), (F.col("name") == F.col("n2")) & F.col("area").eqNullSafe(F.col("a2"))).drop("n2", "a2")
+    scored = per.select("name", "area", "entry", "r_total", "d_total", "n_total", best("rtok", "w").alias("r_hit"), best("rtok", "w", True).alias("d_hit"), best("tok", "n_w").alias("n_hit"))
     r_share, n_share = F.col("r_hit") / F.col("r_total"), F.when(F.col("n_total") > 0, F.col("n_hit") / F.col("n_total")).otherwise(0.0)
-    enough = F.when(F.col("d_total") > 0, F.col("d_hit") / F.col("d_total") >= DISTINCTIVE).otherwise(r_share >= 0.75)
+    enough = F.when(F.col("d_total") > 0, F.col("d_hit") / F.col("d_total") >= DISTINCTIVE).otherwise(r_share >= WHOLE)
     scored = scored.where(enough).select("name", "area", "entry", ((r_share + n_share) / 2).alias("score"))
 
-    short = toks.join(entries.where(F.col("ac").isNotNull()).select("entry", "r_area", F.col("ac").alias("tok")), "tok").where(F.col("area").isNull() | (F.col("area") == F.col("r_area")))
-    scored = cut(scored.unionByName(short.select("name", "area", "entry", F.lit(0.95).alias("score"))))
+    short = toks.join(listed.where(F.col("ac").isNotNull()).select("entry", "r_area", F.col("ac").alias("tok")), "tok").where(near())
+    scored = scored.unionByName(short.select("name", "area", "entry", F.lit(0.95).alias("score"))).where(F.col("score") >= accept)
     # The town named in an open text decides among entries of equal names.
     told = toks.where(F.col("area").isNull()).join(matches.where("sim >= 0.8"), "tok").join(area_tok, "rtok")
     in_text = told.select(F.col("name").alias("n2"), "a2").distinct().withColumn("told", F.lit(0.2))
-    scored = scored.join(entries.select("entry", "r_area"), "entry").join(in_text, (F.col("name") == F.col("n2")) & (F.col("a2") == F.col("r_area")) & F.col("area").isNull(), "left").select(
+    scored = scored.join(listed.select("entry", "r_area"), "entry").join(in_text, (F.col("name") == F.col("n2")) & (F.col("a2") == F.col("r_area")) & F.col("area").isNull(), "left").select(
         "name", "area", "entry", "score", (F.col("score") + F.coalesce("told", F.lit(0.0))).alias("rank")
     )
     if popularity is not None:
         scored = scored.join(popularity.select("entry", "popular"), "entry", "left")
     else:
         scored = scored.withColumn("popular", F.lit(0))
-    scored = scored.where(F.col("score") >= accept)
-    top = F.max_by(F.struct("entry", "score"), F.struct(F.round("rank", 6), F.coalesce("popular", F.lit(0)), _reverse(F.col("entry"))))
+    top = F.min_by(F.struct("entry", "score"), F.struct(-F.round("rank", 6), -F.coalesce("popular", F.lit(0)), "entry"))
     chosen = scored.groupBy("name", "area").agg(top.alias("t")).select(F.col("name").alias("n2"), F.col("area").alias("a2"), "t.entry", "t.score")
     return named.select("name", "area").join(chosen, F.col("name").eqNullSafe(F.col("n2")) & F.col("area").eqNullSafe(F.col("a2")), "left").select("name", "area", "entry", "score")
-
-
-def _reverse(c: Column) -> Column:
-    """Orders strings downwards for up to 16 leading characters."""
-    return F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz0123456789", "9876543210zyxwvutsrqponmlkjihgfedcba")

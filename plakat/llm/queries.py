@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plakat.llm import address, bpe, canonical, linkage, lookalike, mojibake, packing, pii, survivor
 from plakat.plans.registry import Registry
-from plakat.runtime import read_table, spread
+from plakat.runtime import cut, read_table, spread
 
 R = Registry()
 
@@ -77,7 +77,7 @@ def _venue_names(spark, sf_dir, all_rows=False):
     ref = read_table(spark, sf_dir, "venue_refs").select(F.col("place_id").alias("entry"), F.col("name").alias("entry_name"), F.col("city").alias("area"), F.col("city_name").alias("area_name"))
     rec = read_table(spark, sf_dir, "event_records").select("record_id", "source", "city", "stage_name", F.col("analysis.ticket_info.venue_name").alias("name"), F.col("analysis.ticket_info.place_id").alias("place_id"))
     ids = ref.select(F.col("entry").alias("place_id")).distinct().withColumn("ok", F.lit(True))
-    rec = rec.join(F.broadcast(ids), "place_id", "left")  # the canonical list: a fixed table of 240 rows
+    rec = cut(rec.join(ids, "place_id", "left"))  # the one reading of the records
     # A feed all of whose records lie in one town stands for that town where a record names none.
     town = rec.groupBy("source").agg(F.min("city").alias("lo"), F.max("city").alias("hi")).where("lo = hi").select("source", F.col("lo").alias("town"))
     popular = rec.where("ok").groupBy(F.col("place_id").alias("entry")).agg(F.count("*").alias("popular"))

@@ -134,3 +134,13 @@ def test_long_tokens_match_their_equals(spark):
     long = "muzeum" * 8
     got = canonical.repair_tokens(spark.createDataFrame([(long,), (long + "x",)], "tok string"), spark.createDataFrame([(long,), ("dom",)], "rtok string")).collect()
     assert [tuple(r) for r in got] == [(long, long, 1.0)]
+
+
+def test_equal_entries_go_to_the_smaller_id(spark):
+    ref = spark.createDataFrame([("kino", "Nowy Zdrój", "a", "A"), ("alfa", "Nowy Zdrój", "a", "A"), ("z9", "Hala", "a", "A")], "entry string, entry_name string, area string, area_name string")
+    asked = spark.createDataFrame([("Nowy Zdrój", "a"), ("Nowy Zdroj", None), (None, None), ("", "a"), ("Inna", "a")], "name string, area string")
+    context = spark.createDataFrame([], "tok string")
+    got = {(r.name, r.area): r.entry for r in canonical.map_names(asked, ref, context).collect()}
+    assert got == {("Nowy Zdrój", "a"): "alfa", ("Nowy Zdroj", None): "alfa", (None, None): None, ("", "a"): None, ("Inna", "a"): None}
+    popular = spark.createDataFrame([("kino", 3)], "entry string, popular bigint")
+    assert {r.entry for r in canonical.map_names(asked.limit(2), ref, context, popular).collect()} == {"kino"}
