@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plakat.llm.canonical import fold
 from plakat.llm.lookalike import UNUSUAL_JAVA, skeleton
-from plakat.llm.mojibake import CLEAN, Model, Verdict, predict, repair
+from plakat.llm.mojibake import CLEAN, Model, predict, repair
 from plakat.runtime import cut
 
 #: A title word is common if more than this share of all records has it, and more than COMMON_ROWS records.
@@ -24,8 +24,11 @@ DOORS_MINUTES = 30
 #: Least posterior. Patterns between a quarter and a half agree in artist, day and time and differ in rare votes only.
 ACCEPT = 0.25
 
+#: Records of one word and day beyond which its pairs meet by town and start too, and how many of them one task joins with the others.
+HOT_ROWS, PART_ROWS, MOST_PARTS = 200, 5_000, 64
+
 #: Hash slots by which rows that no join needs are left out beforehand.
-SLOTS = 1 << 17
+SLOTS = 1 << 18
 
 # The label model -------------------------------------------------------------------------------------
 
@@ -117,29 +120,19 @@ def fit_label_model(patterns: pd.DataFrame, names: list[str], sizes: list[int],
 
 
 def tidy_records(df: DataFrame, columns: list[str], garbled: Model | None) -> DataFrame:
-    """Put text columns into consistent characters; only rows with unusual ones pass through Python. Columns: id and the text columns."""
-    unusual = F.lit(False)
-    for c in columns:
-        unusual = unusual | F.coalesce(F.col(c).rlike(UNUSUAL_JAVA), F.lit(False))
+    """Put text columns into consistent characters, in one pass: Python gets nulls but for texts with unusual characters."""
     shared = df.sparkSession.sparkContext.broadcast(garbled)
 
-    def clean(text: str | None, verdict: Verdict) -> str | None:
-        if text is None or text.isascii():
-            return text
-        return skeleton(repair(text, verdict))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for pdf in batches:
-            out = {}
-            for c in columns:
-                values = [v if isinstance(v, str) else None for v in pdf[c]]
-                verdicts = [CLEAN] * len(values) if model is None else predict([v or "" for v in values], model)
-                out[c] = [clean(v, x) for v, x in zip(values, verdicts, strict=True)]
-            yield pdf.assign(**out)
+    @F.pandas_udf("string")
+    def tidied(values: pd.Series) -> pd.Series:
+        texts = sorted({v for v in values if isinstance(v, str)})
+        verdicts = [CLEAN] * len(texts) if shared.value is None else predict(texts, shared.value)
+        clean = {t: skeleton(repair(t, v)) for t, v in zip(texts, verdicts, strict=True)}
+        return pd.Series([clean[v] if isinstance(v, str) else None for v in values], dtype=object)
 
-    marked = df.withColumn("_u", unusual)
-    return marked.where("not _u").drop("_u").unionByName(marked.where("_u").drop("_u").mapInPandas(run, df.schema))
+    unusual = lambda c: F.coalesce(F.col(c).rlike(UNUSUAL_JAVA), F.lit(False))
+    marked = df.withColumns({f"_u{c}": unusual(c) for c in columns})
+    return marked.withColumns({c: F.when(F.col(f"_u{c}"), tidied(F.when(F.col(f"_u{c}"), F.col(c)))).otherwise(F.col(c)) for c in columns}).drop(*[f"_u{c}" for c in columns])
 
 
 def minutes(c: Column) -> Column:
@@ -170,7 +163,8 @@ def showing_links(records: DataFrame, garbled: Model | None = None, accept: floa
     date is missing. Nine matching functions vote on each candidate; only counted vote patterns (at
     most 31,104 by the sizes of the votes) reach the driver, where the label model learns from
     them. Pairs below ``accept`` are dropped, and by exact check those whose starts are known to lie
-    more than 45 minutes apart. A record without a time that fits several starts of a day is linked to one: a
+    more than 45 minutes apart or whose towns are known to differ; words that many records of a day share are joined by town and start besides, which
+    loses none of the pairs that pass this check. A record without a time that fits several starts of a day is linked to one: a
     start its own source doesn't list otherwise, then the one with most records, then the earliest.
     Records without a day or without any title word form no pairs; records of one source never do. Repeated ids are one record.
     """
@@ -192,17 +186,24 @@ def showing_links(records: DataFrame, garbled: Model | None = None, accept: floa
     base = cut(base)
     n = base.count()
     counted = base.select(F.explode("w").alias("x")).groupBy("x").count().where(F.col("count") > max(COMMON_ROWS, COMMON_SHARE * n))
-    # Words above a fixed share of the records: at most (words a title) / COMMON_SHARE of them.
+    # Words above a fixed share of the records: at most (words a title) / COMMON_SHARE of them; Spark tests them by a hash set.
     common = sorted(r[0] for r in counted.select("x").collect())
-    lit = F.array(*[F.lit(x) for x in common]) if common else F.array().cast("array<string>")
-    own = base.select("*", F.array_except("w", lit).alias("r"), F.transform(F.array_intersect("w", lit), lambda x: F.hash(x)).alias("m")).drop("w")
+    own = base.select("*", F.filter("w", lambda x: ~x.isin(common)).alias("r"), F.transform(F.filter("w", lambda x: x.isin(common)), lambda x: F.hash(x)).alias("m")).drop("w")
     own = cut(own) if common else own
+    keyed = own.withColumn("key", F.explode("r"))
+    hot = cut(keyed.groupBy("key", "day").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS))
     # Both sides of the join read the one exchange.
-    a = own.withColumn("key", F.explode("r")).repartition("key", "day")
+    a = keyed.join(hot, ["key", "day"], "left_anti").repartition("key", "day")
     cols = [c for c in a.columns if c not in ("key", "day")]
-    b = a.select("key", "day", *[F.col(c).alias(f"{c}_b") for c in cols])
+    other = lambda df, *more: df.select(*more, "key", "day", *[F.col(c).alias(f"{c}_b") for c in cols])
+    pairs = a.join(other(a), ["key", "day"]).where("id < id_b")
+    if not hot.isEmpty():
+        h = keyed.join(hot.select("key", "day", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_ROWS)).cast("int").alias("_n")), ["key", "day"])
+        left = h.withColumn("_m", F.explode(_meets(True))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        right = other(h.withColumn("_m", F.explode(_meets(False))).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")), "_m", "_part")
+        pairs = pairs.unionByName(left.join(right, ["key", "day", "_m", "_part"]).where("id < id_b").drop("_m", "_part"))
     # A pair that shares several rare words is kept once, at the smallest of them.
-    pairs = a.join(b, ["key", "day"]).where("id < id_b").where(F.col("key") == F.array_min(F.array_intersect("r", "r_b"))).drop("key", "day")
+    pairs = pairs.where(F.col("key") == F.array_min(F.array_intersect("r", "r_b"))).drop("key", "day")
     if common:
         met = cut(_common_pairs(own))
         part = _among(own.drop("day"), ["id"], met.select("id").union(met.select("id_b")))
@@ -245,7 +246,8 @@ def showing_links(records: DataFrame, garbled: Model | None = None, accept: floa
         left = left // SIZES[j]
     table = [(int(c), float(p)) for c, p in zip(every["code"], model.posterior(grid) if len(grid) else [], strict=True)]
     known = F.broadcast(records.sparkSession.createDataFrame(table, "code int, confidence double"))  # a row a vote pattern
-    good = cand.join(known, "code").where((F.col("confidence") >= accept) & (gap.isNull() | (gap <= APART_MINUTES))).drop("code")
+    apart = F.floor(F.col("code") / int(np.prod(SIZES[VOTES.index("town") + 1 :]))) % SIZES[VOTES.index("town")] == 2
+    good = cand.join(known, "code").where((F.col("confidence") >= accept) & (gap.isNull() | (gap <= APART_MINUTES)) & ~apart).drop("code")
     return _settle(good)
 
 
@@ -256,23 +258,36 @@ def _among(df: DataFrame, on: list[str], keys: DataFrame) -> DataFrame:
     return df.withColumn("_s", slot([F.col(c) for c in on])).join(F.broadcast(seen), "_s", "left_semi").drop("_s")  # SLOTS rows at most
 
 
+_OPEN, _ANY = 1 << 40, (1 << 40) + 1  # keys of towns (hashes of 32 bits) and of starts that aren't known
+
+
+def _meets(left: bool) -> Column:
+    """Keys (town, start) by which two records of columns c, no_c, t meet exactly once, unless their towns differ or their starts lie more than 45 minutes apart (next slots may).
+
+    Known towns meet at the town alone. A record without a town meets those of all towns, by starts; one without a start those of all starts.
+    """
+    at = lambda town, start: F.struct(F.lit(town).cast("bigint").alias("town") if not isinstance(town, Column) else town.cast("bigint").alias("town"), (start if isinstance(start, Column) else F.lit(start)).cast("bigint").alias("start"))
+    slot = F.floor(F.col("t") / (APART_MINUTES + 1))
+    if left:
+        starts = lambda town: F.when(F.col("t").isNull(), F.array(at(town, _ANY))).otherwise(F.array(at(town, slot - 1), at(town, slot), at(town, slot + 1), at(town, _OPEN)))
+        return F.when(F.col("no_c"), starts(_ANY)).otherwise(F.concat(F.array(at(F.col("c"), 0)), starts(_OPEN)))
+    starts = lambda town: F.array(at(town, F.coalesce(slot, F.lit(_OPEN))), at(town, _ANY))
+    return F.when(F.col("no_c"), F.concat(starts(_OPEN), starts(_ANY))).otherwise(F.concat(F.array(at(F.col("c"), 0)), starts(_ANY)))
+
+
 def _common_pairs(own: DataFrame) -> DataFrame:
-    """Pairs of records of a day that share a common title word, in one town and not known to start apart: (id < id_b).
+    """Pairs of records of a day that share a common title word and whose towns and starts don't contradict: (id < id_b).
 
     At least one of the two has fewer than two rare words; titles with two or more each name their artists by them.
-    A record without a town meets those of every town.
     """
-    towns = sorted(r[0] for r in own.where("not no_c").select("c").distinct().collect())
-    every = F.array(*[F.lit(x) for x in towns], F.lit(None).cast("int"))
-    slim = own.where("size(m) > 0").select("id", "day", "t", "no_c", "m", (F.size("r") < 2).alias("few"), F.explode(F.when(F.col("no_c"), every).otherwise(F.array("c"))).alias("c"))
-    keyed = slim.withColumn("key", F.explode("m"))
-    right = _among(keyed, ["key", "day", "c"], keyed.where("few").select("key", "day", "c"))
-    left = keyed.where("few").select("key", "day", "c", *[F.col(x).alias(f"{x}_b") for x in ("id", "t", "no_c", "m")])
-    met = right.join(left, (right["key"] == left["key"]) & (right["day"] == left["day"]) & right["c"].eqNullSafe(left["c"])).drop(left["key"], left["day"], left["c"])
+    slim = own.where("size(m) > 0").select("id", "day", "t", "c", "no_c", "m", (F.size("r") < 2).alias("few"))
+    few = slim.where("few").withColumn("_m", F.explode(_meets(True))).withColumn("key", F.explode("m"))
+    every = slim.withColumn("_m", F.explode(_meets(False))).withColumn("key", F.explode("m"))
+    every = _among(every, ["key", "day", "_m"], few.select("key", "day", "_m"))
+    met = every.drop("c", "no_c").join(few.select("key", "day", "_m", *[F.col(x).alias(f"{x}_b") for x in ("id", "t", "m")]), ["key", "day", "_m"])
     gap = F.abs(F.col("t") - F.col("t_b"))
-    met = met.where("id <> id_b and (not few or id < id_b)").where(gap.isNull() | (gap <= APART_MINUTES))
-    # Two records without a town meet once, and so does a pair that shares several words.
-    met = met.where((F.col("no_c") & F.col("no_c_b")) == F.col("c").isNull()).where(F.col("key") == F.array_min(F.array_intersect("m", "m_b")))
+    # A pair of two records with few words is met from both sides, and one that shares several words at each of them.
+    met = met.where("id <> id_b and (not few or id < id_b)").where(gap.isNull() | (gap <= APART_MINUTES)).where(F.col("key") == F.array_min(F.array_intersect("m", "m_b")))
     return met.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b"))
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plakat.llm import address, canonical, linkage
 from plakat.runtime import read_table
@@ -144,3 +145,28 @@ def test_equal_entries_go_to_the_smaller_id(spark):
     assert got == {("Nowy Zdrój", "a"): "alfa", ("Nowy Zdroj", None): "alfa", (None, None): None, ("", "a"): None, ("Inna", "a"): None}
     popular = spark.createDataFrame([("kino", 3)], "entry string, popular bigint")
     assert {r.entry for r in canonical.map_names(asked.limit(2), ref, context, popular).collect()} == {"kino"}
+
+
+def test_hot_words_give_the_same_links(spark, small, monkeypatch):
+    """Words refined by town and start, split over parts, link what the plain join links."""
+    from plakat.llm import queries
+
+    plain = {(r.id_a, r.id_b) for r in queries._showings(spark, small).collect()}
+    monkeypatch.setattr(linkage, "HOT_ROWS", 1)
+    monkeypatch.setattr(linkage, "PART_ROWS", 1)
+    assert plain and {(r.id_a, r.id_b) for r in queries._showings(spark, small).collect()} == plain
+
+
+def test_records_meet_once(spark):
+    """Every pair of compatible town and start meets in exactly one key; known contradictions never do, beyond neighbouring slots."""
+    rows = [(i, c, t) for i, (c, t) in enumerate((c, t) for c in (None, 1, 2) for t in (None, 600, 640, 645, 700, 1200))]
+    df = spark.createDataFrame(rows, "id int, c int, t int").withColumn("no_c", F.col("c").isNull())
+    a = df.withColumn("m", F.explode(linkage._meets(True)))
+    b = df.select(F.col("id").alias("id_b"), F.explode(linkage._meets(False)).alias("m"))
+    got = {(r.id, r.id_b): r["count"] for r in a.join(b, "m").groupBy("id", "id_b").count().collect()}
+    for i, c, t in rows:
+        for j, d, u in rows:
+            if (c is None or d is None or c == d) and (t is None or u is None or abs(t - u) <= linkage.APART_MINUTES or c == d is not None):
+                assert got.get((i, j)) == 1
+            elif c is not None and d is not None and c != d:
+                assert (i, j) not in got
