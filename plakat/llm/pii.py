@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plakat.llm.sampling import hashed_sample
+
 #: Documents (those with the smallest hash) and word pairs of them on which the classifier of names is fitted.
 TRAIN_ROWS, TRAIN_PAIRS = 4_000, 40_000
 #: Hash buckets of its features.
@@ -287,8 +289,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS, pairs
             got = [(zlib.crc32(np.array(f).tobytes()), y, w, f) for h, t in zip(pdf["_h"], pdf[text_col], strict=True) for y, w, f in _labelled(t, np.random.default_rng(abs(h)))]
             yield pd.DataFrame(got, columns=["h", "y", "w", "f"])
 
-    texts = df.where(F.length(text_col) > 0).select(text_col, F.xxhash64(F.col(id_col).cast("string"), text_col).alias("_h")).orderBy("_h").limit(rows)
-    found = texts.mapInPandas(run, "h bigint, y int, w double, f array<int>").orderBy("h").limit(pairs).collect()
+    texts = hashed_sample(df.select(id_col, text_col), [id_col, text_col], rows).where(F.length(text_col) > 0)
+    found = texts.select("_h", text_col).mapInPandas(run, "h bigint, y int, w double, f array<int>").orderBy("h").limit(pairs).collect()
     return train([(r["y"], r["w"], r["f"]) for r in found])
 
 
