@@ -9,6 +9,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@F.pandas_udf(T.DoubleType())
+def shared_tokens(tokens: pd.Series, others: pd.Series, exact: pd.Series) -> pd.Series:
+    """Share of ``tokens`` that are among ``exact``, or (four letters or more) resemble one of ``others``: same first letter, lengths at most two apart, ratio 0.85 or more.
+
+    Null arrays give null, so decided rows cost nothing.
+    """
+    near: dict[tuple[str, str], bool] = {}
+
+    def alike(t: str, u: str) -> bool:
+        if abs(len(t) - len(u)) > 2 or t[0] != u[0]:
+            return False
+        if (t, u) not in near:
+            near[t, u] = SequenceMatcher(None, t, u).ratio() >= 0.85
+        return near[t, u]
+
+    out = []
+    for ts, us, es in zip(tokens, others, exact, strict=True):
+        if ts is None or us is None or es is None:
+            out.append(None)
+            continue
+        have = set(es)
+        out.append(sum(t in have or len(t) >= 4 and any(alike(t, u) for u in us) for t in ts) / len(ts) if len(ts) else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts, 0..1; asymmetric like its definition; null with a null."""

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plakat.functions.dates import times_apart
-from plakat.functions.similarity import at_least, sequence_ratio
+from plakat.functions.similarity import at_least, sequence_ratio, shared_tokens
 from plakat.functions.text import acronym, stem, stem_word
 from plakat.runtime import cut
 
@@ -69,18 +69,25 @@ def place_similarity(query: Column, place: Column) -> Column:
     qs, ps = F.array_join(F.array_sort(query), " "), F.array_join(F.array_sort(place), " ")
     short = (F.size(place) == 1) & (F.length(F.element_at(place, 1)) <= 3)
     jaccard = F.size(F.array_intersect(q, p)) / F.size(F.array_union(q, p))
-    hits = F.size(F.filter(p_dist, lambda t: F.array_contains(q, t) | ((F.length(t) >= 4) & F.exists(q_dist, lambda u: (F.abs(F.length(t) - F.length(u)) <= 2) & (F.substring(t, 1, 1) == F.substring(u, 1, 1)) & (F.levenshtein(t, u) <= F.ceil(F.length(t) * 0.15))))))
-    distinct = F.when(F.size(p_dist) > 0, hits / F.size(p_dist) * 0.85).otherwise(0.0)
+    inside_p, inside_q = inside(pm, q), inside(qm, p)
+    initials, initials_dist = acronym(place), acronym(p_dist)
+    by_initials, by_distinct = (F.length(initials) >= 3) & F.array_contains(q, initials), (F.length(initials_dist) >= 2) & F.array_contains(q, initials_dist)
+    held = (F.size(place) >= 2) & qs.contains(ps)
+    none = (F.size(query) == 0) | (F.size(place) == 0)
+    # The Arrow functions get null for what the native tests decide.
+    ask = ~F.coalesce(none | short | inside_p | inside_q | by_initials | by_distinct | (qs == ps) | held, F.lit(True))
+    given = lambda c: F.when(ask, c)
+    ratio, distinct = sequence_ratio(given(ps), given(qs)), shared_tokens(given(p_dist), given(q_dist), given(q))
     return (
-        F.when((F.size(query) == 0) | (F.size(place) == 0), 0.0)
+        F.when(none, 0.0)
         .when(short, F.when(F.array_contains(q, F.element_at(place, 1)), 0.95).otherwise(0.0))
-        .when(inside(pm, q), 0.90 + 0.09 * F.size(pm) / F.size(place))
-        .when(inside(qm, p), 0.85 + 0.10 * F.size(qm) / F.greatest(F.size(pm), F.lit(1)))
-        .when((F.length(acronym(place)) >= 3) & F.array_contains(q, acronym(place)), 0.92)
-        .when((F.length(acronym(p_dist)) >= 2) & F.array_contains(q, acronym(p_dist)), 0.88)
+        .when(inside_p, 0.90 + 0.09 * F.size(pm) / F.size(place))
+        .when(inside_q, 0.85 + 0.10 * F.size(qm) / F.greatest(F.size(pm), F.lit(1)))
+        .when(by_initials, 0.92)
+        .when(by_distinct, 0.88)
         .when(qs == ps, 0.95)
-        .when((F.size(place) >= 2) & qs.contains(ps), 0.86)
-        .otherwise(F.greatest(jaccard, 0.80 * sequence_ratio(ps, qs), distinct))
+        .when(held, 0.86)
+        .otherwise(F.greatest(jaccard, 0.80 * ratio, 0.85 * distinct))
     )
 
 

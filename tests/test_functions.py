@@ -67,11 +67,23 @@ def test_small_text_rules(spark):
 def test_paragraphs(spark):
     long = "Zdanie ma trochę słów i tak dalej. " * 9
     raw = f"KoncertWspaniały(sala)Dobra. Czas trwania: 90 minut<br/>{long}UWAGA limit. 🎭 Zobacz więcej informacji na stronie"
-    got = text.split_paragraphs(raw)
-    assert got[0] == "Koncert Wspaniały (sala) Dobra." and got[1] == "* Czas trwania: 90 minut"
-    assert all(len(p) <= text.FULL + 60 for p in got) and not any("więcej informacji" in p for p in got) and any(p.startswith("UWAGA") for p in got)
-    assert text.split_paragraphs(None) == [] and text.split_paragraphs("abc") == []
-    assert col(spark, [raw, None, ""], text.paragraphs) == [got, [], []]
+    got = col(spark, [raw, None, "", "abc"], text.paragraphs)
+    assert got[1:] == [[], [], []]
+    got = got[0]
+    sentence = "Zdanie ma trochę słów i tak dalej."
+    assert got == ["Koncert Wspaniały (sala) Dobra.", "* Czas trwania: 90 minut", " ".join([sentence] * 7), " ".join([sentence] * 2), "UWAGA limit. na stronie"]
+
+
+def test_phrase_with_its_lead_up_is_cut_out(spark):
+    cases = {
+        "Gramy. Zobacz tu: więcej informacji - dziś": "Gramy.. dziś",  # from the last stop
+        "Gramy 🎭 dziś. Tu więcej informacji": "Gramy . ",  # a picture goes before a stop
+        "x" * 100 + "więcej informacji. Koniec": "x" * 40 + ". Koniec",  # neither: 60 characters
+        "Bez frazy": "Bez frazy",
+        None: None,
+    }
+    assert col(spark, list(cases), text.without_phrase) == list(cases.values())
+    assert col(spark, ["a Więcej Informacji b Więcej informacji c", "y" * 300], text.paragraphs) == [[". c"], ["y" * 300]]
 
 
 def test_urls(spark):

@@ -21,7 +21,7 @@ def test_titles_of_one_day(spark):
 
 @pytest.mark.parametrize(
     ("query", "place", "low", "high"),
-    [("NCK w Starogrębie", "Narodowe Centrum Kowalstwa", 0.75, 1), ("spektakl w Teatrze Zielony Most sala A", "Teatr Zielony Most", 0.85, 1), ("Iglica", "Muzeum Iglica", 0.85, 1), ("Klub ABC", "Filharmonia Kuźnia", 0, 0.4), ("", "Muzeum", 0, 0)],
+    [("NCK w Starogrębie", "Narodowe Centrum Kowalstwa", 0.75, 1), ("spektakl w Teatrze Zielony Most sala A", "Teatr Zielony Most", 0.85, 1), ("Iglica", "Muzeum Iglica", 0.85, 1), ("Klub ABC", "Filharmonia Kuźnia", 0, 0.4), ("", "Muzeum", 0, 0), ("xyz mura", "Zajazd Mury", 0, 0.74), ("xyz kolorowa", "Zajazd Kolorowy", 0.42, 0.74)],
 )
 def test_place_similarity(spark, query, place, low, high):
     tok = lambda s: text.venue_tokens(F.lit(s))
