@@ -52,19 +52,6 @@ def rule_join(rows: DataFrame, key: str, text: Column, rules: DataFrame, extra:
     return hit.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("rule_ord", "target"))).where("_n = 1").select(key, "rule_ord", "target")
 
 
-# Groups of points of interest by their raw amenity, first match wins.
-POI_GROUPS = [
-    (["theatre", "cinema", "library", "arts_centre", "museum", "gallery", "community_centre", "concert_hall"], "kultura"),
-    (["restaurant", "cafe", "bar", "pub", "fast_food", "ice_cream", "bistro"], "gastronomia"),
-    (["park", "playground", "garden", "pitch", "sports_centre", "swimming_pool", "fitness"], "rekreacja"),
-]
-
-
-def poi_group(amenity: Column) -> Column:
-    """Coarse group of a raw amenity, 'inne' otherwise."""
-    return by_words(F.coalesce(amenity, F.lit("")), POI_GROUPS, "inne")
-
-
 def pick_candidate(text: Column, words: Sequence[str], town: Column, sep: str = "|", least: int = 3, most: int = 60) -> Column:
     """Venue among separated parts of a card: the first fitting part with a preferred word, else the first fitting part, else the town."""
     parts = F.filter(F.transform(F.split(text, f"[{sep}]"), lambda x: F.trim(x)), lambda p: (F.length(p) >= least) & (F.length(p) <= most) & ~p.rlike(r"\d{1,2}[:.]\d{2}|\d{4}|zł"))
@@ -89,14 +76,6 @@ def axes(text: Column, tables: Mapping[str, tuple[Sequence[tuple[Sequence[str],
     return F.struct(*[by_words(text, table, default).alias(name) for name, (table, default) in tables.items()])
 
 
-# Three axes of a leisure place by its raw amenity.
-LEISURE_AXES = {
-    "shelter": ([(["park", "garden", "pitch", "playground"], "outdoor")], "indoor"),
-    "audience": ([(["playground", "library"], "children"), (["bar", "pub", "nightclub"], "adults")], "all"),
-    "cost": ([(["park", "playground", "library", "garden"], "free")], "paid"),
-}
-
-
 # Event categories by words of the title, for rows whose own category is general.
 TITLE_CATEGORIES = [
     (["turniej", "sport", "bieg", "triathlon", "siatków", "orlik", "parkrun", "spływ", "rolk"], "Sport i Rekreacja"),

@@ -489,25 +489,6 @@ def w01_offer_rank(spark, sf_dir):
 
 # Classification -----------------------------------------------------------------------------------------
 
-_GROUPS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(a, '{w}')" for w in ws) + f" THEN '{g}'" for ws, g in rules.POI_GROUPS) + " ELSE 'inne' END"
-
-
-@R.add("c04_poi_group", f"SELECT place_id, {_GROUPS} AS poi_class FROM (SELECT place_id, lower(coalesce(raw_amenity, '')) AS a FROM places_final)")
-def c04_poi_group(spark, sf_dir):
-    """Coarse groups of places."""
-    return read_table(spark, sf_dir, "places_final").select("place_id", rules.poi_group(F.col("raw_amenity")).alias("poi_class"))
-
-
-@R.add(
-    "c06_leisure_axes",
-    "SELECT place_id, " + ", ".join("CASE " + " ".join("WHEN " + " OR ".join(f"contains(a, '{w}')" for w in ws) + f" THEN '{v}'" for ws, v in table) + f" ELSE '{d}' END AS {n}" for n, (table, d) in rules.LEISURE_AXES.items()) + " FROM (SELECT place_id, lower(raw_amenity) AS a FROM places_final WHERE raw_amenity IS NOT NULL)",
-)
-def c06_leisure_axes(spark, sf_dir):
-    """Places on three axes."""
-    p = read_table(spark, sf_dir, "places_final").where("raw_amenity is not null")
-    return p.select("place_id", rules.axes(F.col("raw_amenity"), rules.LEISURE_AXES).alias("x")).select("place_id", "x.*")
-
-
 @R.add("t14_paragraphs")
 def t14_paragraphs(spark, sf_dir):
     """Number of paragraphs and longest one of each document; stateful packing has no SQL counterpart."""

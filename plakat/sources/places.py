@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plakat.functions.geo import coordinate, in_box
 from plakat.functions.nested import tag
 from plakat.operators.dedup import first_by
-from plakat.operators.rules import poi_group
+from plakat.operators.poi import group_of
 
 _ITEM = "place_id: string, id: string, name: string, poi_group: string, category: string, raw_amenity: string, geo: struct<lat: double, lon: double>, coordinates: struct<lat: double, lon: double>, lat: double, lon: double, address: string, wheelchair: string, phone: string, website: string"
 _ADDRESS = "street string, housenumber string, city string"
@@ -64,7 +64,7 @@ def places_of(elements: DataFrame) -> DataFrame:
     t = F.col("tags")
     amenity = F.coalesce(tag(t, "amenity"), tag(t, "leisure"), tag(t, "tourism"), tag(t, "shop"))
     return elements.select(
-        F.col("osm_id").alias("place_id"), tag(t, "name").alias("name"), poi_group(amenity).alias("poi_group"), amenity.alias("raw_amenity"), "lat", "lon",
+        F.col("osm_id").alias("place_id"), tag(t, "name").alias("name"), group_of(t).alias("poi_group"), amenity.alias("raw_amenity"), "lat", "lon",
         tag(t, "addr:street", "addr:place").alias("street"), tag(t, "addr:housenumber").alias("housenumber"), tag(t, "addr:city").alias("city"),
         tag(t, "phone", "contact:phone").alias("phone"), tag(t, "website", "contact:website").alias("website"), tag(t, "wheelchair").alias("wheelchair"),
     ).where("name is not null")
