@@ -65,9 +65,9 @@ def relevant(texts: list[Column], slug: str, not_words: list[str]) -> Column:
     return out & ~bad
 
 
-def garbage(source: Column, title: Column, venue: Column, aggregators: list[str], buttons: list[str], generic: list[str], longest: int = 60) -> Column:
-    """Rows of aggregators whose title is a button, or whose venue is too long or generic."""
-    return source.isin(aggregators) & (F.lower(F.trim(title)).isin(buttons) | (F.length(venue) > longest) | F.lower(F.trim(venue)).isin(generic))
+def garbage(source: Column, title: Column, venue: Column, aggregators: list[str], buttons: list[str], generic: list[str], longest: int = 60, spam: list[str] | None = None) -> Column:
+    """Rows of aggregators whose title is a button or holds search spam, or whose venue is too long or generic; null if nothing tells."""
+    return source.isin(aggregators) & (F.lower(F.trim(title)).isin(buttons) | contains_any(title, spam or ["\x00"]) | (F.length(venue) > longest) | F.lower(F.trim(venue)).isin(generic))
 
 
 def guard(df: DataFrame, least: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plakat.operators.near import EARTH_RADIUS_M, near_pairs
+from plakat.operators.dedup import first_by
+from plakat.operators.near import EARTH_RADIUS_M, near_pairs, usable_point
 from plakat.runtime import cut
 
 
@@ -16,9 +17,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, radius_m: float, left_id: str
     Ties go to the smaller id. The window keeps ``k`` rows a left row before the
     shuffle (WindowGroupLimit). Rows without a usable point are left out.
     """
-    p = near_pairs(left, right, left_id, right_id, lat, lon, lat, lon, radius_m)
-    if exclude_self:
-        p = p.where("left_id <> right_id")
+    p = near_pairs(left, right, left_id, right_id, lat, lon, lat, lon, radius_m, best=k, exclude_self=exclude_self)
     w = W.partitionBy("left_id").orderBy("distance_m", "right_id")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -26,17 +25,19 @@ def knn(left: DataFrame, right: DataFrame, k: int, radius_m: float, left_id: str
 def nearest(left: DataFrame, right: DataFrame, left_id: str = "id", right_id: str = "id", lat: str = "lat", lon: str = "lon", start_m: float = 1_000.0) -> DataFrame:
     """The nearest right row however far: (left_id, right_id, distance_m).
 
-    The radius grows eightfold for the rows still without a neighbour, so dense places never pay for remote ones.
+    The radius grows eightfold for the rows still without a neighbour, so dense places never pay for remote ones. Each round is one
+    checkpoint of the neighbours found; the loop ends when all points have one, or at half the way round the earth (seven rounds at most).
     """
-    out, rest, r = None, left, start_m
+    usable = left.where(F.col(left_id).isNotNull() & usable_point(F.col(lat), F.col(lon)))
+    missing = usable.select(F.countDistinct(left_id)).first()[0]
+    out, rest, r = None, usable, start_m
     while True:
         got = cut(knn(rest, right, 1, r, left_id, right_id, lat, lon).select("left_id", "right_id", "distance_m"))
         out = got if out is None else out.unionByName(got)
-        if r >= EARTH_RADIUS_M * 3.15:
-            return out
-        rest = cut(rest.join(got.select(F.col("left_id").alias("_l")), F.col(left_id).cast("string") == F.col("_l"), "left_anti").where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~((F.col(lat) == 0) & (F.col(lon) == 0))))
-        if rest.isEmpty() or right.isEmpty():
+        missing -= got.count()
+        if r >= EARTH_RADIUS_M * 3.15 or missing <= 0:
             return out
+        rest = usable.join(out.select(F.col("left_id").alias("_l")), F.col(left_id).cast("string") == F.col("_l"), "left_anti")
         r = min(r * 8, EARTH_RADIUS_M * 3.15)
 
 
@@ -71,3 +72,14 @@ def dead_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def without_partner(keys: DataFrame, rows: DataFrame, on: str) -> DataFrame:
     """Keys no row refers to."""
     return keys.join(rows.select(on).where(F.col(on).isNotNull()).distinct(), on, "left_anti")
+
+
+def with_details(rows: DataFrame, details: DataFrame, link: str) -> DataFrame:
+    """Rows with the details of their link (url, ...); of several details of a link the one that sorts first. Rows without any keep nulls."""
+    one = details.where(F.col("url").isNotNull()).groupBy("url").agg(*[F.min(c).alias(c) for c in details.columns if c != "url"]) if len(details.columns) == 2 else first_by(details.where(F.col("url").isNotNull()), ["url"], *[c for c in details.columns if c != "url"])
+    return rows.join(one, rows[link] == one["url"], "left").drop("url")
+
+
+def cached(rows: DataFrame, cache: DataFrame, link: str) -> DataFrame:
+    """Rows whose link the cache holds."""
+    return rows.join(cache.select(link), link, "left_semi")

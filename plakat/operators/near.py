@@ -51,7 +51,7 @@ def _window_deg(top_deg: np.ndarray, radius_m: float) -> np.ndarray:
     return np.where(s >= c, 360.0, w * 1.000001 + 1e-7)
 
 
-def sweep(radius_m: float, strip_deg: float):
+def sweep(radius_m: float, strip_deg: float, best: int | None = None, exclude_self: bool = False):
     """Make the sweep over rows sorted by block and longitude.
 
     The active set holds the rows of the current block whose longitude is still
@@ -96,8 +96,14 @@ def sweep(radius_m: float, strip_deg: float):
                     h = np.clip(h, 0.0, 1.0)
                     d = 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
                     near = d <= radius_m
+                    if exclude_self:
+                        near &= ids[a] != ids[b]
                     if near.any():
-                        yield pd.DataFrame({"left_id": ids[a[near]], "right_id": ids[b[near]], "distance_m": d[near]})
+                        out = pd.DataFrame({"left_id": ids[a[near]], "right_id": ids[b[near]], "distance_m": d[near]})
+                        if best is not None:
+                            # What isn't among the best of a part isn't among the best of the whole.
+                            out = out.sort_values(["left_id", "distance_m", "right_id"]).drop_duplicates(["left_id", "right_id"]).groupby("left_id").head(best)
+                        yield out
                 start = stop
             keep = (g == g[-1]) & (x >= x[-1] - win)
             active = buf[keep].assign(_old=True)
@@ -106,7 +112,7 @@ def sweep(radius_m: float, strip_deg: float):
 
 
 def near_pairs(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_lat: str, left_lon: str, right_lat: str, right_lon: str, radius_m: float, block_rows: int = BLOCK_ROWS
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_lat: str, left_lon: str, right_lat: str, right_lon: str, radius_m: float, block_rows: int = BLOCK_ROWS, best: int | None = None, exclude_self: bool = False,
 ) -> DataFrame:
     """All pairs (left_id, right_id, distance_m) within ``radius_m``, each pair of input rows at most once.
 
@@ -121,6 +127,8 @@ def near_pairs(
     coordinates give the pair once with the smallest distance. Longitudes
     meet across the date line, and latitudes beyond the poles are folded.
     Other columns of the inputs are ignored, whatever their names.
+    With ``best``, parts of the sweep keep only that many right rows a left row (the nearest, ties by id), so that dense places don't
+    shuffle all their pairs; the caller still takes the best of all parts.
     """
     reach = math.degrees(radius_m / EARTH_RADIUS_M)
     strip_deg = max(4 * reach, MIN_STRIP_DEG)
@@ -152,5 +160,5 @@ def near_pairs(
     a = a.join(blocks, "strip").withColumn("bi", F.pmod(h, F.col("ka")).cast("int")).withColumn("bj", F.explode(seq("kb"))).select(*cols, F.lit(False).alias("right_side"))
     b = b.join(blocks, "strip").withColumn("bj", F.pmod(h, F.col("kb")).cast("int")).withColumn("bi", F.explode(seq("ka"))).select(*cols, F.lit(True).alias("right_side"))
     rows = a.unionByName(b).repartition("strip", "bi", "bj").sortWithinPartitions("strip", "bi", "bj", "_x")
-    pairs = rows.mapInPandas(sweep(radius_m, strip_deg), "left_id string, right_id string, distance_m double")
+    pairs = rows.mapInPandas(sweep(radius_m, strip_deg, best, exclude_self), "left_id string, right_id string, distance_m double")
     return pairs.groupBy("left_id", "right_id").agg(F.min("distance_m").alias("distance_m"))

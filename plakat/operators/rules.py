@@ -34,7 +34,7 @@ def by_value(c: Column, table: Mapping[str, str], default: Column | str | None =
 
 def flags(text: Column, table: Mapping[str, Sequence[str]]) -> Column:
     """Names of the rows one of whose patterns matches: array in table order; [] for null text."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(F.lower(text).rlike("|".join(f"(?:{p})" for p in ps)), F.lit(False)), F.lit(name)) for name, ps in table.items()]))
+    return F.array_compact(F.array(*[F.when(F.coalesce(F.lower(text).rlike("(?U)" + "|".join(f"(?:{p})" for p in ps)), F.lit(False)), F.lit(name)) for name, ps in table.items()]))
 
 
 def rule_join(rows: DataFrame, key: str, text: Column, rules: DataFrame, extra: str | None = None) -> DataFrame:
@@ -71,9 +71,37 @@ def parking_note(distance_m: Column, paid: Column) -> Column:
     return F.when(distance_m.isNull(), "Parking w okolicy obiektu").otherwise(F.concat(F.lit("Parking "), distance_m.cast("int").cast("string"), F.lit(" m ("), fee, F.lit(")")))
 
 
-def axes(text: Column, tables: Mapping[str, tuple[Sequence[tuple[Sequence[str], str]], str]]) -> Column:
-    """Several independent classifications at once: struct of name -> first matching value of (table, default)."""
-    return F.struct(*[by_words(text, table, default).alias(name) for name, (table, default) in tables.items()])
+def parking_text(detail: Column, nearest: Column) -> Column:
+    """Parking sentence of a page: struct(fee_label, distance_m, street) of the best known car park, else struct(distance_m, is_fee) of the nearest, else a general one."""
+    m = lambda c: c["distance_m"].cast("int").cast("string")
+    told = F.concat(F.coalesce(detail["fee_label"], F.lit("Parking")), F.lit(" ("), m(detail), F.lit("m, ul. "), F.coalesce(detail["street"], F.lit("w pobliżu")), F.lit(")"))
+    near = F.concat(F.when(nearest["is_fee"], "Płatny parking").otherwise("Bezpłatny parking"), F.lit(" (~"), m(nearest), F.lit("m)"))
+    return F.when(detail.isNotNull(), told).when(nearest.isNotNull(), near).otherwise("Dostępny w strefie miejskiej")
+
+
+def lookup(key: Column, table: Mapping[str, Mapping[str, object]], default: Mapping[str, object]) -> Column:
+    """Struct of a table's row by a lower-case key; the default's values for unknown and null keys."""
+    k = F.lower(key)
+    return F.struct(*[first_match([(F.coalesce(k == name, F.lit(False)), F.lit(row.get(c, d))) for name, row in table.items()], F.lit(d)).alias(c) for c, d in default.items()])
+
+
+def known_venue(text: Column, table: Sequence[tuple[Sequence[str], Mapping[str, str]]]) -> Column:
+    """Struct of the first row one of whose words the text holds; nulls without any."""
+    fields = list(table[0][1])
+    return F.struct(*[first_match([(contains_any(text, list(words)), row[c]) for words, row in table]).alias(c) for c in fields])
+
+
+# Age limits and sensory warnings by patterns of whole words.
+AGE_LIMITS = [(r"tylko\s+dla\s+dorosłych|od\s+18\s*lat", "18+"), (r"od\s+16\s*lat|dla\s+widzów\s+od\s+16", "16+"), (r"dla\s+dzieci|spektakl\s+familijny", "Dla dzieci")]
+SENSORY = {
+    "światła stroboskopowe": [r"\b(?:stroboskop(?:y|owe)?|światł[ao]\s+stroboskop)\b"], "dym sceniczny": [r"\b(?:używane\s+są\s+dymy|efekty\s+dymne)\b"], "dosadny język": [r"\b(?:wulgaryzm(?:y)?|wulgarny\s+język)\b"],
+    "efekty hukowe / wystrzały": [r"\b(?:wystrzał(?:y)?|efekty\s+hukowe)\b"],
+}
+
+
+def age_limit(text: Column) -> Column:
+    """Age limit that a text names, the strictest first; null without any."""
+    return first_match([(F.coalesce(text.rlike(rf"(?iU)\b(?:{p})\b"), F.lit(False)), v) for p, v in AGE_LIMITS])
 
 
 # Event categories by words of the title, for rows whose own category is general.
