@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plakat.operators.agenda import iso_date
@@ -48,3 +49,12 @@ def anomalies(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Rows that fail each test, counted in one pass: (anomaly, n)."""
     counts = rows.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])
     return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in tests]), F.array(*[F.col(k) for k in tests]))).alias("anomaly", "n"))
+
+
+def places_by_use(events: DataFrame, town: str, place: Column, venue: Column, k: int) -> DataFrame:
+    """Mapped places and unmapped venue texts (in brackets) of each town in one list, the ``k`` most used: (town, place, n, kind)."""
+    mapped = F.coalesce(place, F.lit("")) != ""
+    name = F.when(mapped, place).otherwise(F.concat(F.lit("("), F.coalesce(venue, F.lit("")), F.lit(")")))
+    n = events.groupBy(town, name.alias("place"), F.when(mapped, "mapped").otherwise("unmapped").alias("kind")).agg(F.count("*").alias("n"))
+    w = W.partitionBy(town).orderBy(F.col("n").desc(), "kind", "place")
+    return n.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(town, "place", "n", "kind")

@@ -152,10 +152,10 @@ def greedy_clusters(events: DataFrame, block: list[str], order: str, title: str,
     return events.join(got, F.col(order) == F.col("_o"), "left").drop("_o")
 
 
-def merge_records(events: DataFrame, group: str, order: str, longest: list[str], first: list[str], prefer: dict[str, Column] | None = None) -> DataFrame:
+def merge_records(events: DataFrame, group: str, order: str, longest: list[str], first: list[str], prefer: dict[str, Column] | None = None, together: tuple[Column, list[str]] | None = None) -> DataFrame:
     """One record a group, field by field: the longest text of some columns, the first non-empty value of others.
 
-    ``prefer``: for a column, a test whose passing values come first, the last of them winning (thumbnails). Ties go to the
+    ``together``: a test and columns that are taken from one row, the first that passes, else the first row. ``prefer``: for a column, a test whose passing values come first, the last of them winning (thumbnails). Ties go to the
     first row in order. Aggregation only, so a group with a third of all rows is combined before the shuffle.
     """
     picks = []
@@ -169,6 +169,10 @@ def merge_records(events: DataFrame, group: str, order: str, longest: list[str],
             liked = F.max(F.when(told & prefer[c], F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
             plain = F.coalesce(liked, plain)
         picks.append(plain.alias(c))
+    if together:
+        test, columns = together
+        row = F.min(F.struct(F.when(F.coalesce(test, F.lit(False)), 0).otherwise(1).alias("t"), F.col(order).alias("o"), *[F.col(c) for c in columns]))
+        picks += [row[c].alias(c) for c in columns]
     return events.groupBy(group).agg(F.count("*").alias("n_rows"), *picks)
 
 

@@ -43,3 +43,16 @@ def rank_offers(offers: DataFrame, event: str, *order: Column) -> DataFrame:
     """Rank in a stated order (ties by position); the first is primary."""
     w = W.partitionBy(event).orderBy(*order, "ord")
     return offers.withColumn("rank", F.row_number().over(w)).withColumn("is_primary", F.col("rank") == 1)
+
+
+def price_number(price: Column) -> Column:
+    """First number of a price text, 0 for free admission; null for texts that name no amount."""
+    n = F.replace(F.regexp_extract(price, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit("."))
+    return F.when(F.lower(price).rlike("bezpłat|woln"), 0.0).otherwise(F.nullif(n, F.lit("")).try_cast("double"))
+
+
+def ranked_by_price(offers: DataFrame, event: str, seller: Column) -> DataFrame:
+    """Offers of an event by amount (unknown ones last), then authority, then position; ``seller`` is struct(authority, name, official). Adds rank, is_primary, is_official."""
+    o = offers.withColumns({"_n": price_number(F.col("price")), "_s": seller})
+    out = rank_offers(o, event, F.col("_n").asc_nulls_last(), F.col("_s.authority").desc())
+    return out.withColumn("is_official", F.col("_s.official")).drop("_n", "_s")

@@ -21,11 +21,6 @@ def records(spark, sf_dir):
     return read_table(spark, sf_dir, "event_records")
 
 
-def ordinary(r):
-    """Rows whose title SQL folds alike."""
-    return r.where(F.col("title").rlike("^[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*$"))
-
-
 def as_of():
     return F.lit(AS_OF).cast("date")
 
@@ -35,36 +30,16 @@ def as_of():
 _SLUG = f"trim(regexp_replace(regexp_replace(lower({_FULL % 'title'}), '[^{_LET}\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '-')"
 
 
-@R.add("t01_slug", f"SELECT record_id, {_SLUG} AS slug FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
+@R.add("t01_slug", f"SELECT record_id, {_SLUG} AS slug FROM event_records WHERE title IS NOT NULL")
 def t01_slug(spark, sf_dir):
-    """Slugs of titles in ordinary characters."""
-    return _t01_slug(ordinary(records(spark, sf_dir)))
-
-
-def _t01_slug(r):
-    return r.select("record_id", text.slugify(F.col("title")).alias("slug"))
+    """Slugs of all titles."""
+    return records(spark, sf_dir).where("title is not null").select("record_id", text.slugify(F.col("title")).alias("slug"))
 
 
-@R.add("t01_slug_all")
-def t01_slug_all(spark, sf_dir):
-    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
-    return _t01_slug(records(spark, sf_dir).where("title is not null"))
-
-
-@R.add("t02_title_key", f"SELECT record_id, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(title), '20\\d{{2}}', '', 'g'), '[^{_LET}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)), ' ') AS title_key FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
+@R.add("t02_title_key", f"SELECT record_id, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(title), '20\\d{{2}}', '', 'g'), '[^{_LET}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)), ' ') AS title_key FROM event_records WHERE title IS NOT NULL")
 def t02_title_key(spark, sf_dir):
-    """Order-free keys of titles."""
-    return _t02_title_key(ordinary(records(spark, sf_dir)))
-
-
-def _t02_title_key(r):
-    return r.select("record_id", text.title_key(F.col("title")).alias("title_key"))
-
-
-@R.add("t02_title_key_all")
-def t02_title_key_all(spark, sf_dir):
-    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
-    return _t02_title_key(records(spark, sf_dir).where("title is not null"))
+    """Order-free keys of all titles."""
+    return records(spark, sf_dir).where("title is not null").select("record_id", text.title_key(F.col("title")).alias("title_key"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.VENUE_STOPWORDS + text.town_forms("starograb"))
@@ -105,20 +80,18 @@ def t06_clean_title(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", text.clean_title(F.col("title")).alias("title"))
 
 
-@R.add("t07_scrub", r"SELECT record_id, trim(regexp_replace(title, '(&#65533;|\?+|[a-zA-ZąćęłńóśźżĄĆĘŁŃÓŚŹŻ]{2,}\?[a-zA-ZąćęłńóśźżĄĆĘŁŃÓŚŹŻ]{2,})', '', 'g')) AS title FROM event_records WHERE regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
+@R.add("t07_scrub")
 def t07_scrub(spark, sf_dir):
-    """Titles in ordinary characters without broken pieces."""
-    return _t07_scrub(ordinary(records(spark, sf_dir)))
-
-
-def _t07_scrub(r):
-    return r.select("record_id", text.scrub(F.col("title")).alias("title"))
+    """All titles in normal form KC without broken pieces. DuckDB has no such form, so no SQL; see t07_marks."""
+    return records(spark, sf_dir).where("title is not null").select("record_id", text.scrub(F.col("title")).alias("title"))
 
 
-@R.add("t07_scrub_all")
-def t07_scrub_all(spark, sf_dir):
-    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
-    return _t07_scrub(records(spark, sf_dir).where("title is not null"))
+@R.add("t07_marks", "SELECT record_id, CASE record_id % 4 WHEN 0 THEN 'Pokaz ' || record_id WHEN 1 THEN 'Co dalej' WHEN 2 THEN 'fi 1/2 ' || record_id ELSE 'i  dalej' END AS title FROM event_records")
+def t07_marks(spark, sf_dir):
+    """Broken pieces of every kind, one a record: entities, question marks, words with one inside, and characters with a compatibility form."""
+    n, k = F.col("record_id").cast("string"), F.col("record_id") % 4
+    c = F.when(k == 0, F.concat(F.lit("Pokaz &#65533;"), n)).when(k == 1, F.lit("Co dalej???")).when(k == 2, F.concat(F.lit("\ufb01 \u00bd "), n)).otherwise(F.lit("i sąs?iedzi dalej"))
+    return records(spark, sf_dir).select("record_id", F.replace(text.scrub(c), F.lit("\u2044"), F.lit("/")).alias("title"))
 
 
 _UNESC = "text"
@@ -157,20 +130,10 @@ def t15_paragraphs(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(kept.cast("binary")).alias("digest"))
 
 
-@R.add("t17_role_pair", "SELECT record_id, CASE WHEN regexp_matches(title, '[–—]') THEN trim(regexp_extract(title, '^(.*?)\\s*[–—]\\s*(.*)$', 1)) WHEN contains(title, ' - ') THEN trim(regexp_extract(title, '^(.*) - (.*)$', 1)) END AS role, trim(CASE WHEN regexp_matches(title, '[–—]') THEN regexp_extract(title, '^(.*?)\\s*[–—]\\s*(.*)$', 2) WHEN contains(title, ' - ') THEN regexp_extract(title, '^(.*) - (.*)$', 2) ELSE title END) AS person FROM event_records WHERE regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
+@R.add("t17_role_pair", "SELECT record_id, CASE WHEN regexp_matches(title, '[–—]') THEN trim(regexp_extract(title, '^(.*?)\\s*[–—]\\s*(.*)$', 1)) WHEN contains(title, ' - ') THEN trim(regexp_extract(title, '^(.*) - (.*)$', 1)) END AS role, trim(CASE WHEN regexp_matches(title, '[–—]') THEN regexp_extract(title, '^(.*?)\\s*[–—]\\s*(.*)$', 2) WHEN contains(title, ' - ') THEN regexp_extract(title, '^(.*) - (.*)$', 2) ELSE title END) AS person FROM event_records WHERE title IS NOT NULL")
 def t17_role_pair(spark, sf_dir):
-    """Both sides of a dash in titles."""
-    return _t17_role_pair(ordinary(records(spark, sf_dir)))
-
-
-def _t17_role_pair(r):
-    return r.select("record_id", text.role_pair(F.col("title")).alias("p")).select("record_id", "p.role", "p.person")
-
-
-@R.add("t17_role_pair_all")
-def t17_role_pair_all(spark, sf_dir):
-    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
-    return _t17_role_pair(records(spark, sf_dir).where("title is not null"))
+    """Both sides of a dash in all titles."""
+    return records(spark, sf_dir).where("title is not null").select("record_id", text.role_pair(F.col("title")).alias("p")).select("record_id", "p.role", "p.person")
 
 
 @R.add("t19_palette", "SELECT record_id, CAST(('0x' || right(md5(title), 1))::INT % 8 AS INT) AS palette FROM event_records WHERE title IS NOT NULL")
@@ -233,24 +196,15 @@ def u04_provider(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", p.alias("p")).select("record_id", "p.authority", F.col("p.name").alias("seller"), "p.official")
 
 
-@R.add("u05_u09_built_urls", f"SELECT record_id, source_url || CASE WHEN contains(source_url, '?') THEN '&' ELSE '?' END || 'ref=portal' AS decorated, source_url || '#' || concat_ws('-', city, date_start) AS instance, 'local://' || city || '/' || {_SLUG} || '-' || date_start AS local_url, 'https://a.example/kup/' || regexp_replace(source_url, '^https?://[^/]*/', '') AS joined FROM event_records WHERE source_url IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*') AND regexp_matches(source_url, '^https?://[^/]*/[^/]')")
+@R.add("u05_u09_built_urls", f"SELECT record_id, source_url || CASE WHEN contains(source_url, '?') THEN '&' ELSE '?' END || 'ref=portal' AS decorated, source_url || '#' || concat_ws('-', city, date_start) AS instance, 'local://' || city || '/' || {_SLUG} || '-' || date_start AS local_url, 'https://a.example/kup/' || regexp_replace(source_url, '^https?://[^/]*/', '') AS joined FROM event_records WHERE source_url IS NOT NULL AND title IS NOT NULL")
 def u05_u09_built_urls(spark, sf_dir):
-    """Decorated, instance, synthetic and joined links."""
-    return _built_urls(ordinary(records(spark, sf_dir)).where(F.col("source_url").rlike("^https?://[^/]*/[^/]")))
-
-
-def _built_urls(r):
+    """Decorated, instance, synthetic and joined links of all titles."""
     u = F.col("source_url")
     rel = F.regexp_replace(u, "^https?://[^/]*/?", "")
+    r = records(spark, sf_dir).where("title is not null and source_url is not null")
     return r.select("record_id", url.with_parameter(u, "ref", "portal").alias("decorated"), url.with_fragment(u, F.col("city"), F.col("date_start")).alias("instance"), url.local_url(F.col("city"), F.col("title"), F.col("date_start")).alias("local_url"), url.absolute(rel, "https://a.example/kup/x.html").alias("joined"))
 
 
-@R.add("u05_u09_built_urls_all")
-def u05_u09_built_urls_all(spark, sf_dir):
-    """The same for all titles and for links without a path. DuckDB folds other characters differently, so no SQL."""
-    return _built_urls(records(spark, sf_dir).where("title is not null and source_url is not null"))
-
-
 @R.add("u06_landing", "SELECT record_id, len(p) < 2 OR coalesce(p[1] IN ('e'), false) AS landing FROM (SELECT record_id, list_filter(string_split(regexp_replace(regexp_extract(source_url, '^([^#?]*)', 1), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*', ''), '/'), lambda x: x <> '') AS p FROM event_records WHERE source_url IS NOT NULL)")
 def u06_landing(spark, sf_dir):
     """Is the link a landing page?"""
@@ -480,6 +434,18 @@ def e06_e08_offers(spark, sf_dir):
     return offers.dedup_offers(o, "record_id", F.coalesce("provider", F.lit("Bilety")), F.col("price").rlike(r"\d")).select("record_id", "seller", "ord", "n_offers")
 
 
+_NUM = "CASE WHEN regexp_matches(lower(o.price), 'bezpłat|woln') THEN 0.0 ELSE try_cast(nullif(replace(regexp_extract(o.price, '(\\d+(?:[.,]\\d+)?)', 1), ',', '.'), '') AS DOUBLE) END"
+_AUTH = "CASE " + " ".join(f"WHEN contains(lower(trim(o.url)), '{d}') THEN 100" for d in INSTITUTIONS) + f" WHEN ({' OR '.join(f'contains(lower(trim(o.url)), {chr(39)}{w}{chr(39)})' for w in WORDS)}) AND NOT ({' OR '.join(f'contains(lower(trim(o.url)), {chr(39)}{w}{chr(39)})' for w in AGGREGATORS)}) THEN 100 " + " ".join(f"WHEN contains(lower(trim(o.url)), '{d}') THEN 80" for d in AGGREGATORS) + " ELSE 10 END"
+
+
+@R.add("e07_offer_rank", f"SELECT record_id, ord, CAST(row_number() OVER (PARTITION BY record_id ORDER BY n NULLS LAST, a DESC, ord) AS INT) AS rank, a = 100 AS is_official, row_number() OVER (PARTITION BY record_id ORDER BY n NULLS LAST, a DESC, ord) = 1 AS is_primary FROM (SELECT record_id, CAST(ord AS INT) AS ord, {_NUM} AS n, {_AUTH} AS a FROM " + _OFF + " WHERE coalesce(trim(o.url), '') <> '')")
+def e07_offer_rank(spark, sf_dir):
+    """Offers by amount, then the authority of the seller behind the link, then position."""
+    o = offers.offers_of(records(spark, sf_dir), "record_id", "ticket_offers")
+    who = url.provider(F.col("url"), F.lit(None).cast("string"), INSTITUTIONS, AGGREGATORS, WORDS)
+    return offers.ranked_by_price(o, "record_id", who).select("record_id", "ord", "rank", "is_official", "is_primary")
+
+
 @R.add("w01_offer_rank", "SELECT record_id, ord, CAST(row_number() OVER (PARTITION BY record_id ORDER BY length(url) DESC, ord) AS INT) AS rank FROM (SELECT record_id, CAST(ord AS INT) AS ord, trim(o.url) AS url FROM " + _OFF + " WHERE coalesce(trim(o.url), '') <> '')")
 def w01_offer_rank(spark, sf_dir):
     """Offers ranked by a stated order."""
@@ -511,20 +477,10 @@ def c16_overrides(spark, sf_dir):
     return read_table(spark, sf_dir, "places_final").select("place_id", rules.overridden(F.col("poi_group"), F.col("name"), {"Kino Rotunda": "kultura*", "Bar Latarnik": "gastronomia*"}).alias("shown"))
 
 
-@R.add("k06_thumbnail_key", f"SELECT record_id, 'ev_' || {_SLUG} || '.webp' AS file FROM event_records WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~ąćęłńóśźżĄĆĘŁŃÓŚŹŻ–„”]*')")
+@R.add("k06_thumbnail_key", f"SELECT record_id, 'ev_' || {_SLUG} || '.webp' AS file FROM event_records WHERE title IS NOT NULL")
 def k06_thumbnail_key(spark, sf_dir):
-    """File names of pictures."""
-    return _k06_thumbnail_key(ordinary(records(spark, sf_dir)))
-
-
-def _k06_thumbnail_key(r):
-    return r.select("record_id", text.thumbnail_key("ev", F.col("title")).alias("file"))
-
-
-@R.add("k06_thumbnail_key_all")
-def k06_thumbnail_key_all(spark, sf_dir):
-    """The same for all titles. DuckDB folds other characters differently, so no SQL."""
-    return _k06_thumbnail_key(records(spark, sf_dir).where("title is not null"))
+    """File names of pictures of all titles."""
+    return records(spark, sf_dir).where("title is not null").select("record_id", text.thumbnail_key("ev", F.col("title")).alias("file"))
 
 
 HALLS = [(["mała scena"], "mala"), (["duża scena"], "duza"), (["foyer", "piwnica"], "inne")]
@@ -577,6 +533,12 @@ def ag03_town_audit(spark, sf_dir):
     return records(spark, sf_dir).groupBy("city").agg(F.count_if(has).alias("mapped"), F.count_if(~has).alias("unmapped"), F.countDistinct(F.col(_P)).alias("places"))
 
 
+@R.add("ag03_places_by_use", f"SELECT city, place, n, kind FROM (SELECT city, coalesce(nullif({_P}, ''), '(' || coalesce({_V}, '') || ')') AS place, count(*) AS n, CASE WHEN coalesce({_P}, '') <> '' THEN 'mapped' ELSE 'unmapped' END AS kind FROM event_records GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY city ORDER BY n DESC, kind, place) <= 15")
+def ag03_places_by_use(spark, sf_dir):
+    """The 15 most used mapped and unmapped venues of each town, in one list."""
+    return audit.places_by_use(records(spark, sf_dir), "city", F.col(_P), F.col(_V), 15)
+
+
 @R.add("ag04_feed_quality", f"SELECT source, count(*) AS total, count(*) FILTER (WHERE regexp_full_match(date_start, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) AS valid_dates, count(*) FILTER (WHERE date_start >= '{AS_OF}') AS future, count(*) FILTER (WHERE coalesce(image_url, '') <> '') AS with_image, count(*) FILTER (WHERE is_free) AS free, count(*) FILTER (WHERE coalesce(source_url, '') <> '') AS with_url FROM event_records GROUP BY source")
 def ag04_feed_quality(spark, sf_dir):
     """Quality report of each feed."""
