@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plakat.functions.dates import weekend
 from plakat.functions.text import contains_any
-from plakat.runtime import cut
+from plakat.operators.order import positions
 
 
 def end_of(start: Column, end: Column) -> Column:
@@ -92,25 +92,6 @@ def or_sentinel(c: Column, sentinel: int = SENTINEL) -> Column:
     return F.coalesce(c, F.lit(sentinel))
 
 
-def positions(rows: DataFrame, block: str, *order: str | Column, name: str = "position") -> DataFrame:
-    """Stable order within a block, as a position from 1: ties are broken by the later columns, the last of which must be unique.
-
-    Blocks are sorted by range over all tasks and numbered by the rows before each range, so a block with a third of all rows is no task's burden.
-    """
-    by = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = rows.withColumns({f"_k{i}": c for i, c in enumerate(by)})
-    keys = [block, *[f"_k{i}" for i in range(len(by))]]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()))
-    # Ranges follow the order, so a block's rows in earlier partitions come first: one count a block and partition.
-    counts = parts.groupBy(block, "_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy(block).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    local = parts.withColumn("_r", F.row_number().over(W.partitionBy(block, "_p").orderBy(*keys[1:])))
-    before = before.select(F.col(block).alias("_b"), F.col("_p").alias("_q"), "_before")
-    out = local.join(before, F.col(block).eqNullSafe(F.col("_b")) & (F.col("_p") == F.col("_q")))
-    return out.withColumn(name, (F.col("_before") + F.col("_r")).cast("int")).drop("_p", "_r", "_b", "_q", "_before", *keys[1:])
-
-
 def split_pages(rows: DataFrame, block: str, *order: str, size: int = 40) -> tuple[DataFrame, DataFrame]:
     """(first page, remainder) of each block's rows in a stable order."""
     at = positions(rows, block, *order)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plakat.functions.dates import times_apart
 from plakat.functions.similarity import at_least, sequence_ratio, shared_tokens
 from plakat.functions.text import acronym, stem, stem_word
+from plakat.operators.order import positions
 from plakat.runtime import cut
 
 # Title words that tell nothing apart.
@@ -181,16 +182,19 @@ def unique_slugs(events: DataFrame, base: str, date: str, time: str, order: str)
 
     Of the rows of a (base, date) the first takes the plain slug; of the others the first of each time takes the time's; the rest are counted on.
     """
-    w = W.partitionBy(base, date).orderBy(order)
+    # The firsts come from aggregation; only the rest is ranked, over range partitions, so a (base, date) of many rows is no single task's.
     t = F.regexp_replace(F.coalesce(F.col(time), F.lit("")), ":", "")
-    step = events.withColumn("_r", F.row_number().over(w)).withColumn("_t", t)
-    late = (F.col("_r") > 1) & (F.col("_t") != "")
-    step = step.withColumn("_rt", F.when(late, F.row_number().over(W.partitionBy(base, date, late, "_t").orderBy(order))))
-    rest = (F.col("_r") > 1) & (F.coalesce(F.col("_rt"), F.lit(2)) != 1)
-    step = step.withColumn("_n", F.when(rest, F.row_number().over(W.partitionBy(base, date, rest).orderBy(order)) + 1))
+    step = events.withColumns({"_k": F.struct(F.col(base).alias("b"), F.col(date).alias("d")), "_t": t})
+    first = step.groupBy("_k").agg(F.min(order).alias("_f")).withColumnRenamed("_k", "_k1")
+    step = step.join(first, F.col("_k").eqNullSafe(F.col("_k1"))).drop("_k1")
+    late = (F.col(order) != F.col("_f")) & (F.col("_t") != "")
+    timed = step.where(late).groupBy(F.col("_k").alias("_k2"), F.col("_t").alias("_t2")).agg(F.min(order).alias("_ft"))
+    step = step.join(timed, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_t") == F.col("_t2")), "left").drop("_k2", "_t2")
+    step = cut(step.withColumn("_w", F.when(F.col(order) == F.col("_f"), 0).when(late & (F.col(order) == F.col("_ft")), 1).otherwise(2)))
     plain = F.concat_ws("-", F.col(base), F.col(date))
-    slug = F.when(F.col("_r") == 1, plain).when(F.col("_rt") == 1, F.concat_ws("-", plain, F.col("_t"))).otherwise(F.concat_ws("-", plain, F.col("_n").cast("string")))
-    return step.withColumn("slug", slug).drop("_r", "_t", "_rt", "_n")
+    named = step.where("_w < 2").withColumn("slug", F.when(F.col("_w") == 0, plain).otherwise(F.concat_ws("-", plain, F.col("_t"))))
+    rest = positions(step.where("_w = 2"), "_k", order, name="_n").withColumn("slug", F.concat_ws("-", plain, (F.col("_n") + 1).cast("string"))).drop("_n")
+    return named.unionByName(rest).drop("_k", "_t", "_f", "_ft", "_w")
 
 
 class _Targets:

@@ -43,13 +43,15 @@ def rule_join(rows: DataFrame, key: str, text: Column, rules: DataFrame, extra:
     ``rules``: (word, rule_ord, target), and with ``extra`` a column of the rows that must equal the rule's column
     of that name. The rule table is configuration; it is broadcast only if Spark finds it small.
     """
-    left = rows.select(key, text.alias("_text"), *([extra] if extra else []))
+    left = rows.select(key, text.alias("_text"), *([extra] if extra else [])).where("_text is not null")
+    # Each distinct text meets the rules once, however many rows have it.
+    texts = left.select(*[c for c in left.columns if c != key]).distinct()
     cond = F.lower("_text").contains(F.lower("word"))
     r = rules.withColumnRenamed(extra, "_rx") if extra else rules
     if extra:
         cond = (F.col(extra) == F.col("_rx")) & cond
-    hit = left.join(r, cond)
-    return hit.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("rule_ord", "target"))).where("_n = 1").select(key, "rule_ord", "target")
+    hit = texts.join(r, cond).groupBy(*texts.columns).agg(F.min(F.struct("rule_ord", "target")).alias("_m"))
+    return left.join(hit, texts.columns).select(key, F.col("_m.rule_ord").alias("rule_ord"), F.col("_m.target").alias("target"))
 
 
 def pick_candidate(text: Column, words: Sequence[str], town: Column, sep: str = "|", least: int = 3, most: int = 60) -> Column:

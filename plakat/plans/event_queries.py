@@ -237,13 +237,6 @@ def d02_worded(spark, sf_dir):
     return d.select("doc_id", dates.make(F.lit(2026), dates.month_number(F.col("m")), F.col("d")).alias("day"))
 
 
-@R.add("d03_d05_year", "SELECT m AS month_no, CASE WHEN m < 6 THEN 2027 ELSE 2026 END AS next_rule, 2026 AS winter_rule, 2026 AS season_rule FROM range(1, 13) t(m)")
-def d03_d05_year(spark, sf_dir):
-    """Three ways to infer a missing year, seen from June 2026."""
-    m = F.col("m")
-    return spark.range(1, 13).select(F.col("id").alias("m")).select(m.alias("month_no"), *[dates.infer_year(m, as_of(), r).alias(f"{r}_rule") for r in ("next", "winter", "season")])
-
-
 @R.add("d08_compact", "SELECT o_orderkey, o_orderdate AS at_day FROM orders")
 def d08_compact(spark, sf_dir):
     """Compact dates read back."""
@@ -606,12 +599,6 @@ def j14_orphans(spark, sf_dir):
     return records(spark, sf_dir).where(F.col(_P).isNull()).select("record_id")
 
 
-@R.add("j15_cached", "SELECT record_id FROM event_records WHERE title IN (SELECT title FROM stored_events)")
-def j15_cached(spark, sf_dir):
-    """Records whose title is stored already."""
-    return records(spark, sf_dir).select("record_id", "title").join(read_table(spark, sf_dir, "stored_events").select("title").distinct(), "title", "left_semi").select("record_id")
-
-
 @R.add("o03_top_sources", "SELECT source, count(*) AS n FROM event_records GROUP BY source ORDER BY n DESC, source LIMIT 10")
 def o03_top_sources(spark, sf_dir):
     """The ten largest feeds."""

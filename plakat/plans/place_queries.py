@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plakat.functions import nested
-from plakat.operators import agenda, poi
+from plakat.operators import agenda, order, poi
 from plakat.plans.registry import Registry
 from plakat.runtime import read_table
 
@@ -171,7 +171,7 @@ def a07_tag_lookup(spark, sf_dir):
 def o01_stable_order(spark, sf_dir):
     """Position of each record in its town's agenda, in date order, ties by id."""
     r = read_table(spark, sf_dir, "event_records").where("date_start is not null").select("record_id", "city", "date_start")
-    return agenda.positions(r, "city", "date_start", "record_id").select("record_id", "city", "position")
+    return order.positions(r, "city", "date_start", "record_id").select("record_id", "city", "position")
 
 
 @R.add("o02_first_page_and_rest", "SELECT city, CASE WHEN n <= 40 THEN 'first' ELSE 'more' END AS page, count(*) AS n, min(record_id) AS lo, max(record_id) AS hi FROM (SELECT city, record_id, row_number() OVER (PARTITION BY city ORDER BY date_start, record_id) AS n FROM event_records WHERE date_start IS NOT NULL) GROUP BY 1, 2")
@@ -197,4 +197,4 @@ def o05_sentinel_order(spark, sf_dir):
     """Order by a distance in which unknown ones stand at 9,999."""
     m = F.when(F.col("geo.lat").between(50, 51), F.floor((F.col("geo.lat") - 50) * 10000).cast("int"))
     p = read_table(spark, sf_dir, "places_final").select("place_id", "poi_group", m.alias("m"))
-    return agenda.positions(p, "poi_group", agenda.or_sentinel(F.col("m")), "place_id").select("place_id", "position", "m")
+    return order.positions(p, "poi_group", agenda.or_sentinel(F.col("m")), "place_id").select("place_id", "position", "m")

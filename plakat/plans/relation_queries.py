@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plakat.functions import text
+from plakat.functions import dates, text
 from plakat.functions.geo import haversine_m, in_box, rounded, walk_minutes
 from plakat.operators import agenda, dedup, joins, rules, store, views
 from plakat.operators.near import near_pairs
 from plakat.plans.event_queries import _DAY, _P, _V, AS_OF, day, records
 from plakat.plans.registry import Registry
 from plakat.runtime import cut, read_table
+from plakat.sources import config
 from plakat.sources.generators import weekly_series
 
 R = Registry()
@@ -81,15 +82,25 @@ def j01_by_id(spark, sf_dir):
 
 
 RULES = [("mdk", 0, "sg-miejski-dom-kultury"), ("miejski dom kultury", 0, "sg-miejski-dom-kultury"), ("iglica", 1, "sg-muzeum-iglica"), ("bibliotek", 2, "sg-miejska-biblioteka-publiczna")]
-_RULES = ", ".join(f"('{w}', {o}, '{t}')" for w, o, t in RULES)
+RULES_OF = {"starograb": RULES, "modrzewin": [("kino", 0, "md-kino"), ("muzeum", 1, "md-muzeum")], "brzostow": [("klub", 0, "br-klub"), ("sala", 1, "br-sala"), ("dom", 1, "br-dom")], "kaminiec_wielki": [("teatr", 0, "kw-teatr")]}
+TOWN_RULES = [(*x, town) for town, rs in RULES_OF.items() for x in rs]
+_RULES = ", ".join(f"('{w}', {o}, '{t}', '{c}')" for w, o, t, c in TOWN_RULES)
 
 
-@R.add("j02_by_rule", f"SELECT record_id, CAST(o AS INT) AS rule_ord, t AS target FROM (SELECT record_id, {_V} AS v FROM event_records WHERE city = 'starograb') JOIN (VALUES {_RULES}) r(w, o, t) ON contains(lower(v), w) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY o, t) = 1")
+@R.add("j02_by_rule", f"SELECT record_id, CAST(o AS INT) AS rule_ord, t AS target FROM (SELECT record_id, city, {_V} AS v FROM event_records) JOIN (VALUES {_RULES}) r(w, o, t, c) ON contains(lower(v), w) AND c = city QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY o, t) = 1")
 def j02_by_rule(spark, sf_dir):
-    """Venue by the town's keyword rules, first match."""
-    table = spark.createDataFrame(RULES, "word string, rule_ord int, target string")
-    r = records(spark, sf_dir).where("city = 'starograb'").select("record_id", F.col(_V).alias("v"))
-    return rules.rule_join(r, "record_id", F.col("v"), table).select("record_id", "rule_ord", "target")
+    """Venue by the keyword rules of the record's town, first match; records of all towns."""
+    table = spark.createDataFrame(TOWN_RULES, "word string, rule_ord int, target string, city string")
+    r = records(spark, sf_dir).select("record_id", "city", F.col(_V).alias("v"))
+    return rules.rule_join(r, "record_id", F.col("v"), table, "city").select("record_id", "rule_ord", "target")
+
+
+@R.add("j02_targets_by_name", "SELECT w.city_tag, w.rule_ord, w.word, coalesce(w.target, min(p.place_id)) AS target FROM (VALUES ('starograb', 0, 'mdk', 'sg-x', NULL), ('starograb', 1, 'kino', NULL, 'kino'), ('brzostow', 0, 'bar', NULL, 'rotunda'), ('brzostow', 1, 'nic', NULL, 'zzzz')) w(city_tag, rule_ord, word, target, name) LEFT JOIN places_final p ON contains(lower(p.name), w.name) GROUP BY w.city_tag, w.rule_ord, w.word, w.target HAVING coalesce(w.target, min(p.place_id)) IS NOT NULL")
+def j02_targets_by_name(spark, sf_dir):
+    """Rules without a target take the first place whose name holds one of their target words; rules without any fall through."""
+    rules_ = spark.createDataFrame([("starograb", 0, "mdk", "sg-x"), ("starograb", 1, "kino", None), ("brzostow", 0, "bar", None), ("brzostow", 1, "nic", None)], "city_tag string, rule_ord int, word string, target string")
+    words = spark.createDataFrame([("starograb", 1, "kino"), ("brzostow", 0, "rotunda"), ("brzostow", 1, "zzzz")], "city_tag string, rule_ord int, target_word string")
+    return config.target_by_name(rules_, read_table(spark, sf_dir, "places_final"), words)
 
 
 @R.add("j04_cascade")
@@ -105,7 +116,7 @@ def cascade(r, refs):
     """Venue of each record: (record_id, place_id, how)."""
     known = refs.select(F.col("place_id").alias("_known"))
     open_ = r.join(known, F.col(_P) == F.col("_known"), "left_anti").select("record_id", F.nullif("city", F.lit("")).alias("city"), F.col(_V).alias("v"))
-    table = r.sparkSession.createDataFrame([(*x, "starograb") for x in RULES], "word string, rule_ord int, target string, city string")
+    table = r.sparkSession.createDataFrame(TOWN_RULES, "word string, rule_ord int, target string, city string")
     by_rule = rules.rule_join(open_, "record_id", F.col("v"), table, "city").select("record_id", F.col("target").alias("place_id"))
     rest = open_.join(by_rule, "record_id", "left_anti").where(F.length(F.trim("v")) > 3)
     towns = sorted(x[0] for x in refs.where("city is not null").select("city").distinct().collect())  # towns of the portal: a fixed table
@@ -118,13 +129,6 @@ def cascade(r, refs):
     return joins.resolve(r, "record_id", F.col(_P), refs, by_rule, by_text)
 
 
-@R.add("j10_details", "SELECT s.id, count(e.record_id) AS n FROM stored_events s LEFT JOIN event_records e ON e.title = s.title GROUP BY s.id")
-def j10_details(spark, sf_dir):
-    """Stored events with the number of records of their title; counted before the join."""
-    n = records(spark, sf_dir).where("title is not null").groupBy("title").agg(F.count("*").alias("n"))
-    return read_table(spark, sf_dir, "stored_events").select("id", "title").join(n, "title", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @R.add("j11_place_pages", f"SELECT v.place_id, v.name, n.n_events FROM venue_refs v JOIN (SELECT {_P} AS p, count(*) AS n_events FROM event_records GROUP BY 1) n ON n.p = v.place_id WHERE v.venue_type IN ('muzeum', 'teatr')")
 def j11_place_pages(spark, sf_dir):
     """Venues of two kinds with their events."""
@@ -207,14 +211,6 @@ def e05_merged(spark, sf_dir):
     return m.select("title_key", "n_rows", F.col("first_id").cast("bigint").alias("first_id"), "description")
 
 
-@R.add("m01_upsert", "SELECT source_url, max(id) AS id FROM (SELECT id, source_url FROM stored_events UNION ALL SELECT id + 1000000, source_url FROM stored_events WHERE id % 7 = 0) GROUP BY source_url")
-def m01_upsert(spark, sf_dir):
-    """Stored table after an incoming batch with known links."""
-    s = read_table(spark, sf_dir, "stored_events").select("id", "source_url")
-    batch = s.where("id % 7 = 0").withColumn("id", F.col("id") + 1000000)
-    return store.upsert(s, batch, "source_url", "id").select("source_url", "id")
-
-
 @R.add("m01_upsert_records", "WITH b AS (SELECT source_url, min(record_id) + 1000000 AS id FROM event_records WHERE source_url IS NOT NULL GROUP BY source_url) SELECT coalesce(b.source_url, s.source_url) AS source_url, coalesce(b.id, s.id) AS id FROM stored_events s FULL JOIN b ON b.source_url = s.source_url")
 def m01_upsert_records(spark, sf_dir):
     """Stored table after a batch of all records, the first of each link: known and new links."""
@@ -303,3 +299,38 @@ def v05_schema_org(spark, sf_dir):
 def v06_build_checks(spark, sf_dir):
     """Checks before publication."""
     return views.build_checks(records(spark, sf_dir), "description")
+
+
+_CL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '(?i)\s*-\s*(?:Opole|Bielsko|Kędzierzyn|Bilety|Kup|Amfiteatr|NCPP|NCK|MOK|Dom Kultury|\d{1,2}\s+[a-ząćęłńóśźż]+).*$', ''), '\s*\|\s*.*$', ''), '(?i)\s*\([^)]*(?:Narodowe|Centrum|Amfiteatr|Kultury|Piosenki)[^)]*\)', '', 'g'), '(?i),\s*\d{1,2}\s+[a-ząćęłńóśźż]+.*$', ''), ' -:,')"
+_MODEL = f"""
+WITH e AS (SELECT *, {_DAY} AS d, coalesce(CAST({_DAY} AS VARCHAR), nullif(date_start, '')) AS dt, replace(coalesce(nullif(category, ''), 'wydarzenie'), '_', '_') AS b, replace(coalesce(time_start, ''), ':', '') AS t FROM event_records WHERE coalesce(title, '') <> ''),
+a AS (SELECT *, row_number() OVER (PARTITION BY b, dt ORDER BY record_id) AS r FROM e WHERE dt IS NOT NULL),
+b2 AS (SELECT *, CASE WHEN r > 1 AND t <> '' THEN row_number() OVER (PARTITION BY b, dt, r > 1 AND t <> '', t ORDER BY record_id) END AS rt FROM a), c AS (SELECT *, r > 1 AND coalesce(rt, 2) <> 1 AS rest FROM b2),
+s AS (SELECT *, concat_ws('-', b, dt, CASE WHEN r = 1 THEN NULL WHEN rt = 1 THEN t ELSE CAST(row_number() OVER (PARTITION BY b, dt, rest ORDER BY record_id) + 1 AS VARCHAR) END) AS slug FROM c),
+j AS (SELECT s.*, v.place_id AS vp, v.name AS vn, v.street || ' ' || v.housenumber AS va, v.city_name AS vt, coalesce(v.name, nullif(s.{_V}, ''), 'Wydarzenie') AS ve, coalesce(try_cast(nullif(date_end, '') AS DATE), d, try_cast(dt AS DATE)) AS en FROM s LEFT JOIN venue_refs v ON v.place_id = s.{_P})
+SELECT record_id, slug, {_CL} AS title, coalesce({{days}}[isodow(sd)] || ', ' || day(sd) || ' ' || {{months}}[month(sd)], dt) AS date_shown, CASE WHEN d = DATE '{AS_OF}' THEN 'DZIŚ' WHEN d < DATE '{AS_OF}' AND en >= DATE '{AS_OF}' THEN 'TRWA' WHEN d = DATE '{AS_OF}' + 1 THEN 'JUTRO' END AS badge,
+  coalesce(nullif(analysis.ticket_info.time_start, ''), nullif(time_start, ''), '18:00') AS time_start, CASE WHEN nullif(trim(stage_name, ' '), '') IS NOT NULL AND trim(stage_name, ' ') <> ve THEN ve || ' (' || trim(stage_name, ' ') || ')' ELSE ve END AS venue,
+  CASE WHEN vp IS NOT NULL THEN va || ', ' || vt ELSE 'Portal' END AS address, coalesce(nullif(category, ''), 'Kultura i Rozrywka') AS category, coalesce(nullif(organizer, ''), source, ve) AS organizer, coalesce(nullif(description[1:180], ''), {_CL} || '.') AS lead,
+  nullif(analysis.ticket_info.doors_open, '') AS doors_open, nullif(age_limit, '') AS age_limit, CASE WHEN wheelchair_accessible THEN 'yes' WHEN NOT wheelchair_accessible THEN 'no' WHEN vp IS NOT NULL THEN 'limited' END AS access, coalesce(len(ticket_offers), 0) AS n_offers, nullif(image_url, '') AS image_url
+FROM (SELECT *, CASE WHEN regexp_full_match(dt, '\d{{4}}-\d{{2}}-\d{{2}}') THEN try_cast(dt AS DATE) END AS sd FROM j)
+"""
+_MODEL = _MODEL.replace("{days}", "['" + "', '".join(dates.DAYS) + "']").replace("{months}", "['" + "', '".join(dates.MONTHS_OF) + "']").replace("\d{{4}}", "\d{4}").replace("{{2}}", "{2}")
+
+
+@R.add("v01_page_model", _MODEL)
+def v01_page_model(spark, sf_dir):
+    """The whole page model of every event: slug, shown texts, venue, access, defaults."""
+    return views.page_model(records(spark, sf_dir), read_table(spark, sf_dir, "venue_refs"), F.lit(AS_OF).cast("date"), day(), "Portal")
+
+
+@R.add("v03_place_pages", f"WITH u AS (SELECT {_P} AS p, record_id, row_number() OVER (PARTITION BY {_P} ORDER BY date_start, record_id) AS position, count(*) OVER (PARTITION BY {_P}) AS n FROM event_records WHERE coalesce(nullif(date_end, ''), date_start) >= '{AS_OF}' AND {_P} IS NOT NULL) SELECT v.place_id, v.name, CAST(u.position AS INT) AS position, u.record_id, coalesce(u.n, 0) AS n_upcoming FROM venue_refs v LEFT JOIN (SELECT * FROM u WHERE position <= 40) u ON u.p = v.place_id WHERE u.p IS NOT NULL OR v.venue_type IN ('muzeum', 'teatr')")
+def v03_place_pages(spark, sf_dir):
+    """Pages of venues with their next 40 events; museums and theatres come without events too."""
+    v = read_table(spark, sf_dir, "venue_refs")
+    return views.place_pages(v, records(spark, sf_dir), F.col(_P), F.lit(AS_OF), F.col("venue_type").isin("muzeum", "teatr"))
+
+
+@R.add("v05_linked_data", f"SELECT record_id, title AS name, date_start AS start_date, coalesce(nullif(date_end, ''), date_start) AS end_date, CASE WHEN status = 'cancelled' THEN 'EventCancelled' ELSE 'EventScheduled' END AS event_status, coalesce(v.name, {_V}) AS location, v.street || ' ' || v.housenumber AS street_address, coalesce(array_to_string(list_filter(list_transform(ticket_offers, lambda o: o.url), lambda u: coalesce(u, '') <> ''), ' '), '') AS offers, coalesce(len(list_filter(list_transform(ticket_offers, lambda o: o.url), lambda u: coalesce(u, '') <> '')), 0) AS n_offers FROM event_records e LEFT JOIN venue_refs v ON v.place_id = e.{_P}")
+def v05_linked_data(spark, sf_dir):
+    """Linked data with location, address, end and offers."""
+    return views.linked_data(records(spark, sf_dir), read_table(spark, sf_dir, "venue_refs"))
