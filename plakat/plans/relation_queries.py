@@ -117,6 +117,8 @@ def cascade(r, refs):
     known = refs.select(F.col("place_id").alias("_known"))
     open_ = r.join(known, F.col(_P) == F.col("_known"), "left_anti").select("record_id", F.nullif("city", F.lit("")).alias("city"), F.col(_V).alias("v"))
     table = r.sparkSession.createDataFrame(TOWN_RULES, "word string, rule_ord int, target string, city string")
+    # A rule whose target isn't among the venues falls through to the next.
+    table = table.join(refs.select(F.col("place_id").alias("target")).distinct(), "target", "left_semi")
     by_rule = rules.rule_join(open_, "record_id", F.col("v"), table, "city").select("record_id", F.col("target").alias("place_id"))
     rest = open_.join(by_rule, "record_id", "left_anti").where(F.length(F.trim("v")) > 3)
     towns = sorted(x[0] for x in refs.where("city is not null").select("city").distinct().collect())  # towns of the portal: a fixed table
@@ -302,7 +304,7 @@ def v06_build_checks(spark, sf_dir):
 
 
 _CL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '(?i)\s*-\s*(?:Opole|Bielsko|Kędzierzyn|Bilety|Kup|Amfiteatr|NCPP|NCK|MOK|Dom Kultury|\d{1,2}\s+[a-ząćęłńóśźż]+).*$', ''), '\s*\|\s*.*$', ''), '(?i)\s*\([^)]*(?:Narodowe|Centrum|Amfiteatr|Kultury|Piosenki)[^)]*\)', '', 'g'), '(?i),\s*\d{1,2}\s+[a-ząćęłńóśźż]+.*$', ''), ' -:,')"
-_MODEL = f"""
+_MODEL = rf"""
 WITH e AS (SELECT *, {_DAY} AS d, coalesce(CAST({_DAY} AS VARCHAR), nullif(date_start, '')) AS dt, replace(coalesce(nullif(category, ''), 'wydarzenie'), '_', '_') AS b, replace(coalesce(time_start, ''), ':', '') AS t FROM event_records WHERE coalesce(title, '') <> ''),
 a AS (SELECT *, row_number() OVER (PARTITION BY b, dt ORDER BY record_id) AS r FROM e WHERE dt IS NOT NULL),
 b2 AS (SELECT *, CASE WHEN r > 1 AND t <> '' THEN row_number() OVER (PARTITION BY b, dt, r > 1 AND t <> '', t ORDER BY record_id) END AS rt FROM a), c AS (SELECT *, r > 1 AND coalesce(rt, 2) <> 1 AS rest FROM b2),
@@ -314,7 +316,7 @@ SELECT record_id, slug, {_CL} AS title, coalesce({{days}}[isodow(sd)] || ', ' ||
   nullif(analysis.ticket_info.doors_open, '') AS doors_open, nullif(age_limit, '') AS age_limit, CASE WHEN wheelchair_accessible THEN 'yes' WHEN NOT wheelchair_accessible THEN 'no' WHEN vp IS NOT NULL THEN 'limited' END AS access, coalesce(len(ticket_offers), 0) AS n_offers, nullif(image_url, '') AS image_url
 FROM (SELECT *, CASE WHEN regexp_full_match(dt, '\d{{4}}-\d{{2}}-\d{{2}}') THEN try_cast(dt AS DATE) END AS sd FROM j)
 """
-_MODEL = _MODEL.replace("{days}", "['" + "', '".join(dates.DAYS) + "']").replace("{months}", "['" + "', '".join(dates.MONTHS_OF) + "']").replace("\d{{4}}", "\d{4}").replace("{{2}}", "{2}")
+_MODEL = _MODEL.replace("{days}", "['" + "', '".join(dates.DAYS) + "']").replace("{months}", "['" + "', '".join(dates.MONTHS_OF) + "']")
 
 
 @R.add("v01_page_model", _MODEL)

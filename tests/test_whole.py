@@ -3,7 +3,12 @@
 import re
 import unicodedata
 
+import pytest
+from pyspark.sql import functions as F
+
 from plakat.functions import text
+from plakat.functions.url import local_url
+from plakat.plans import event_queries as ev
 from plakat.plans import relation_queries as rel
 
 RECORD = "record_id bigint, city string, title string, date_start string, date_end string, time_start string, analysis struct<ticket_info:struct<time_start:string,venue_name:string,price_range:string,doors_open:string,place_id:string>>"
@@ -27,30 +32,26 @@ def test_cascade_of_every_town(spark):
 def test_text_queries_of_all_titles(spark):
     """Titles that DuckDB folds differently, against plain Python."""
     titles = ["Ночные огни – wystawa: Jili", "Ｋｏｎｃｅｒｔ １２ – ﬁnał??", "Café Ñandú – Übermut", "Łąka – 🎭 bez końca", "Zwykły tytuł - bilety", "Ćwiczenia № 5 ²", ""]
-    from plakat.plans import event_queries as ev
-
-    r = spark.createDataFrame([(i, t, "sg", "2026-06-10", "https://a.example" if i % 2 else "https://a.example/x/y") for i, t in enumerate(titles)], "record_id bigint, title string, city string, date_start string, source_url string")
+    r = spark.createDataFrame(list(enumerate(titles)), "record_id bigint, title string")
     fold = str.maketrans(text.ACCENTS_FROM + "łŁ", text.ACCENTS_TO + "lL")
     slug = lambda t: re.sub(r"[-\s]+", "-", "".join(c for c in t.translate(fold).lower() if unicodedata.category(c)[0] in "LN" or c in "_- \t")).strip("-")
-    got = lambda q, c: {x.record_id: x[c] for x in q(r).collect()}
+    got = lambda f: {x.record_id: x.c for x in r.select("record_id", f(F.col("title")).alias("c")).collect()}
     want = dict(enumerate(titles))
-    assert got(ev._t01_slug, "slug") == {i: slug(t) for i, t in want.items()}
-    assert got(ev._k06_thumbnail_key, "file") == {i: f"ev_{slug(t)}.webp" for i, t in want.items()}
+    assert got(text.slugify) == {i: slug(t) for i, t in want.items()}
+    assert got(lambda c: text.thumbnail_key("ev", c)) == {i: f"ev_{slug(t)}.webp" for i, t in want.items()}
     words = lambda t: "".join(c if unicodedata.category(c)[0] in "LN" or c == "_" else " " for c in re.sub(r"20\d{2}", "", t.lower())).split()
-    assert got(ev._t02_title_key, "title_key") == {i: " ".join(sorted(w for w in words(t) if len(w) > 1)) for i, t in want.items()}
+    assert got(text.title_key) == {i: " ".join(sorted(w for w in words(t) if len(w) > 1)) for i, t in want.items()}
     scrub = lambda t: re.sub(r"&#65533;|\?+", "", unicodedata.normalize("NFKC", t)).strip()
-    assert got(ev._t07_scrub, "title") == {i: scrub(t) for i, t in want.items()}
+    assert got(text.scrub) == {i: scrub(t) for i, t in want.items()}
     side = lambda t: re.split(r"\s*[–—]\s*", t, maxsplit=1) if re.search("[–—]", t) else ([None, t] if " - " not in t else t.rsplit(" - ", 1))
-    assert {x.record_id: [x.role, x.person] for x in ev._t17_role_pair(r).collect()} == {i: side(t) for i, t in want.items()}
-    assert got(ev._built_urls, "local_url") == {i: f"local://sg/{slug(t)}-2026-06-10" for i, t in want.items()}
-
+    assert {i: list(p) for i, p in got(text.role_pair).items()} == {i: side(t) for i, t in want.items()}
+    assert got(lambda c: local_url(F.lit("sg"), c, F.lit("2026-06-10"))) == {i: f"local://sg/{slug(t)}-2026-06-10" for i, t in want.items()}
 
-def test_all_titles_are_registered(spark, small):
-    from plakat.plans import event_queries as ev
 
+@pytest.mark.parametrize("name", ["t01_slug", "t02_title_key", "t07_scrub", "t17_role_pair", "k06_thumbnail_key"])
+def test_all_titles_are_registered(spark, small, name):
     n = spark.read.parquet(f"{small}/event_records.parquet").where("title is not null").count()
-    for q in ("t01_slug", "t02_title_key", "t07_scrub", "t17_role_pair", "k06_thumbnail_key"):
-        assert ev.R.queries[f"{q}_all"](spark, small).count() == n
+    assert ev.R.queries[name](spark, small).count() == n
 
 
 def test_upsert_inserts_new_links(spark, small):
