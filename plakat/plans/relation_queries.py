@@ -125,7 +125,9 @@ def cascade(r, refs):
     rest = rest.withColumn("city", F.explode(F.when(F.col("city").isNull(), F.array(*[F.lit(t) for t in towns])).otherwise(F.array("city"))))
     tokens = lambda c: F.coalesce(*[F.when(F.col("city") == t, text.venue_tokens(F.col(c), t)) for t in towns])
     local = refs.select("place_id", "city", tokens("name").alias("place_tokens"), F.col("place_id").alias("place_ord"))
-    best = dedup.resolve_by_text(rest, "record_id", tokens("v"), local, area="city")
+    # Each distinct text of a town is compared once, however many records have it.
+    texts = dedup.resolve_by_text(rest.select("v", "city").distinct(), "v", tokens("v"), local, area="city")
+    best = rest.join(texts, ["v", "city"]).select("record_id", "place_id", "score")
     top = best.groupBy("record_id").agg(F.max("score").alias("top"))
     by_text = best.join(top, "record_id").where("score = top").groupBy("record_id").agg(F.min("place_id").alias("place_id"), F.count("*").alias("n")).where("n = 1").select("record_id", "place_id")
     return joins.resolve(r, "record_id", F.col(_P), refs, by_rule, by_text)
