@@ -227,14 +227,14 @@ def _hidden(text: str) -> str:
 
 
 def _persons(text: str, weights: np.ndarray) -> list[tuple[int, int]]:
-    """Names the classifier accepts, the surest of overlapping ones, and initials with a surname."""
+    """Names the classifier accepts, of overlapping ones those with a surname ending first, then the surest; and initials with a surname."""
     scored = []
     for a, e, kind, first, last, surname in _candidates(text):
         score = float(weights[_pair_features(kind, first, last, surname, text[max(0, a - 40) : a], text[e : e + 12])].sum())
         if score > 0:
-            scored.append((-score, a, e))
+            scored.append((not _is_surname(surname), -score, a, e))
     out: list[tuple[int, int]] = []
-    for _, a, e in sorted(scored):
+    for *_, a, e in sorted(scored):
         if not any(s < e and a < t for s, t in out):
             out.append((a, e))
     for pattern in (_INITIAL_FIRST, _INITIAL_LAST):
