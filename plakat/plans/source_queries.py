@@ -250,6 +250,14 @@ def t14_unglued(spark, sf_dir):
     return r.select("record_id", text.unglue(F.concat(F.replace("description", F.lit(". "), F.lit("(x)")), F.lit("KoniecOpisu"))).alias("shown"))
 
 
+@R.add("t09_every_entity", "SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'é' || record_id || 'ó ł &lt; „x' ELSE 'a & b ' || record_id END AS shown FROM event_records")
+def t09_every_entity(spark, sf_dir):
+    """Markup and entities of any kind taken out; texts with common entities only stay native."""
+    n = F.col("record_id").cast("string")
+    c = F.when(F.col("record_id") % 2 == 0, F.concat(F.lit("<p>&eacute;"), n, F.lit("&#243;&nbsp;<b>&#x142;</b> &amp;lt; &bdquo;x</p>"))).otherwise(F.concat(F.lit("a &amp; <i>b</i> "), n))
+    return records(spark, sf_dir).select("record_id", text.strip_html(c, every_entity=True).alias("shown"))
+
+
 @R.add("t16_seo_title", "SELECT record_id, 'Pokaz ' || record_id AS title FROM event_records")
 def t16_seo_title(spark, sf_dir):
     """Page titles with the suffixes that search engines like, taken off."""
@@ -272,6 +280,12 @@ def t18_fallback_text(spark, sf_dir):
     return b.select("id", text.filled_or(F.col("description"), "{title}. Czas: {d} {t}.").alias("shown"))
 
 
+@R.add("t12_cut_lengths", "SELECT record_id, " + ", ".join(f"CASE WHEN length(description) > {n} THEN concat(CASE WHEN contains(description[1:{n}], ' ') THEN regexp_extract(description[1:{n}], '(?s)^(.*) ', 1) ELSE description[1:{n}] END, '...') ELSE description END AS cut_{n}" for n in (20, 60, 300)) + " FROM event_records WHERE description IS NOT NULL")
+def t12_cut_lengths(spark, sf_dir):
+    """Descriptions cut at a word at three lengths."""
+    return records(spark, sf_dir).where("description is not null").select("record_id", *[text.cut_at_word(F.col("description"), n).alias(f"cut_{n}") for n in (20, 60, 300)])
+
+
 @R.add("t19_geometry", "SELECT record_id, CAST(('0x' || right(md5(title), 1))::INT % 8 AS INT) AS palette, CAST(('0x' || md5(title)[1:2])::INT % 60 + 20 AS INT) AS x, CAST(('0x' || md5(title)[3:4])::INT % 60 + 20 AS INT) AS y, CAST(('0x' || md5(title)[5:6])::INT % 40 + 30 AS INT) AS radius FROM event_records WHERE title IS NOT NULL")
 def t19_geometry(spark, sf_dir):
     """Palette and circle of the placeholder poster, from digits of the title's hash."""
