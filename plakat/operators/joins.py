@@ -64,6 +64,13 @@ def contains_either_way(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
+def held_names(rows: DataFrame, names: DataFrame, block: str, text: str, name: str) -> DataFrame:
+    """Rows with the names of their block that hold their text or lie in it: each distinct text of a block meets the block's distinct names once."""
+    texts, known = rows.select(block, text).distinct(), names.select(block, name).distinct()
+    hit = texts.join(known, block).where(contains_either_way(F.col(text), F.col(name)))
+    return rows.join(hit, [block, text]).join(names, [block, name])
+
+
 def dead_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose non-null key isn't among the keys."""
     return rows.where(F.col(on).isNotNull()).join(keys.select(on).distinct(), on, "left_anti")

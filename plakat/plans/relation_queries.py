@@ -164,7 +164,7 @@ def j18_either_way(spark, sf_dir):
     """Places whose name holds a venue's name of the same town, or lies in it."""
     v = read_table(spark, sf_dir, "venue_refs").select(F.col("place_id").alias("ref_id"), F.col("name").alias("ref_name"), F.col("city").alias("city_tag"))
     p = read_table(spark, sf_dir, "places_final").select("place_id", "name", "city_tag")
-    return p.join(v, "city_tag").where(joins.contains_either_way(F.col("name"), F.col("ref_name"))).select("place_id", "ref_id")
+    return joins.held_names(p, v, "city_tag", "name", "ref_name").select("place_id", "ref_id")
 
 
 @R.add("s10_show_details", "SELECT record_id, first_value(image_url IGNORE NULLS) OVER (PARTITION BY lower(title) ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS image FROM event_records WHERE title IS NOT NULL")
