@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,3 +75,90 @@ def at_least(threshold: float):
         return pd.Series(out, dtype="boolean")
 
     return similar
+
+
+# Upper bounds of the ratio, many pairs at once -----------------------------------------------------------
+
+# Letters with a class of their own; others share the rest. Classes only widen a bound.
+_OWN = "abcdefghijklmnopqrstuvwxyz ąćęłńóśźż0"
+_CLASSES, _COUNTED, _LEVELS, _LONGEST, _WORD = 64, 32, 4, 128, 64
+
+
+@functools.cache
+def _class_of() -> np.ndarray:
+    out = (np.arange(0x110000) % (_CLASSES - len(_OWN)) + len(_OWN)).astype(np.uint8)
+    out[[ord(c) for c in _OWN]] = np.arange(len(_OWN))
+    return out
+
+
+def pair_ranges(start: np.ndarray, end: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) with ``start[i] <= j < end[i]``, about ``most`` at a time."""
+    n = np.maximum(end - start, 0)
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        m = n[at:to]
+        i = np.repeat(np.arange(at, to), m)
+        if len(i):
+            yield i, np.arange(len(i)) + np.repeat(start[at:to] - (np.cumsum(m) - m), m)
+        at = to
+
+
+class Texts:
+    """Texts coded for bounds of their pairwise ratios: shared characters first, then the longest common subsequence.
+
+    Matching blocks are a common subsequence, so a pair that fails a bound fails the ratio. Texts beyond ``_LONGEST`` characters are bounded by length alone.
+    """
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        n = len(texts)
+        self.size = np.array([len(t) for t in texts], np.int32).reshape(n)
+        self.long = self.size > _LONGEST
+        width = max(1, int(self.size[~self.long].max(initial=1)))
+        codes = np.array([t[:width] for t in texts], f"U{width}").reshape(n, 1).view(np.uint32).reshape(n, width)
+        inside = np.arange(width) < self.size[:, None]
+        self.cls = np.where(inside, _class_of()[codes], _CLASSES).astype(np.uint8)
+        small = np.where(self.cls < 27, self.cls, 27 + self.cls % (_COUNTED - 27)).astype(np.int32)
+        small[~inside] = _COUNTED
+        counts = np.bincount((small + (_COUNTED + 1) * np.arange(n)[:, None]).ravel(), minlength=n * (_COUNTED + 1)).reshape(n, _COUNTED + 1)[:, :_COUNTED]
+        bits = np.packbits((counts[:, :, None] > np.arange(_LEVELS)).reshape(n, -1), axis=1)
+        self.bits = [np.ascontiguousarray(w) for w in bits.view(np.uint64).T]
+        self.over = np.maximum(counts - _LEVELS, 0).sum(axis=1).astype(np.int16)
+        self.masks = np.zeros((n, _CLASSES + 1), np.uint64)
+        rows = np.arange(n)
+        for p in range(min(width, _WORD)):
+            self.masks[rows, self.cls[:, p]] |= np.uint64(1 << p)
+        self.masks[:, _CLASSES] = 0
+
+    def _passes(self, i: np.ndarray, j: np.ndarray, shared: np.ndarray, threshold: float, held: bool) -> np.ndarray:
+        ok = 2 * shared >= threshold * (self.size[i] + self.size[j]) - 1e-6
+        return ok | (shared >= np.minimum(self.size[i], self.size[j])) if held else ok
+
+    def near(self, i: np.ndarray, j: np.ndarray, threshold: float, held: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose ratio may reach ``threshold``; with ``held`` also those of which one may lie in the other."""
+        shared = np.minimum(self.over[i], self.over[j])
+        for w in self.bits:
+            shared += np.bitwise_count(w[i] & w[j])
+        if self.long.any():
+            shared = np.where(self.long[i] | self.long[j], np.minimum(self.size[i], self.size[j]), shared)
+        ok = self._passes(i, j, shared, threshold, held)
+        i, j = i[ok], j[ok]
+        ok = self._passes(i, j, self._subsequence(i, j), threshold, held)
+        return i[ok], j[ok]
+
+    def _subsequence(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence, bit-parallel; the shorter length where neither text fits a word."""
+        short = self.size[i] <= self.size[j]
+        p, t = np.where(short, i, j), np.where(short, j, i)
+        out = self.size[p].copy()
+        fits = np.flatnonzero((self.size[p] <= _WORD) & ~self.long[t])
+        for k in range(0, len(fits), 1 << 14):
+            at = fits[k : k + (1 << 14)]
+            rows, text = p[at] * (_CLASSES + 1), self.cls[t[at]].T
+            flat, v = self.masks.ravel(), np.full(len(at), ~np.uint64(0))
+            for c in text[: int(self.size[t[at]].max(initial=0))]:
+                u = v & flat[rows + c]
+                v = (v + u) | (v - u)
+            out[at] = np.bitwise_count(~v)
+        return out

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plakat.functions.dates import times_apart
-from plakat.functions.similarity import at_least, sequence_ratio, shared_tokens
+from plakat.functions.dates import minute_of_day, times_apart
+from plakat.functions.similarity import Texts, at_least, pair_ranges, sequence_ratio, shared_tokens
 from plakat.functions.text import acronym, stem, stem_word
 from plakat.operators.order import positions
 from plakat.runtime import cut
@@ -59,6 +59,108 @@ def same_title(a: Column, b: Column, time_a: Column, time_b: Column, stems_a: Co
     return F.coalesce(~apart & (native | raw | late), F.lit(False))
 
 
+def _same_titles(title: np.ndarray, low: np.ndarray, words: np.ndarray, minute: np.ndarray, block: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of row numbers with ``same_title`` in a block, the smaller title first.
+
+    Rows are sorted by block and minute (unknown: -1, first). ``right``: 0 and 1 are sides that meet only each other, -1 a block that meets itself.
+    """
+    n = len(title)
+    tid = np.unique(title, return_inverse=True)[1]
+    stop = {stem_word(w) for w in TITLE_STOPWORDS}
+    stems = [[w for w in x.split() if w not in stop] or x.split() for x in words]
+    size = np.array([len(s) for s in stems])
+    end = np.searchsorted(block, block, "right")
+    # Titles whose times may agree are neighbours: known times from the own up to 44 minutes later; unknown ones meet all.
+    until = np.where(minute < 0, end, np.searchsorted(block * 10000 + minute, block * 10000 + minute + 44, "right"))
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (tid[i] != tid[j]) & ((right[i] < 0) | (right[i] != right[j]))
+
+    # Shared stems: rows of one block and stem meet.
+    row = np.repeat(np.arange(n), size)
+    stem_id = np.unique(np.array([w for s in stems for w in s], object), return_inverse=True)[1] if len(row) else row
+    order = np.lexsort((row, stem_id, block[row]))
+    row, key = row[order], block[row[order]] * (int(stem_id.max(initial=0)) + 1) + stem_id[order]
+    met = [np.zeros(0, np.int64)]
+    for i, j in pair_ranges(np.arange(1, len(row) + 1), np.searchsorted(key, key, "right")):
+        i, j = row[i], row[j]
+        ok = (j < until[i]) & allowed(i, j)
+        met.append(i[ok] * n + j[ok])
+    met, both = np.unique(np.concatenate(met), return_counts=True)
+    s, t = size[met // n], size[met % n]
+    native = met[(both / (s + t - both) >= JACCARD) | (both == s) | (both == t)]
+
+    # Ratios: bounds leave few pairs.
+    asked = {}
+    raw, late = Texts(low), Texts(words)
+    for i, j in pair_ranges(np.arange(1, n + 1), until):
+        ok = allowed(i, j)
+        i, j = i[ok], j[ok]
+        for texts, threshold, x in ((low, RAW_RATIO, (i, j)), (words, SORTED_RATIO, tuple(k[(size[i] > 0) & (size[j] > 0)] for k in (i, j)))):
+            a, b = (raw if texts is low else late).near(*x, threshold)
+            asked.setdefault(threshold, []).append(a * n + b)
+    found = [native]
+    for texts, threshold in ((low, RAW_RATIO), (words, SORTED_RATIO)):
+        keys = np.setdiff1d(np.concatenate(asked.get(threshold, [native[:0]])), np.concatenate(found))
+        i, j = keys // n, keys % n
+        a, b = np.where(tid[i] < tid[j], i, j), np.where(tid[i] < tid[j], j, i)
+        m, ok, last = SequenceMatcher(None), np.zeros(len(keys), bool), None
+        for k in np.lexsort((a, b)):
+            if b[k] != last:
+                last = b[k]
+                m.set_seq2(texts[last])
+            m.set_seq1(texts[a[k]])
+            ok[k] = m.ratio() >= threshold
+        found.append(keys[ok])
+    keys = np.concatenate(found)
+    i, j = keys // n, keys % n
+    return np.where(tid[i] < tid[j], i, j), np.where(tid[i] < tid[j], j, i)
+
+
+def same_title_pairs(events: DataFrame, block: list[str], title: str, time: str, most: int = 2048, at_once: int = 4096) -> DataFrame:
+    """Pairs of distinct (title, time) of a block whose different titles are duplicates (``same_title``): (*block, title_a, title_b), the smaller first.
+
+    Blocks of more than ``most`` rows are split into parts by a hash, and each two parts meet in a unit of their own, so no block is one task's. Units pass
+    through Python sorted, ``at_once`` rows or more together. Null blocks, and null titles, meet nothing.
+    """
+    rows = events.select(*block, F.col(title).alias("_title"), F.col(time).alias("_time")).dropna(subset=[*block, "_title"])
+    parts = rows.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias("_n"))
+    k = F.pmod(F.xxhash64("_title", "_time"), F.col("_n")).cast("int")
+    unit = lambda j: F.struct(F.least("_k", j).alias("i"), F.greatest("_k", j).alias("j"), F.when(j == F.col("_k"), -1).when(j < F.col("_k"), 1).otherwise(0).alias("side"))
+    texts = {"_low": F.lower(F.trim("_title")), "_words": F.array_join(title_stems(F.col("_title"))["every"], " "), "_minute": F.coalesce(minute_of_day(F.col("_time")), F.lit(-1))}
+    units = rows.join(parts, block).withColumns({"_k": k, **texts}).withColumn("_u", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), unit)))
+    block_cols = [f"_b{i}" for i in range(len(block))]
+    units = units.select(*[F.col(c).alias(b) for c, b in zip(block, block_cols, strict=True)], "_u.*", "_title", "_time", "_low", "_words", "_minute")
+    slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*block_cols, "i", "j"]
+    ordered = units.repartition(slots, *by).sortWithinPartitions(*by)
+    kinds = dict(events.select(*block).dtypes)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates([*by, "_title", "_time"])
+        pdf = pdf.assign(_unit=pdf.groupby(by, sort=False).ngroup()).sort_values(["_unit", "_minute"], kind="stable", ignore_index=True)
+        a, b = _same_titles(*(pdf[c].to_numpy() for c in ("_title", "_low", "_words", "_minute", "_unit", "side")))
+        out = {c: pdf[k].to_numpy()[a] for c, k in zip(block, block_cols, strict=True)}
+        return pd.DataFrame({**out, "title_a": pdf["_title"].to_numpy()[a], "title_b": pdf["_title"].to_numpy()[b]})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            # Whole units only: the last one of a batch may go on in the next.
+            starts = np.flatnonzero(np.r_[True, (pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1)]) if len(pdf) else []
+            at = 0
+            for s in starts:
+                if n + s - at >= at_once and (s or held and list(held[-1][by].iloc[-1]) != list(pdf[by].iloc[0])):
+                    yield meet(pd.concat([*held, pdf.iloc[at:s]]))
+                    held, n, at = [], 0, s
+            held.append(pdf.iloc[at:])
+            n += len(pdf) - at
+        if n:
+            yield meet(pd.concat(held))
+
+    return ordered.mapInPandas(walk, ", ".join([*[f"`{c}` {kinds[c]}" for c in block], "title_a string", "title_b string"]))
+
+
 def place_similarity(query: Column, place: Column) -> Column:
     """Score 0..1 of two token arrays (see ``venue_tokens``): ordered early exits, native but for the last step."""
     q, p = F.array_distinct(query), F.array_distinct(place)

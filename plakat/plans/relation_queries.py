@@ -193,11 +193,8 @@ def e02_same_titles(spark, sf_dir):
 
 def same_titles(r):
     """Duplicate titles of a town and day; records without a town meet each other."""
-    r = r.where("title is not null").select(F.coalesce("city", F.lit("")).alias("city"), day().alias("day"), "title", F.col("time_start").alias("t")).distinct()
-    r = cut(r.withColumn("s", dedup.title_stems(F.col("title"))))
-    a, b = r.withColumnsRenamed({"title": "title_a", "t": "t_a", "s": "s_a"}), r.withColumnsRenamed({"title": "title_b", "t": "t_b", "s": "s_b"})
-    pairs = a.join(b, ["city", "day"]).where("title_a < title_b")
-    return pairs.where(dedup.same_title(F.col("title_a"), F.col("title_b"), F.col("t_a"), F.col("t_b"), F.col("s_a"), F.col("s_b"))).select("day", "title_a", "title_b")
+    r = r.select(F.coalesce("city", F.lit("")).alias("city"), day().alias("day"), "title", F.col("time_start").alias("t"))
+    return dedup.same_title_pairs(r, ["city", "day"], "title", "t").select("day", "title_a", "title_b")
 
 
 @R.add("e04_clusters")
