@@ -153,12 +153,17 @@ class Texts:
         p, t = np.where(short, i, j), np.where(short, j, i)
         out = self.size[p].copy()
         fits = np.flatnonzero((self.size[p] <= _WORD) & ~self.long[t])
-        for k in range(0, len(fits), 1 << 14):
-            at = fits[k : k + (1 << 14)]
-            rows, text = p[at] * (_CLASSES + 1), self.cls[t[at]].T
-            flat, v = self.masks.ravel(), np.full(len(at), ~np.uint64(0))
+        fits = fits[np.argsort(self.size[t[fits]].astype(np.uint8), kind="stable")]  # texts of one length take as many steps
+        flat = self.masks.ravel()
+        for k in range(0, len(fits), 1 << 13):
+            at = fits[k : k + (1 << 13)]
+            rows, text = p[at] * (_CLASSES + 1), np.ascontiguousarray(self.cls[t[at]].T)
+            v, u, w, where = np.full(len(at), ~np.uint64(0)), np.empty(len(at), np.uint64), np.empty(len(at), np.uint64), np.empty_like(rows)
             for c in text[: int(self.size[t[at]].max(initial=0))]:
-                u = v & flat[rows + c]
-                v = (v + u) | (v - u)
+                np.take(flat, np.add(rows, c, out=where), out=u, mode="clip")
+                np.bitwise_and(u, v, out=u)
+                np.add(v, u, out=w)
+                np.subtract(v, u, out=v)
+                np.bitwise_or(v, w, out=v)
             out[at] = np.bitwise_count(~v)
         return out

@@ -59,6 +59,24 @@ def same_title(a: Column, b: Column, time_a: Column, time_b: Column, stems_a: Co
     return F.coalesce(~apart & (native | raw | late), F.lit(False))
 
 
+def _whole(batches: Iterator[pd.DataFrame], by: list[str], at_once: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``by`` in frames of whole groups, each of ``at_once`` rows or more but for the last; a group may span batches."""
+    held, n = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = pdf[by].to_numpy()
+        at = 0
+        for s in np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]):
+            if n + s - at >= at_once and (s or held and list(held[-1][by].iloc[-1]) != list(keys[0])):
+                yield pd.concat([*held, pdf.iloc[at:s]])
+                held, n, at = [], 0, s
+        held.append(pdf.iloc[at:])
+        n += len(pdf) - at
+    if n:
+        yield pd.concat(held)
+
+
 def _same_titles(title: np.ndarray, low: np.ndarray, words: np.ndarray, minute: np.ndarray, block: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of row numbers with ``same_title`` in a block, the smaller title first.
 
@@ -144,19 +162,7 @@ def same_title_pairs(events: DataFrame, block: list[str], title: str, time: str,
         return pd.DataFrame({**out, "title_a": pdf["_title"].to_numpy()[a], "title_b": pdf["_title"].to_numpy()[b]})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for pdf in batches:
-            # Whole units only: the last one of a batch may go on in the next.
-            starts = np.flatnonzero(np.r_[True, (pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1)]) if len(pdf) else []
-            at = 0
-            for s in starts:
-                if n + s - at >= at_once and (s or held and list(held[-1][by].iloc[-1]) != list(pdf[by].iloc[0])):
-                    yield meet(pd.concat([*held, pdf.iloc[at:s]]))
-                    held, n, at = [], 0, s
-            held.append(pdf.iloc[at:])
-            n += len(pdf) - at
-        if n:
-            yield meet(pd.concat(held))
+        return map(meet, _whole(batches, by, at_once))
 
     return ordered.mapInPandas(walk, ", ".join([*[f"`{c}` {kinds[c]}" for c in block], "title_a string", "title_b string"]))
 
@@ -299,52 +305,74 @@ def unique_slugs(events: DataFrame, base: str, date: str, time: str, order: str)
     return named.unionByName(rest).drop("_k", "_t", "_f", "_ft", "_w")
 
 
-class _Targets:
-    """Merge targets of one block in order, with character counts for an upper bound of the ratio to all of them at once."""
-
-    def __init__(self, threshold: float) -> None:
-        self.threshold, self.keys, self.ids, self.matchers = threshold, [], [], []
-        self.counts = np.zeros((16, 64), np.int16)
-
-    @staticmethod
-    def _count(key: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(key.encode("utf-32-le"), np.uint32) % 64, minlength=64).astype(np.int16)
-
-    def add(self, key: str, target: object) -> None:
-        if len(self.keys) == len(self.counts):
-            self.counts = np.r_[self.counts, np.zeros_like(self.counts)]
-        self.counts[len(self.keys)] = self._count(key)
-        self.keys.append(key)
-        self.ids.append(target)
-        self.matchers.append(SequenceMatcher(None, "", key))  # indexes its second text once
-
-    def first(self, key: str) -> object:
-        """The first target that is equal, contained, or similar; null if none is. Empty keys match nothing."""
-        n = len(self.keys)
-        if not key or not n:
-            return None
-        have = self.counts[:n]
-        shared = np.minimum(have, self._count(key)).sum(axis=1)
-        bound = 2 * shared / np.maximum(1, have.sum(axis=1) + len(key))
-        # A contained key shares all of its characters, so it passes the second test.
-        for i in np.flatnonzero((bound >= self.threshold) | (shared == np.minimum(have.sum(axis=1), len(key)))):
-            other = self.keys[i]
-            if not other:
-                continue
-            if other == key or other in key or key in other:
-                return self.ids[i]
-            self.matchers[i].set_seq1(key)
-            if self.matchers[i].ratio() >= self.threshold:
-                return self.ids[i]
-        return None
-
-
-def fuzzy_upsert(stored: DataFrame, batch: DataFrame, block: list[str], order: str, key: str, url: str, threshold: float = 0.65) -> DataFrame:
+def _meet_targets(block: np.ndarray, new: np.ndarray, key: np.ndarray, url: np.ndarray, threshold: float, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Action and row number of the target of each new row; rows are sorted by block, old before new, then in order.
+
+    The new rows of each block go in chunks: bounds of the ratios to all targets so far, and to the rows before them in the chunk, are taken at once; what passes is decided row by row.
+    """
+    n = len(key)
+    texts, some = Texts(key), np.array([k != "" for k in key], bool)
+    action, target, is_target = np.full(n, None, object), np.arange(n), ~new & some
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    left = []  # of each block: end, targets, next new row, links
+    for a, b in zip(first, np.r_[first[1:], n]):
+        if new[b - 1]:
+            at = a + int(np.searchsorted(new[a:b], True))
+            left.append((int(b), np.arange(a, at)[some[a:at]], at, {}))
+    matcher = SequenceMatcher(None)
+    while left:
+        rows, starts, ends, among, n_among = [], [], [], [], 0
+        for b, known, at, _ in left:
+            r = np.arange(at, min(at + chunk, b))
+            among += [known, r]
+            rows.append(r)
+            starts.append(np.full(len(r), n_among))
+            ends.append(np.where(some[r], n_among + len(known) + np.arange(len(r)), n_among))
+            n_among += len(known) + len(r)
+        row, among = np.concatenate(rows), np.concatenate(among)
+        near = [texts.near(row[i], among[j], threshold, held=True) for i, j in pair_ranges(np.concatenate(starts), np.concatenate(ends))]
+        asked, other = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in near]]) for k in (0, 1))
+        lo, hi = np.searchsorted(asked, row), np.searchsorted(asked, row, "right")
+        rest, p = [], 0
+        for (b, known, at, links), r in zip(left, rows, strict=True):
+            added = []
+            for i in r.tolist():
+                k, u = key[i], url[i]
+                found = links.get(u) if u is not None else None
+                if found is not None:
+                    action[i], target[i] = "update", found
+                else:
+                    for j in other[lo[p] : hi[p]].tolist():
+                        if is_target[j]:
+                            x = key[j]
+                            if x in k or k in x:
+                                found = j
+                                break
+                            matcher.set_seqs(k, x)
+                            if matcher.ratio() >= threshold:
+                                found = j
+                                break
+                    if found is None:
+                        action[i], is_target[i] = "insert", some[i]
+                        links[u] = i
+                        if some[i]:
+                            added.append(i)
+                    else:
+                        action[i], target[i] = "merge", found
+                p += 1
+            if at + chunk < b:
+                rest.append((b, np.r_[known, np.array(added, np.int64)], at + chunk, links))
+        left = rest
+    return action, target
+
+
+def fuzzy_upsert(stored: DataFrame, batch: DataFrame, block: list[str], order: str, key: str, url: str, threshold: float = 0.65, chunk: int = 256, at_once: int = 4096) -> DataFrame:
     """Where each incoming row goes: (ord, action 'update', 'merge' or 'insert', target).
 
     Rows whose link is stored update it. Others merge with the first row of their block whose title key is equal,
     contained or similar; rows inserted earlier in the batch are targets too. An empty title key
-    never merges (contained in everything otherwise). ``stored`` and ``batch`` share columns and one order.
+    never merges (contained in everything otherwise). ``stored`` and ``batch`` share columns and one order. Blocks pass through Python
+    ``at_once`` rows or more together, their rows in chunks.
     """
     cols = [*block, order, key, url]
     known = first_by(stored.select(url, F.col(order).alias("_target")).where(F.col(url).isNotNull()), [url], "_target")
@@ -356,25 +384,14 @@ def fuzzy_upsert(stored: DataFrame, batch: DataFrame, block: list[str], order: s
     block_cols = [f"_b{i}" for i in range(len(block))]
     both = both.select(F.col(order).alias("_o"), F.coalesce(key, F.lit("")).alias("_k"), F.col(url).alias("_u"), "_new", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(k) for c, k in zip(block, block_cols, strict=True)])
 
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = pdf.groupby(block_cols, sort=False).ngroup().to_numpy()
+        new, o = pdf["_new"].to_numpy(bool), pdf["_o"].to_numpy()
+        action, target = _meet_targets(unit, new, pdf["_k"].to_numpy(), pdf["_u"].to_numpy(), threshold, chunk)
+        return pd.DataFrame({"ord": o[new], "action": action[new], "target": o[target[new]]})
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at_block, targets, links = None, None, {}
-        for pdf in batches:
-            out = []
-            for o, k, u, new, *at in pdf[["_o", "_k", "_u", "_new", *block_cols]].itertuples(index=False):
-                if at != at_block:
-                    at_block, targets, links = at, _Targets(threshold), {}
-                if not new:
-                    targets.add(k, o)
-                    continue
-                if u is not None and u in links:
-                    out.append((o, "update", links[u]))
-                    continue
-                found = targets.first(k)
-                if found is None:
-                    targets.add(k, o)
-                    links[u] = o
-                out.append((o, "insert" if found is None else "merge", o if found is None else found))
-            yield pd.DataFrame(out, columns=["ord", "action", "target"])
+        return map(meet, _whole(batches, block_cols, at_once))
 
     slots = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = both.repartition(slots, *block_cols).sortWithinPartitions(*block_cols, "_new", "_o")

@@ -52,3 +52,36 @@ def test_many_titles_of_a_day(spark):
     rows += [("d", r[1] + " bilety", r[2]) for r in rows[:50]]
     got = dedup.same_title_pairs(spark.createDataFrame(rows, "d string, title string, t string"), ["d"], "title", "t")
     assert {(r[1], r[1] + " bilety") for r in rows[:50]} <= {(r.title_a, r.title_b) for r in got.collect()}
+
+
+def _plain_upsert(stored, batch, threshold=0.65):
+    known = {}
+    for o, _, _, u in sorted(stored):
+        if u is not None:
+            known.setdefault(u, o)
+    targets, links, out = {}, {}, {}
+    for o, d, k, _ in sorted(stored):
+        targets.setdefault(d, []).append((o, k or ""))
+    for o, d, k, u in sorted(batch):
+        k = k or ""
+        if u in known or (u is not None and (d, u) in links):
+            out[o] = ("update", known[u] if u in known else links[d, u])
+            continue
+        like = lambda x: x and (x == k or x in k or k in x or SequenceMatcher(None, k, x).ratio() >= threshold)
+        found = next((t for t, x in targets.get(d, []) if k and like(x)), None)
+        if found is None:
+            targets.setdefault(d, []).append((o, k))
+            links[d, u] = o
+        out[o] = ("insert", o) if found is None else ("merge", found)
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "at_once"), [(256, 4096), (3, 1)])
+def test_upsert_in_chunks_against_a_plain_loop(spark, chunk, at_once):
+    rnd, keys = random.Random(4), [*_titles(150), None]
+    rows = [(i, rnd.choice("aab") if i % 11 else None, rnd.choice(keys), f"u{rnd.randrange(250)}" if i % 3 else None) for i in range(400)]
+    stored, batch = rows[:80], rows[80:]
+    schema = "i int, d string, k string, u string"
+    got = dedup.fuzzy_upsert(spark.createDataFrame(stored, schema), spark.createDataFrame(batch, schema), ["d"], "i", "k", "u", chunk=chunk, at_once=at_once)
+    want = _plain_upsert(stored, batch)
+    assert {r.ord: (r.action, r.target) for r in got.collect()} == want and {a for a, _ in want.values()} == {"update", "merge", "insert"}
